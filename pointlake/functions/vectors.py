@@ -10,10 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; a column used inside a lambda is otherwise
+    computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
 def dot(a: Column, b: Column) -> Column:
     """M7: inner product in double."""
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
 def norm(a: Column) -> Column:
@@ -22,20 +31,26 @@ def norm(a: Column) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     """M7: unit vector; a zero vector stays zero."""
-    n = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return let(F.greatest(norm(a), F.lit(1e-12)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 
+def exp_shifted(a: Column) -> Column:
+    """``exp(x - max)`` of every component."""
+    return let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+
+
+def normalise_sum(a: Column) -> Column:
+    """Components divided by their sum."""
+    return let(a, lambda v: let(total(v), lambda t: F.transform(v, lambda x: x / t)))
+
+
 def softmax(a: Column) -> Column:
     """M7: stable softmax."""
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    return normalise_sum(exp_shifted(a))
 
 
 def sigmoid(x: Column) -> Column:

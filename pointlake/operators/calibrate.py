@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.functions.vectors import l2_normalise, sigmoid, softmax
+from pointlake.functions.vectors import l2_normalise, let, normalise_sum, sigmoid, softmax
 from pointlake.schema import ClassSplit
 
 
@@ -15,15 +15,15 @@ def calibrate(logits: Column, base_logit: Column, split: ClassSplit) -> Column:
     """Softmax inside the base and inside the novel classes, weighted by the chance of being
     base or novel, renormalised; classes in neither set get 0."""
     p_base = sigmoid(base_logit)
-    base = F.transform(softmax(F.array(*[logits[c] for c in split.base])), lambda p: p * p_base) if split.base else None
-    novel = (F.transform(softmax(F.array(*[logits[c] for c in split.novel])), lambda p: p * (F.lit(1.0) - p_base))
-             if split.novel else None)
-    both = [x for x in (base, novel) if x is not None]
-    joined = F.concat(*both) if len(both) > 1 else both[0]
-    total = F.aggregate(joined, F.lit(0.0), lambda s, p: s + p)
+    sides = []
+    for ids, weight in ((split.base, p_base), (split.novel, F.lit(1.0) - p_base)):
+        if ids:
+            inside = softmax(F.array(*[logits[c] for c in ids]))
+            sides.append(let(F.struct(inside.alias("p"), weight.alias("w")), lambda s: F.transform(s["p"], lambda p: p * s["w"])))
+    joined = normalise_sum(F.concat(*sides))
     order = [*split.base, *split.novel]
     where = F.array(*[F.lit(order.index(c) if c in order else -1) for c in range(split.n_classes)])
-    return F.transform(where, lambda i: F.when(i >= 0, F.get(joined, i) / total).otherwise(0.0))
+    return let(joined, lambda v: F.transform(where, lambda i: F.when(i >= 0, F.get(v, i)).otherwise(0.0)))
 
 
 def is_base(base_logit: Column, threshold: float = 0.5) -> Column:

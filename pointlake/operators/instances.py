@@ -41,7 +41,7 @@ def batch_offsets(points: DataFrame, scenes_per_batch: int, scene_order: str = "
     sizes = points.groupBy(scene_order).agg(F.count(F.lit(1)).alias("n_points"))
     sizes = sizes.withColumn("batch_id", F.floor(F.col(scene_order) / scenes_per_batch).cast("bigint"))
     w = W.partitionBy("batch_id").orderBy(scene_order).rowsBetween(W.unboundedPreceding, -1)
-    return sizes.withColumn("offset", F.coalesce(F.sum("n_points").over(w), F.lit(0)))
+    return sizes.withColumn("row_offset", F.coalesce(F.sum("n_points").over(w), F.lit(0)))
 
 
 def globalise_instances(points: DataFrame, scenes_per_batch: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointlake.functions.vectors import exp_shifted, total
 from pointlake.schema import IGNORE, ClassSplit
 
 EPS = 1e-10
@@ -118,8 +119,7 @@ def best_epoch(rows: DataFrame, group: Sequence[str], metric: str, epoch: str) -
 
 def log_sum_exp(logits: Column) -> Column:
     """Stable ``log(sum(exp(x)))`` of a vector."""
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return F.array_max(logits) + F.log(total(exp_shifted(logits)))
 
 
 def cross_entropy(scores: DataFrame, logits: str, target: str) -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from pointlake.plans.registry import REGISTRY, Query
 
-MODULES = ("labels", "metrics")
+MODULES = ("labels", "metrics", "geometry", "voxels", "vectors")
 
 
 def catalogue() -> dict[str, Query]:
