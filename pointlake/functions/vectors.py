@@ -65,10 +65,16 @@ def argmax(a: Column) -> Column:
 def mean_vector(rows: DataFrame, group: Sequence[str], vec: str, dim: int, out: str = "pooled") -> DataFrame:
     """A3/A4: component-wise mean per group with its row count.
 
-    One ``avg`` per component keeps the whole reduction in map-side partial aggregation: a hot
-    group ships one partial row per task."""
-    means = F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dim)])
-    return rows.groupBy(*group).agg(means.alias(out), F.count(F.lit(1)).alias("n_rows"))
+    Short vectors use one ``avg`` per component, long ones (whose aggregate code would be too large
+    to compile) one row per component.  Both combine map-side: a hot group ships one partial
+    result per task."""
+    if dim <= 128:
+        means = F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dim)])
+        return rows.groupBy(*group).agg(means.alias(out), F.count(F.lit(1)).alias("n_rows"))
+    parts = rows.select(*group, F.posexplode(vec).alias("_i", "_v")).groupBy(*group, "_i").agg(
+        F.avg(F.col("_v").cast("double")).alias("_v"), F.count(F.lit(1)).alias("n_rows"))
+    return parts.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(out),
+                                     F.max("n_rows").alias("n_rows"))
 
 
 def score_matrix(rows: DataFrame, feat: str, weights: np.ndarray, normalise: bool, scale: float,

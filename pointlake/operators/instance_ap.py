@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pointlake.functions.blocks import running_sum
 from pointlake.operators.metrics import harmonic
 from pointlake.schema import ClassSplit
+from pointlake.session import cut_lineage
 
 # fixed values: nine thresholds from 0.50 to 0.90, then 0.25
 THRESHOLDS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.25)
@@ -72,7 +73,10 @@ def match_events(preds: DataFrame, gts: DataFrame, pairs: DataFrame, min_points:
         (F.col("k") - F.when(F.col("conf") == F.col("score"), 1).otherwise(0)).alias("n")).filter("n > 0")
     ids = {f.name: f.dataType.simpleString() for f in cand.schema.fields}
     schema = f"scene_id {ids['scene_id']}, class_id {ids['class_id']}, thr double, code {ids['code']}, score double, tp int"
-    visited = contested.groupBy(*key).applyInPandas(_greedy, schema)
+    if contested.isEmpty():
+        visited = contested.sparkSession.createDataFrame([], schema)
+    else:
+        visited = contested.groupBy(*key).applyInPandas(_greedy, schema)
 
     claimed = top.select(*key, "code", "score").unionByName(visited.filter("tp = 1").select(*key, "code", "score"))
     one = F.lit(1).cast("bigint").alias("n")
@@ -102,6 +106,7 @@ def precision_recall(events: DataFrame, missed: DataFrame) -> DataFrame:
     Events are first counted per score; running sums go through score blocks, so a class with any
     number of predictions is spread over tasks."""
     steps = events.groupBy(*_CURVE, "score").agg(F.sum(F.when(F.col("tp") == 1, F.col("n")).otherwise(0)).alias("hit"), F.sum("n").alias("n"))
+    steps = cut_lineage(steps)
     totals = steps.groupBy(*_CURVE).agg(F.sum("hit").alias("all_hit"), F.sum("n").alias("all_n"))
     block = F.floor(F.greatest(F.least(F.col("score"), F.lit(1.0)), F.lit(0.0)) * SCORE_BLOCKS)
     cum = running_sum(steps, _CURVE, ["score"], block, before_hit=F.col("hit"), before_n=F.col("n"))
@@ -129,6 +134,7 @@ def average_precision(preds: DataFrame, gts: DataFrame, pairs: DataFrame, class_
     With weights ``(r[k-1] - r[k+1]) / 2`` the sum over points equals the trapezoid sum over
     neighbouring points, which each row can compute from itself."""
     events, missed = match_events(preds, gts, pairs, min_points, thresholds)
+    missed = cut_lineage(missed)
     curve = precision_recall(events, missed)
     area = (F.col("recall") - F.col("next_recall")) * (F.col("precision") + F.col("next_precision")) / 2.0
     ap = curve.groupBy(*_CURVE).agg(F.sum(area).alias("ap"), F.max("recall").alias("rc"))

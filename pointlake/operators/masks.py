@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointlake.functions.blocks import BLOCK_BITS, block_of
+from pointlake.functions.vectors import let
 
 MASK = ("scene_id", "pred_id")
 CHUNK_BITS = 22
@@ -47,7 +48,7 @@ def encode_runs(runs: DataFrame, key: Sequence[str] = MASK, bits: int = CHUNK_BI
 def decode_runs(encoded: DataFrame, key: Sequence[str] = MASK) -> DataFrame:
     """Back to one row per point."""
     nums = F.transform(F.filter(F.split("counts", " "), lambda t: t != ""), lambda t: t.cast("bigint"))
-    at = F.sequence(F.lit(0), F.size(nums) / 2 - 1)
-    pairs = F.when(F.size(nums) > 0, F.transform(at.cast("array<int>"), lambda i: F.struct(nums[i * 2].alias("s"), nums[i * 2 + 1].alias("n"))))
+    at = F.sequence(F.lit(0), (F.size(nums) / 2).cast("int") - 1)
+    pairs = F.when(F.size(nums) > 0, let(nums, lambda v: F.transform(at, lambda i: F.struct(F.get(v, i * 2).alias("s"), F.get(v, i * 2 + 1).alias("n")))))
     runs = encoded.select(*key, F.explode(pairs).alias("p"))
     return runs.select(*key, F.explode(F.sequence(F.col("p.s") - 1, F.col("p.s") + F.col("p.n") - 2)).alias("point_idx"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointlake.functions.blocks import attach
 from pointlake.operators.labels import code_class
+from pointlake.session import cut_lineage
 
 IOU_EPS = 1e-5
 POINT = ["scene_id", "point_idx"]
@@ -73,20 +74,23 @@ def evaluation_pairs(mask: DataFrame, meta: DataFrame, codes: DataFrame, valid_i
     """Overlaps of predicted instances with ground truth of the same class.
 
     ``mask(scene_id, pred_id, point_idx)``, ``meta(scene_id, pred_id, label_id, conf)``,
-    ``codes(scene_id, point_idx, code)``.  Points are read once; the results are instance tables:
+    ``codes(scene_id, point_idx, code)``.  The results are instance tables, written to the
+    checkpoint folder because the AP reads them many times and the points should be read once:
     predictions with size and void count, ground truth with size, and pairs with IoU."""
-    shared = overlap_counts(mask, codes, "pred_id", "code")
+    shared = cut_lineage(overlap_counts(mask, codes, "pred_id", "code"))
     void = ~code_class(F.col("code")).isin(*valid_ids)
     stats = shared.groupBy("scene_id", "pred_id").agg(
         F.sum("inter").alias("n_pred"), F.sum(F.when(void, F.col("inter")).otherwise(0)).alias("void"))
     preds = (meta.filter(F.col("label_id").isin(*valid_ids)).join(stats, ["scene_id", "pred_id"])
              .filter(F.col("n_pred") >= min_points).select("scene_id", "pred_id", F.col("label_id").alias("class_id"), "conf", "n_pred", "void"))
+    preds = cut_lineage(preds)
     gts = (codes.filter(F.col("code") != 0).groupBy("scene_id", "code").agg(F.count(F.lit(1)).alias("n_gt"))
            .withColumn("class_id", code_class(F.col("code"))).filter(F.col("class_id").isin(*valid_ids)))
+    gts = cut_lineage(gts)
     pairs = (shared.filter(F.col("code") != 0).join(preds, ["scene_id", "pred_id"])
              .filter(F.col("class_id") == code_class(F.col("code"))).join(gts.drop("class_id"), ["scene_id", "code"]))
     pairs = pairs.withColumn("iou", F.col("inter") / (F.col("n_gt") + F.col("n_pred") - F.col("inter")))
-    return preds, gts, pairs
+    return preds, gts, cut_lineage(pairs)
 
 
 def paint_instances(mask: DataFrame, meta: DataFrame) -> DataFrame:
