@@ -6,6 +6,7 @@ integer millimetres.  Classes 5, 9, 12 and 16 are novel, 19 is ignored, the othe
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pointlake.operators import projection
 from pointlake.schema import ClassSplit
+from pointlake.session import use_checkpoint_dir
 
 N_CLASSES = 20
 SPLIT = ClassSplit(N_CLASSES, novel=(5, 9, 12, 16), ignored=(19,))
@@ -97,6 +99,10 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def scratch(self, name: str) -> str:
+        """A new folder below the checkpoint folder, for queries that write files and read them."""
+        return f"{use_checkpoint_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
     @cached_property
     def points(self) -> DataFrame:
         return self.base("orders").selectExpr(*POINT_COLS)

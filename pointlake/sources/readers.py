@@ -92,9 +92,10 @@ def fill_missing_labels(points: DataFrame) -> DataFrame:
     return points
 
 
-def read_captions(spark: SparkSession, path: str, level: str) -> DataFrame:
-    """``{scene: {image: text}}`` files, or ``{scene: text}`` at scene level (image NULL)."""
-    raw = spark.read.text(path, wholetext=True)
+def read_captions(spark: SparkSession, path: str, level: str, per_line: bool = False) -> DataFrame:
+    """``{scene: {image: text}}`` files, or ``{scene: text}`` at scene level (image NULL).
+    ``per_line`` reads files with one such object per line, which split over tasks."""
+    raw = spark.read.text(path, wholetext=not per_line)
     if level == "scene":
         scenes = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("scene_id", "caption"))
         return scenes.select("scene_id", F.lit(level).alias("level"), F.lit(None).cast("string").alias("image"), "caption")

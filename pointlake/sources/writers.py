@@ -82,7 +82,11 @@ def write_correspondence(corr: DataFrame, path: str) -> None:
     spread.sortWithinPartitions("scene_id", "image", "point_idx").write.mode("overwrite").partitionBy("level").parquet(path)
 
 
-def merge_indexes(spark: SparkSession, glob: str, path: str) -> None:
-    """K7: per-scene index files as one table keyed by file stem."""
-    rows = spark.read.parquet(glob).withColumn("scene_id", F.regexp_replace("_metadata.file_name", r"\.[^.]*$", ""))
+def merge_indexes(spark: SparkSession, glob: str, path: str, folder_key: str | None = None) -> None:
+    """K7: per-scene index files as one table keyed by file stem, or by the ``key=value`` folder the
+    files lie in."""
+    file = F.col("_metadata.file_path")
+    scene = (F.regexp_extract(file, rf"/{folder_key}=([^/]+)/", 1) if folder_key
+             else F.regexp_replace("_metadata.file_name", r"\.[^.]*$", ""))
+    rows = spark.read.parquet(glob).withColumn("scene_id", scene)
     rows.repartition("scene_id", F.shiftright("point_idx", 22)).sortWithinPartitions("scene_id", "image", "point_idx").write.mode("overwrite").parquet(path)
