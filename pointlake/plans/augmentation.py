@@ -126,14 +126,14 @@ def _(t):
 
 
 def elastic_sql(gran, mag, seed, src):
-    ext = "SELECT scene_id, " + ", ".join(f"CAST(floor(max(abs({c}))) AS BIGINT) // {gran} + 3 AS b{c}" for c in "xyz") + f" FROM ({src}) s GROUP BY scene_id"
-    grid = f"SELECT e.*, i.range AS i, j.range AS j, k.range AS k FROM ({ext}) e JOIN range(200) i ON i.range < bx JOIN range(200) j ON j.range < by JOIN range(200) k ON k.range < bz"
+    ext = "SELECT scene_id, " + ", ".join(f"CAST(floor(max(abs({c}))) AS BIGINT) // {gran} + 3 AS d{c}" for c in "xyz") + f" FROM ({src}) s GROUP BY scene_id"
+    grid = f"SELECT e.*, i.range AS i, j.range AS j, k.range AS k FROM ({ext}) e JOIN range(200) i ON i.range < dx JOIN range(200) j ON j.range < dy JOIN range(200) k ON k.range < dz"
     cur = "SELECT *, " + ", ".join(f"{normal(seed + 10 * a, 'scene_id', 'i', 'j', 'k')} AS n{c}" for a, c in enumerate("xyz")) + f" FROM ({grid}) g"
     for axis in "ijkijk":
         rest = ", ".join(a for a in "ijk" if a != axis)
         cur = "SELECT scene_id, i, j, k, " + ", ".join(f"sum(n{c}) OVER w/3 AS n{c}" for c in "xyz") + f" FROM ({cur}) b WINDOW w AS (PARTITION BY scene_id, {rest} ORDER BY {axis} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
-    pos = "SELECT s.scene_id, s.point_idx, s.x, s.y, s.z, bx, by, bz, " + ", ".join(f"({c} + (b{c} - 1)*{gran})/{2 * gran}e0 AS p{i}" for c, i in zip("xyz", "ijk")) + f" FROM ({src}) s JOIN ({ext}) e ON e.scene_id = s.scene_id"
-    cell = "SELECT *, " + ", ".join(f"greatest(least(CAST(floor(p{i}) AS BIGINT), b{c} - 2), 0) AS {i}0" for c, i in zip("xyz", "ijk")) + f" FROM ({pos}) p"
+    pos = "SELECT s.scene_id, s.point_idx, s.x, s.y, s.z, dx, dy, dz, " + ", ".join(f"({c} + (d{c} - 1)*{gran})/{2 * gran}e0 AS p{i}" for c, i in zip("xyz", "ijk")) + f" FROM ({src}) s JOIN ({ext}) e ON e.scene_id = s.scene_id"
+    cell = "SELECT *, " + ", ".join(f"greatest(least(CAST(floor(p{i}) AS BIGINT), d{c} - 2), 0) AS {i}0" for c, i in zip("xyz", "ijk")) + f" FROM ({pos}) p"
     inside = " AND ".join(f"p{i} - {i}0 BETWEEN 0 AND 1" for i in "ijk")
     weight = "*".join(f"(CASE WHEN g.{i} = {i}0 THEN 1 - (p{i} - {i}0) ELSE p{i} - {i}0 END)" for i in "ijk")
     near = " AND ".join(f"g.{i} BETWEEN {i}0 AND {i}0 + 1" for i in "ijk")

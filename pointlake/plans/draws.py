@@ -8,7 +8,7 @@ P = 2147483647
 def draw(seed: int, *keys: str) -> str:
     x = f"CAST({seed * 7919 % P} AS BIGINT)"
     for k in keys:
-        x = f"({x} * 48271 + (({k}) % {P} + {P}) % {P}) % {P}"
+        x = f"({x} * 48271 + (CAST({k} AS BIGINT) % {P} + {P}) % {P}) % {P}"
     for step in (16807, 69621):
         x = f"(({x}) * (({x}) + {step})) % {P}"
     return f"({x})"
