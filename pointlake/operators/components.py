@@ -5,24 +5,31 @@
 2. Two cells are linked when any two of their points are within ``r``.  Bounding boxes settle most
    pairs; small undecided pairs compare their points; large ones are split into sub-cells until every
    part is settled, so no pair of crowded cells is ever multiplied out.
-3. The cell graph (bounded degree) is reduced by alternating star contraction, written to the
-   checkpoint folder each round.
+3. The cell graph (bounded degree) is first contracted inside pieces of space, each task replacing
+   the edges it holds by a star per component, and then by alternating star contraction, written to
+   the checkpoint folder each round.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pointlake.functions.blocks import attach
-from pointlake.operators.radius import offsets_struct, squared_distance
+from pointlake.operators.radius import squared_distance
 from pointlake.session import cut_lineage
 
 CELL = ("cx", "cy", "cz")
+TILE = ("tx", "ty", "tz")
+TILE_BITS = 2
+PIECE_BITS = 5
 DIRECT_LIMIT = 4096
+CHUNK_EDGES = 1_000_000
 SPLIT_ROWS = 10_000_000
 
 
@@ -46,11 +53,6 @@ def cell_nodes(points: DataFrame, group: Sequence[str]) -> DataFrame:
     return points.groupBy(*group, *CELL).agg(F.min("point_idx").alias("node"), F.count(F.lit(1)).alias("n"), *_boxes())
 
 
-def _side(df: DataFrame, group: Sequence[str], tag: str, keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*group, *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in group and c not in keep],
-                     *keep)
-
-
 def _judge(pairs: DataFrame, radius: float) -> DataFrame:
     """Adds ``sure`` (all point pairs within r) and drops pairs that cannot be within r."""
     lo2, hi2 = F.lit(0.0), F.lit(0.0)
@@ -66,14 +68,27 @@ def _judge(pairs: DataFrame, radius: float) -> DataFrame:
 
 def cell_edges(points: DataFrame, nodes: DataFrame, radius: float, group: Sequence[str],
                direct_limit: int = DIRECT_LIMIT) -> DataFrame:
-    """Edges ``(a, b)`` between cells holding two points closer than ``radius``."""
+    """Edges ``(a, b)`` between cells holding two points closer than ``radius``; ``piece`` names the
+    part of space the first cell lies in."""
     group = list(group)
-    a = nodes.withColumn("_o", F.explode(offsets_struct(2, half=True)))
-    a = a.select(*group, *[(F.col(c) + F.col(f"_o.{k}")).alias(c) for c, k in zip(CELL, "abc")],
-                 *[F.col(c).alias(f"a_{c}") for c in nodes.columns if c not in group and c not in CELL])
-    b = nodes.select(*group, *CELL, *[F.col(c).alias(f"b_{c}") for c in nodes.columns if c not in group and c not in CELL])
-    pairs = cut_lineage(_judge(a.join(b, [*group, *CELL]), radius).drop(*CELL))
-    ends = [*group, F.col("a_node").alias("a"), F.col("b_node").alias("b")]
+    rest = [c for c in nodes.columns if c not in group and c not in CELL]
+    # a cell meets the cells up to two steps away: it stays in its own tile and later cells visit
+    # the tiles their neighbours lie in, so a tile holds a bounded number of cells
+    home = nodes.select(*group, *[F.shiftright(c, TILE_BITS).alias(n) for n, c in zip(TILE, CELL)],
+                        *[F.col(c).alias(f"a_{c}") for c in (*CELL, *rest)])
+    guest = nodes
+    for n, c, ahead in zip(TILE, CELL, (0, 2, 2)):  # along x only earlier cells are looked at
+        span = F.array(F.shiftright(F.col(c) - 2, TILE_BITS), F.shiftright(F.col(c) + ahead, TILE_BITS))
+        guest = guest.withColumn(n, F.explode(F.array_distinct(span)))
+    guest = guest.select(*group, *TILE, *[F.col(c).alias(f"b_{c}") for c in (*CELL, *rest)])
+    dx, dy, dz = (F.col(f"b_{c}") - F.col(f"a_{c}") for c in CELL)
+    later = (dx > 0) | ((dx == 0) & ((dy > 0) | ((dy == 0) & (dz > 0))))
+    near = (dx <= 2) & F.abs(dy).between(0, 2) & F.abs(dz).between(0, 2)
+    pairs = home.join(guest, [*group, *TILE]).filter(later & near)
+    piece = F.xxhash64(*group, *[F.shiftright(f"a_{c}", PIECE_BITS) for c in CELL])
+    pairs = pairs.withColumn("piece", piece).drop(*TILE, *[f"{t}_{c}" for t in "ab" for c in CELL])
+    pairs = cut_lineage(_judge(pairs, radius))
+    ends = [*group, F.col("a_node").alias("a"), F.col("b_node").alias("b"), "piece"]
     edges = pairs.filter("sure").select(*ends)
     open_pairs = pairs.filter("NOT sure")
     small = open_pairs.filter(F.col("a_n") * F.col("b_n") <= direct_limit)
@@ -85,7 +100,7 @@ def cell_edges(points: DataFrame, nodes: DataFrame, radius: float, group: Sequen
         keyed = members.select(*group, "node", "point_idx", "x", "y", "z")
         pa = keyed.select(*group, F.col("node").alias("a_node"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
         pb = keyed.select(*group, F.col("node").alias("b_node"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
-        met = (small.select(*group, "a_node", "b_node").join(pa, [*group, "a_node"]).join(pb, [*group, "b_node"])
+        met = (small.select(*group, "a_node", "b_node", "piece").join(pa, [*group, "a_node"]).join(pb, [*group, "b_node"])
                .filter(squared_distance("p", "q") < radius * radius))
         edges = edges.unionByName(met.select(*ends).distinct())
     if keyed is not None and not large.isEmpty():
@@ -98,7 +113,7 @@ def _refine(keyed: DataFrame, large: DataFrame, radius: float, group: list[str])
 
     A box around one point (or around copies of it) is exact, so the halving ends."""
     edge = _cell_edge(radius)
-    pair = [*group, "a_node", "b_node"]
+    pair = [*group, "a_node", "b_node", "piece"]
     sub = ("sx", "sy", "sz")
     crowded = large.select(*group, F.col("a_node").alias("node")).union(large.select(*group, F.col("b_node").alias("node"))).distinct()
     pts = cut_lineage(attach(keyed, crowded, [*group, "node"]))
@@ -124,7 +139,7 @@ def _refine(keyed: DataFrame, large: DataFrame, radius: float, group: list[str])
         found = sure if found is None else found.unionByName(sure)
         live = judged.filter("NOT sure").drop("sure").join(sure, pair, "left_anti")
         if live.isEmpty():
-            return found.select(*group, F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+            return found.select(*group, F.col("a_node").alias("a"), F.col("b_node").alias("b"), "piece")
 
 
 def _join_least(edges: DataFrame, least: DataFrame, key: list[str], total: int, split_rows: int) -> DataFrame:
@@ -137,30 +152,74 @@ def _join_least(edges: DataFrame, least: DataFrame, key: list[str], total: int,
     return light.unionByName(edges.join(F.broadcast(hubs), key))
 
 
+def contract_chunk(edges: pd.DataFrame, group: list[str]) -> pd.DataFrame:
+    """The edges ``(a, b)`` of one chunk as stars: every node with the least node of its component."""
+    m = len(edges)
+    g = edges.groupby(group, sort=False).ngroup().to_numpy()
+    ids, rank = np.unique(np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), return_inverse=True)
+    nodes, at = np.unique(np.concatenate([g, g]).astype(np.int64) * len(ids) + rank, return_inverse=True)
+    label = np.arange(len(nodes))
+    while True:
+        la, lb = label[at[:m]], label[at[m:]]
+        if np.array_equal(la, lb):
+            break
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    child = np.flatnonzero(label != np.arange(len(nodes)))
+    first = np.unique(g, return_index=True)[1]
+    out = edges[group].iloc[first[nodes[child] // len(ids)]].reset_index(drop=True)
+    out["u"] = ids[nodes[child] % len(ids)]
+    out["v"] = ids[nodes[label[child]] % len(ids)]
+    return out
+
+
+def contract_pieces(edges: DataFrame, group: Sequence[str], chunk: int = CHUNK_EDGES) -> DataFrame:
+    """Replace the edges of each piece of space by stars ``(u, v)`` with ``v < u``.  A task works on at
+    most about ``chunk`` edges at a time, so its memory does not depend on the size of a piece."""
+    group = list(group)
+    types = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    schema = ", ".join([f"{c} {types[c]}" for c in group] + [f"u {types['a']}", f"v {types['a']}"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= chunk:
+                yield contract_chunk(pd.concat(held, ignore_index=True), group)
+                held, n = [], 0
+        if n:
+            yield contract_chunk(pd.concat(held, ignore_index=True), group)
+
+    return edges.repartition("piece").select(*group, "a", "b").mapInPandas(run, schema)
+
+
 def star_components(edges: DataFrame, group: Sequence[str], split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Least node reachable from each node that has an edge: ``(group, node, label)``.
+    """Least node reachable from each node that has an edge ``(u, v)``: ``(group, node, label)``.
 
     Alternating large-star / small-star contraction; a round rewrites the edge list, which is written
     to the checkpoint folder."""
     group = list(group)
     key = [*group, "u"]
-    cur = cut_lineage(edges.select(*group, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
-    def state(df):
-        return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64(*group, "u", "v")), F.lit(0))).first())
+    def settle(df: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+        """Written edges with their number and a checksum, taken while writing."""
+        seen = Observation()
+        out = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(
+            F.bit_xor(F.xxhash64(*group, "u", "v")), F.lit(0)).alias("sum")))
+        return out, (seen.get["n"], seen.get["sum"])
 
-    mark = state(cur)
+    cur, mark = settle(edges.select(*group, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while mark[0]:
         both = cur.unionByName(cur.select(*group, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*key).agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
         up = _join_least(both.filter("v > u"), least, key, mark[0], split_rows)
-        large = up.select(*group, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = up.select(*group, F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy(*key).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
         down = _join_least(large, least, key, mark[0], split_rows)
         links = down.filter("v <> m").select(*group, F.col("v").alias("u"), F.col("m").alias("v"))
-        links = links.unionByName(least.select(*group, "u", F.col("m").alias("v"))).distinct()
-        cur = cut_lineage(links)
-        seen = state(cur)
+        cur, seen = settle(links.unionByName(least.select(*group, "u", F.col("m").alias("v"))).distinct())
         if seen == mark:
             break
         mark = seen
@@ -178,7 +237,8 @@ def cluster_points(points: DataFrame, radius: float, min_size: Column | int, gro
     group = list(group)
     pts = with_component_cells(points, radius)
     nodes = cut_lineage(cell_nodes(pts, group))
-    labels = star_components(cell_edges(pts, nodes, radius, group, direct_limit), group)
+    edges = cell_edges(pts, nodes, radius, group, direct_limit)
+    labels = star_components(contract_pieces(edges, group), group)
     named = nodes.join(labels, [*group, "node"], "left").select(
         *group, *CELL, "n", F.coalesce("label", "node").alias("label"))
     sizes = named.groupBy(*group, "label").agg(F.sum("n").alias("size"))
