@@ -203,41 +203,43 @@ def crop(points: DataFrame, full_scale: int, max_points: int, seed: int, step: i
     Every window the loop could reach is counted in one pass: attempt ``t`` uses a window shrunk by
     ``m`` steps with ``t <= m <= 2t``.  A fold over those counts finds the attempt at which each
     scene stops, and the points of that window are kept (shifted)."""
-    stats = {f"_{k}{c}": (fn, F.col(c)) for c in XYZ for k, fn in (("lo", "min"), ("hi", "max"))}
-    pts = with_stats(points, ["scene_id"], **stats)
     last = math.ceil(full_scale / step) + 1
-
-    def window(t: Column | int, m: Column | int):
-        t = F.lit(t) if isinstance(t, int) else t
-        m = F.lit(m) if isinstance(m, int) else m
+    attempts = [(t, m) for t in range(last) for m in range(t, min(2 * t, last) + 1)]
+    bounds = [f(c).alias(f"_{k}{c}") for c in XYZ for k, f in (("lo", F.min), ("hi", F.max))]
+    scenes = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"), *bounds)
+    shifts = [F.array(*[rng.uniform(seed + a, scene_key(), F.lit(t)) for t in range(last)]).alias(f"_u{c}") for a, c in enumerate(XYZ)]
+    scenes = scenes.select("*", *shifts)
+    pts = attach(points, scenes, ["scene_id"])
+
+    def window(t: Column, m: Column) -> tuple[list[Column], Column]:
+        """Shifted coordinates of attempt ``t`` and whether they lie in the window."""
         side = [F.lit(float(full_scale)) - m * float(step)] * 2 + [F.lit(float(full_scale))]
-        moved = []
+        moved, ok = [], F.lit(True)
         for a, c in enumerate(XYZ):
             room = F.col(f"_hi{c}") - F.col(f"_lo{c}")
-            shift = F.least(side[a] - room + 0.001, F.lit(0.0)) * rng.uniform(seed + a, scene_key(), t)
-            moved.append(F.col(c) + shift)
-        ok = F.lit(True)
-        for a in range(3):
+            moved.append(F.col(c) + F.least(side[a] - room + 0.001, F.lit(0.0)) * F.get(F.col(f"_u{c}"), t))
             ok = ok & (moved[a] >= 0) & (moved[a] < side[a])
         return moved, ok
 
-    attempts = [(t, m) for t in range(last) for m in range(t, min(2 * t, last) + 1)]
-    counts = [F.sum(F.when(window(t, m)[1], 1).otherwise(0)).alias(f"_c{t}_{m}") for t, m in attempts]
-    per_scene = pts.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"), *counts)
-    seen = F.create_map(*[x for t, m in attempts for x in (F.lit(t * 1000 + m), F.col(f"_c{t}_{m}"))])
-    # state: attempts made, steps shrunk, points left, window of the last attempt
+    # scenes that fit need no attempt; hits are counted map-side, so the rows never leave their task
+    tries = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in attempts])
+    rows = pts.filter(F.col("_n") > max_points).withColumn("_a", F.explode(tries))
+    hits = rows.filter(window(F.col("_a.t"), F.col("_a.m"))[1]).groupBy("scene_id", F.col("_a.t").alias("t"), F.col("_a.m").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    seen = hits.groupBy("scene_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("t") * 1000 + F.col("m"), "n"))).alias("_seen"))
+    # state: last attempt, steps shrunk, points left, window of the last attempt
     start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("m"), F.col("_n").alias("n"), F.lit(0).alias("used"))
 
     def advance(s, t):
-        n = F.coalesce(F.try_element_at(seen, t * 1000 + s["m"]), F.lit(0).cast("bigint"))
+        n = F.coalesce(F.try_element_at("_seen", t * 1000 + s["m"]), F.lit(0).cast("bigint"))
         shrink = F.when(s["n"] > big, 2).otherwise(1)
         return F.when(s["n"] > max_points, F.struct(t.alias("t"), (s["m"] + shrink).alias("m"), n.alias("n"), s["m"].alias("used"))).otherwise(s)
 
     end = F.aggregate(F.sequence(F.lit(0), F.lit(last - 1)), start, advance)
-    chosen = per_scene.select("scene_id", end.alias("_e")).select("scene_id", F.col("_e.t").alias("_t"), F.col("_e.used").alias("_m"))
-    out = attach(pts, chosen, ["scene_id"])
-    moved, ok = window(F.col("_t"), F.col("_m"))
+    chosen = scenes.join(seen, "scene_id", "left").select(*scenes.columns, end.alias("_e"))
+    chosen = chosen.select(*scenes.columns, F.col("_e.t").alias("_t"), F.col("_e.used").alias("_m"))
+    out = attach(points, chosen, ["scene_id"])
     whole = F.col("_t") < 0
+    moved, ok = window(F.greatest("_t", F.lit(0)), F.col("_m"))
     out = out.filter(whole | ok).select("*", *[F.when(whole, F.col(c)).otherwise(moved[a]).alias(f"_s{c}") for a, c in enumerate(XYZ)])
     for c in XYZ:
         out = out.withColumn(c, F.col(f"_s{c}"))

@@ -87,24 +87,28 @@ def cell_edges(points: DataFrame, nodes: DataFrame, radius: float, group: Sequen
     pairs = home.join(guest, [*group, *TILE]).filter(later & near)
     piece = F.xxhash64(*group, *[F.shiftright(f"a_{c}", PIECE_BITS) for c in CELL])
     pairs = pairs.withColumn("piece", piece).drop(*TILE, *[f"{t}_{c}" for t in "ab" for c in CELL])
-    pairs = cut_lineage(_judge(pairs, radius))
+    crowd = F.col("a_n") * F.col("b_n")
+    unsure = ~F.col("sure")
+    seen = Observation()
+    pairs = cut_lineage(_judge(pairs, radius).observe(
+        seen, F.count(F.when(unsure & (crowd <= direct_limit), 1)).alias("small"),
+        F.count(F.when(unsure & (crowd > direct_limit), 1)).alias("large")))
+    n_small, n_large = seen.get["small"], seen.get["large"]
     ends = [*group, F.col("a_node").alias("a"), F.col("b_node").alias("b"), "piece"]
     edges = pairs.filter("sure").select(*ends)
-    open_pairs = pairs.filter("NOT sure")
-    small = open_pairs.filter(F.col("a_n") * F.col("b_n") <= direct_limit)
-    large = open_pairs.filter(F.col("a_n") * F.col("b_n") > direct_limit)
-
-    keyed = None
-    if not open_pairs.isEmpty():
-        members = attach(points.select(*group, "point_idx", "x", "y", "z", *CELL), nodes.select(*group, *CELL, "node"), [*group, *CELL])
-        keyed = members.select(*group, "node", "point_idx", "x", "y", "z")
+    if n_small + n_large == 0:
+        return edges
+    members = attach(points.select(*group, "point_idx", "x", "y", "z", *CELL), nodes.select(*group, *CELL, "node"), [*group, *CELL])
+    keyed = members.select(*group, "node", "x", "y", "z")
+    if n_small:
         pa = keyed.select(*group, F.col("node").alias("a_node"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
         pb = keyed.select(*group, F.col("node").alias("b_node"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
-        met = (small.select(*group, "a_node", "b_node", "piece").join(pa, [*group, "a_node"]).join(pb, [*group, "b_node"])
+        small = pairs.filter(unsure & (crowd <= direct_limit)).select(*group, "a_node", "b_node", "piece")
+        met = (small.join(pa, [*group, "a_node"]).join(pb, [*group, "b_node"])
                .filter(squared_distance("p", "q") < radius * radius))
         edges = edges.unionByName(met.select(*ends).distinct())
-    if keyed is not None and not large.isEmpty():
-        edges = edges.unionByName(_refine(keyed, large, radius, group))
+    if n_large:
+        edges = edges.unionByName(_refine(keyed, pairs.filter(unsure & (crowd > direct_limit)), radius, group))
     return edges
 
 
@@ -116,7 +120,8 @@ def _refine(keyed: DataFrame, large: DataFrame, radius: float, group: list[str])
     pair = [*group, "a_node", "b_node", "piece"]
     sub = ("sx", "sy", "sz")
     crowded = large.select(*group, F.col("a_node").alias("node")).union(large.select(*group, F.col("b_node").alias("node"))).distinct()
-    pts = cut_lineage(attach(keyed, crowded, [*group, "node"]))
+    salted = keyed.withColumn("_k", F.pmod(F.xxhash64("x", "y", "z"), F.lit(1 << 24)))
+    pts = cut_lineage(attach(salted, crowded, [*group, "node"], key="_k").drop("_k"))
     live = large.select(*pair, *[F.floor(F.lit(0)).cast("bigint").alias(f"{t}_{s}") for t in "ab" for s in sub])
     found = None
     level = 0
@@ -134,11 +139,13 @@ def _refine(keyed: DataFrame, large: DataFrame, radius: float, group: list[str])
         kb = kids.select(*group, *[F.col(c).alias(f"b_{c}") for c in kids.columns if c not in group])
         cur = live.withColumnsRenamed({f"{t}_{s}": f"{t}_u{s}" for t in "ab" for s in sub})
         cur = cur.join(ka, [*group, "a_node", *[f"a_{u}" for u in ups]]).join(kb, [*group, "b_node", *[f"b_{u}" for u in ups]])
-        judged = cut_lineage(_judge(cur, radius).select(*pair, "sure", *[f"{t}_{s}" for t in "ab" for s in sub]))
+        judged = _judge(cur, radius).select(*pair, "sure", *[f"{t}_{s}" for t in "ab" for s in sub])
+        seen = Observation()
+        judged = cut_lineage(judged.observe(seen, F.count(F.when(~F.col("sure"), 1)).alias("open")))
         sure = judged.filter("sure").select(*pair).distinct()
         found = sure if found is None else found.unionByName(sure)
         live = judged.filter("NOT sure").drop("sure").join(sure, pair, "left_anti")
-        if live.isEmpty():
+        if not seen.get["open"]:
             return found.select(*group, F.col("a_node").alias("a"), F.col("b_node").alias("b"), "piece")
 
 

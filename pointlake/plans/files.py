@@ -28,10 +28,10 @@ def _(t):
     return R.split_by_area(rooms, 5, "room")
 
 
-@query("s6_scene_list", PT + "sem_label bigint", "SELECT scene_id, point_idx, sem_label FROM points WHERE scene_id % 2 = 0", ("points",))
+@query("s6_scene_list", PT + "sem_label bigint", "SELECT scene_id, point_idx, sem_label FROM points WHERE scene_id IN (SELECT scene_id FROM points WHERE sem_label IN (5, 12))", ("points",))
 def _(t):
     path = t.scratch("list")
-    t.scenes.filter("scene_id % 2 = 0").select(F.concat(F.lit("  "), F.col("scene_id"), F.lit(" ")).alias("value")).write.text(path)
+    t.points.filter("sem_label IN (5, 12)").select("scene_id").distinct().select(F.concat(F.lit("  "), F.col("scene_id"), F.lit(" ")).alias("value")).write.text(path)
     return R.restrict_to_scenes(t.points, R.read_scene_list(t.spark, path).select(F.col("scene_id").cast("bigint")))
 
 
@@ -56,12 +56,13 @@ def _(t):
     return R.read_correspondence(t.spark, path, "view")
 
 
-@query("s10_complete_scenes", "scene_id bigint, n_images bigint", "SELECT scene_id, count(*) AS n_images FROM frames WHERE scene_id % 3 <> 1 GROUP BY scene_id", ("frames",))
+@query("s10_complete_scenes", "scene_id bigint, n_images bigint", "SELECT scene_id, count(*) AS n_images FROM frames WHERE scene_id NOT IN (SELECT scene_id FROM points WHERE sem_label = 12) GROUP BY scene_id", ("frames", "points"))
 def _(t):
     kinds = F.array(*[F.lit(k) for k in ("pose", "depth", "color")])
     files = t.frames.select("scene_id", "frame", F.explode(kinds).alias("kind"))
-    # every third scene misses one depth image
-    files = files.filter(~((F.col("scene_id") % 3 == 1) & (F.col("kind") == "depth") & (F.col("frame") == 0)))
+    # scenes with a point of class 12 miss one depth image
+    short = t.points.filter("sem_label = 12").select("scene_id").distinct().withColumn("short", F.lit(True))
+    files = files.join(short, "scene_id", "left").filter(F.coalesce(~(F.col("short") & (F.col("kind") == "depth") & (F.col("frame") == 0)), F.lit(True)))
     return R.complete_scenes(files, strict=False)
 
 

@@ -65,7 +65,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "captions": (("frames",), "SELECT f.scene_id, f.frame, concat(a.p_name, ' ', b.p_name) AS caption FROM frames f "
                  "JOIN part a ON a.p_partkey = (f.scene_id*6 + f.frame) % (SELECT count(*) FROM part) "
                  "JOIN part b ON b.p_partkey = (f.scene_id*3 + f.frame*2) % (SELECT count(*) FROM part)"),
-    "pred_inst": (("points",), f"SELECT scene_id, point_idx, {PRED_INST} AS pred_id FROM points WHERE point_idx % 29 <> 0"),
+    "pred_inst": (("points",), f"SELECT scene_id, point_idx, {PRED_INST} AS pred_id FROM points WHERE r >= 9"),
     "pred_meta": (("pred_inst",), f"SELECT scene_id, pred_id, {CONF} AS conf, {PRED_CLASS} AS class_id, count(*) AS n "
                   "FROM pred_inst GROUP BY scene_id, pred_id"),
     "gt_codes": (("points",), "SELECT scene_id, point_idx, CASE WHEN inst_label < 0 THEN 0 ELSE (sem_label+1)*1000 + inst_label + 1 END AS code FROM points"),
@@ -162,7 +162,7 @@ class Tables:
 
     @cached_property
     def pred_inst(self) -> DataFrame:
-        return self.points.filter("point_idx % 29 <> 0").selectExpr("scene_id", "point_idx", f"{PRED_INST} AS pred_id")
+        return self.points.filter("r >= 9").selectExpr("scene_id", "point_idx", f"{PRED_INST} AS pred_id")
 
     @cached_property
     def pred_meta(self) -> DataFrame:

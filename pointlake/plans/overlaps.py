@@ -79,13 +79,13 @@ def _(t):
     return OV.assign_proposals(ious(t), 0.95, 0.2)
 
 
-SPREAD = "SELECT scene_id, point_idx, pred_id FROM pred_inst UNION ALL SELECT scene_id, point_idx, pred_id + 8 FROM pred_inst WHERE point_idx % 3 = 0"
+SPREAD = "SELECT scene_id, point_idx, pred_id FROM pred_inst UNION ALL SELECT scene_id, point_idx, inst_label + 8 FROM points WHERE inst_label >= 0"
 
 
 @query("t6_paint_instances", PT + "pred_id bigint, conf double",
-       f"SELECT scene_id, point_idx, pred_id, conf FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, point_idx ORDER BY conf DESC, pred_id) AS k FROM (SELECT *, ((pred_id*7 + scene_id*3) % 10 + 1)/10e0 AS conf FROM ({SPREAD}) s) c) q WHERE k = 1", ("pred_inst",))
+       f"SELECT scene_id, point_idx, pred_id, conf FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, point_idx ORDER BY conf DESC, pred_id) AS k FROM (SELECT *, ((pred_id*7 + scene_id*3) % 10 + 1)/10e0 AS conf FROM ({SPREAD}) s) c) q WHERE k = 1", ("pred_inst", "points"))
 def _(t):
-    mask = t.pred_inst.unionByName(t.pred_inst.filter("point_idx % 3 = 0").selectExpr("scene_id", "point_idx", "pred_id + 8 AS pred_id"))
+    mask = t.pred_inst.unionByName(t.points.filter("inst_label >= 0").selectExpr("scene_id", "point_idx", "inst_label + 8 AS pred_id"))
     meta = mask.select("scene_id", "pred_id").distinct().selectExpr("*", "((pred_id*7 + scene_id*3) % 10 + 1)/10e0 AS conf")
     return OV.paint_instances(mask, meta)
 

@@ -144,12 +144,15 @@ def complete_scenes(files: DataFrame, kinds: Sequence[str] = ("pose", "depth", "
 
 
 def read_id_lists(spark: SparkSession, glob: str) -> DataFrame:
-    """One id per line and file.  The line position comes with the value, so files are decoded
-    whole by the task that reads them and leave it row by row."""
-    raw = spark.read.text(glob, wholetext=True).select(file_stem(F.col("_metadata.file_path")).alias("scene_id"), "value")
-    ids = F.filter(F.split("value", "\n"), lambda t: F.trim(t) != "")
-    return (raw.select("scene_id", F.posexplode(ids).alias("point_idx", "id"))
-            .select("scene_id", F.col("point_idx").cast("bigint").alias("point_idx"), F.trim("id").cast("bigint").alias("id")))
+    """One id per line and file; ``point_idx`` is the line number from 0.
+
+    A file may be read in several splits.  Lines are numbered inside a split (a task reads its lines in
+    order) and shifted by the line counts of the earlier splits of the file."""
+    lines = spark.read.text(glob).select(
+        file_stem(F.col("_metadata.file_path")).alias("scene_id"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_seq"), "value").filter(F.trim("value") != "")
+    out = ordinal(lines, ["scene_id"], ["_seq"], "point_idx", F.col("_start"))
+    return out.select("scene_id", "point_idx", F.trim("value").cast("bigint").alias("id"))
 
 
 def read_instance_manifests(spark: SparkSession, glob: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.functions.blocks import ordinal
+from pointlake.functions.blocks import attach, ordinal, with_stats
 from pointlake.operators.labels import CODE_BASE, code_class, lookup
 
 
@@ -34,7 +34,6 @@ def pred_manifest(meta: DataFrame, eval_ids: Sequence[int] | None = None) -> Dat
 
 def dense_mask(mask: DataFrame, points: DataFrame, meta: DataFrame) -> DataFrame:
     """K2: 0/1 per point of the scene for every predicted instance."""
-    from pointlake.functions.blocks import attach
     grid = attach(points.select("scene_id", "point_idx"), meta.select("scene_id", "pred_id"), ["scene_id"])
     on = mask.select("scene_id", "pred_id", "point_idx", F.lit(1).alias("value"))
     return grid.join(on, ["scene_id", "pred_id", "point_idx"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
@@ -69,10 +68,14 @@ def write_metric_csv(class_avgs: DataFrame, path: str) -> None:
     class_avgs.select("class", "class_id", "ap", "ap50", "ap25").write.mode("overwrite").csv(path, header=True)
 
 
-def captions_json(captions: DataFrame, image: str = "image") -> DataFrame:
-    """K6: a JSON line ``{scene: {image: text}}`` per scene."""
+def captions_json(captions: DataFrame, image: str = "image", per_line: int = 1 << 16) -> DataFrame:
+    """K6: JSON lines ``{scene: {image: text}}``, one per scene; a scene with more than ``per_line``
+    captions takes several lines."""
+    keyed = captions.withColumn("_h", F.pmod(F.xxhash64(image), F.lit(1 << 26)))
+    keyed = with_stats(keyed, ["scene_id"], key="_h", _n=("count",))
+    keyed = keyed.withColumn("_part", F.col("_h") % F.ceil(F.col("_n") / per_line))
     images = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(image).cast("string"), "caption"))))
-    rows = captions.groupBy("scene_id").agg(images.alias("m"))
+    rows = keyed.groupBy("scene_id", "_part").agg(images.alias("m"))
     return rows.select(F.to_json(F.create_map(F.col("scene_id").cast("string"), F.col("m"))).alias("value"))
 
 
