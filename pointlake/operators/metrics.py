@@ -37,12 +37,12 @@ def class_areas(preds: DataFrame, n_classes: int, pred: str = "pred", target: st
 
 def semantic_class_metrics(areas: DataFrame) -> DataFrame:
     """A6 per class: IoU, precision, recall and share of predictions."""
-    total = areas.agg(F.sum("area_pred").alias("_total"))
-    return areas.join(F.broadcast(total)).select(
+    total = areas.agg(F.sum("area_pred")).scalar()
+    return areas.select(
         "class_id", (F.col("inter") / (F.col("area_union") + EPS)).alias("iou"),
         (F.col("inter") / (F.col("area_pred") + EPS)).alias("prec"),
         (F.col("inter") / (F.col("area_gt") + EPS)).alias("acc"),
-        (F.col("area_pred") / (F.col("_total") + EPS)).alias("label_ratio"))
+        (F.col("area_pred") / (total + EPS)).alias("label_ratio"))
 
 
 def semantic_summary(areas: DataFrame) -> DataFrame:

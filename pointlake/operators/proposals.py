@@ -61,9 +61,7 @@ def revoxelise(members: DataFrame, feats: Sequence[str], scale: float, shape: in
     for v, c in zip(CELL, "xyz"):
         pts = pts.withColumn(v, F.floor(F.col(c) * F.col("_s") - F.col(f"_lo{c}") * F.col("_s")).cast("bigint"))
     pts = pts.drop("_s", *stats)
-    voxels = voxel_table(pts, key)
-    pooled = pts.groupBy(*key, *CELL).agg(*[F.avg(f).alias(f) for f in feats])
-    return voxels.join(pooled, [*key, *CELL]), pts
+    return voxel_table(pts, key, *[F.avg(f).alias(f) for f in feats]), pts
 
 
 def predicted_instances(proposals: DataFrame, masks: DataFrame, semantic: DataFrame, class_ids: Sequence[int],

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointlake.functions.blocks import attach
+
 CELL = ("_cx", "_cy", "_cz")
 
 
@@ -22,32 +24,48 @@ def squared_distance(a: str, b: str):
     return sum(((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "xyz"), F.lit(0.0))
 
 
-def radius_pairs(points: DataFrame, radius: float, group: Sequence[str] = ("scene_id",)) -> DataFrame:
+def radius_pairs(points: DataFrame, radius: float, group: Sequence[str] = ("scene_id",), crowded: int = 8192) -> DataFrame:
     """Every pair ``src < dst`` of a group with ``d**2 < radius**2``, once.
 
     Cells have edge ``radius``; each point looks into its own cell and 13 of the 26 neighbours, so a
-    pair is met exactly once."""
+    pair is met exactly once.  The largest cell is counted first: when it holds more than
+    ``crowded`` points, the points of a cell are dealt into parts of that size and each part is joined
+    by its own task."""
     group = list(group)
     cells = points.select(*group, "point_idx", "x", "y", "z",
                           *[F.floor(F.col(c) / radius).cast("bigint").alias(n) for c, n in zip("xyz", CELL)])
-    look = F.concat(F.array(F.struct(*[F.lit(0).cast("bigint").alias(n) for n in "abc"])), offsets_struct(1, half=True))
-    left = (cells.withColumn("_o", F.explode(look))
-            .select(*group, F.col("point_idx").alias("p"), *[F.col(c).alias(f"p{c}") for c in "xyz"],
-                    (F.col("_o.a") == 0).alias("_a0") & (F.col("_o.b") == 0) & (F.col("_o.c") == 0),
-                    *[(F.col(n) + F.col(f"_o.{k}")).alias(n) for n, k in zip(CELL, "abc")]))
-    left = left.toDF(*group, "p", "px", "py", "pz", "own", *CELL)
-    right = cells.select(*group, F.col("point_idx").alias("q"), *[F.col(c).alias(f"q{c}") for c in "xyz"], *CELL)
-    pairs = left.join(right, [*group, *CELL]).filter(~F.col("own") | (F.col("p") < F.col("q")))
+    sizes = cells.groupBy(*group, *CELL).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.array(F.struct(*[F.lit(0).cast("bigint").alias(n) for n in "abc"]))
+    look = F.concat(zero, offsets_struct(1, half=True))
+    own = (F.col("_o.a") == 0) & (F.col("_o.b") == 0) & (F.col("_o.c") == 0)
+    target = [(F.col(n) + F.col(f"_o.{k}")).alias(n) for n, k in zip(CELL, "abc")]
+    p_cols = [F.col("point_idx").alias("p"), *[F.col(c).alias(f"p{c}") for c in "xyz"]]
+    q_cols = [F.col("point_idx").alias("q"), *[F.col(c).alias(f"q{c}") for c in "xyz"]]
+    key = [*group, *CELL]
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= crowded:
+        left = cells.withColumn("_o", F.explode(look)).select(*group, *p_cols, own.alias("own"), *target)
+        right = cells.select(*key, *q_cols)
+    else:
+        parts = sizes.select(*key, F.ceil(F.col("_n") / crowded).alias("_parts"))
+        # look-ups are made per cell, and only cells that hold points are looked into
+        goals = sizes.withColumn("_o", F.explode(look)).select(
+            *group, *[F.col(n).alias(f"from{n}") for n in CELL], own.alias("own"), *target).join(parts, key)
+        goals = goals.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+        goals = goals.withColumnsRenamed({n: f"to{n}" for n in CELL}).withColumnsRenamed({f"from{n}": n for n in CELL})
+        left = attach(cells, goals, key).select(*group, *p_cols, "own", "_part", *[F.col(f"to{n}").alias(n) for n in CELL])
+        right = attach(cells, parts, key).select(*key, (F.col("point_idx") % F.col("_parts")).alias("_part"), *q_cols)
+        key = [*key, "_part"]
+    pairs = left.join(right, key).filter(~F.col("own") | (F.col("p") < F.col("q")))
     near = pairs.filter(squared_distance("p", "q") < radius * radius)
     return near.select(*group, F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"))
 
 
 def radius_neighbours(points: DataFrame, radius: float, group: Sequence[str] = ("scene_id",),
-                      cap: int | None = None) -> DataFrame:
+                      cap: int | None = None, crowded: int = 8192) -> DataFrame:
     """Directed neighbour lists, each point included in its own; ``cap`` keeps the lowest
     indices per point."""
     group = list(group)
-    pairs = radius_pairs(points, radius, group)
+    pairs = radius_pairs(points, radius, group, crowded)
     loops = points.select(*group, F.col("point_idx").alias("src"), F.col("point_idx").alias("dst"))
     both = pairs.unionByName(pairs.select(*group, F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(loops)
     if cap is None:

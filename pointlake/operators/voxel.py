@@ -21,10 +21,10 @@ def with_cells(points: DataFrame, size: float, cols: Sequence[str] = ("x", "y",
     return points
 
 
-def voxel_table(points: DataFrame, batch: Sequence[str] = ("scene_id",)) -> DataFrame:
-    """V1: one row per occupied voxel, numbered by first appearance."""
+def voxel_table(points: DataFrame, batch: Sequence[str] = ("scene_id",), *pooled: Column) -> DataFrame:
+    """V1: one row per occupied voxel, numbered by first appearance, with any ``pooled`` aggregates."""
     cells = points.groupBy(*batch, *CELL).agg(F.min("point_idx").alias("first_idx"),
-                                              F.count(F.lit(1)).alias("n_points"))
+                                              F.count(F.lit(1)).alias("n_points"), *pooled)
     return ordinal(cells, batch, ["first_idx"], "voxel_id", block_of(F.col("first_idx")))
 
 

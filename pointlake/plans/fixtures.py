@@ -153,9 +153,8 @@ class Tables:
     @cached_property
     def captions(self) -> DataFrame:
         part = self.base("part").select("p_partkey", "p_name")
-        n = part.agg(F.count(F.lit(1)).alias("n_parts"))
-        keys = self.frames.select("scene_id", "frame").join(F.broadcast(n))  # one counted row
-        keys = keys.selectExpr("scene_id", "frame", "(scene_id*6 + frame) % n_parts AS ka", "(scene_id*3 + frame*2) % n_parts AS kb")
+        n = part.agg(F.count(F.lit(1))).scalar()
+        keys = self.frames.select("scene_id", "frame", n.alias("n_parts")).selectExpr("scene_id", "frame", "(scene_id*6 + frame) % n_parts AS ka", "(scene_id*3 + frame*2) % n_parts AS kb")
         a = part.selectExpr("p_partkey AS ka", "p_name AS na")
         b = part.selectExpr("p_partkey AS kb", "p_name AS nb")
         return keys.join(a, "ka").join(b, "kb").selectExpr("scene_id", "frame", "concat(na, ' ', nb) AS caption")
@@ -178,6 +177,6 @@ class Tables:
     def feats(self) -> DataFrame:
         """A feature vector per point, taken from the embeddings table."""
         emb = self.base("embeddings").select("vec_id", "embedding")
-        n = emb.agg(F.count(F.lit(1)).alias("n_vecs"))
-        keyed = self.points.join(F.broadcast(n)).selectExpr("scene_id", "point_idx", "sem_label", "inst_label", "point_id % n_vecs AS vec_id")
+        n = emb.agg(F.count(F.lit(1))).scalar()
+        keyed = self.points.select("*", n.alias("n_vecs")).selectExpr("scene_id", "point_idx", "sem_label", "inst_label", "point_id % n_vecs AS vec_id")
         return keyed.join(emb, "vec_id")

@@ -262,8 +262,8 @@ def _(t):
        ("corr", "feats", "frames"))
 def _(t):
     emb = t.base("embeddings").select(F.col("vec_id").alias("caption_id"), F.col("embedding").alias("text_vec"))
-    n = t.base("embeddings").agg(F.count(F.lit(1)).alias("n_vecs"))
-    caps = t.frames.select("scene_id", "frame").join(F.broadcast(n)).selectExpr(  # one counted row
+    n = t.base("embeddings").agg(F.count(F.lit(1))).scalar()
+    caps = t.frames.select("scene_id", "frame", n.alias("n_vecs")).selectExpr(
         "scene_id", "frame", "scene_id div 4 AS batch_id", "(scene_id*6 + frame) % n_vecs AS caption_id").join(emb, "caption_id")
     regions = CP.pool_captions(caps.drop("text_vec"), t.corr, t.feats, "embedding", 64).filter("has_points")
     out = CP.caption_similarity(regions, caps, "pooled", "text_vec", 10.0)

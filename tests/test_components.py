@@ -84,3 +84,10 @@ def test_radius_is_strict_and_includes_self(spark):
     got = {(r.src, r.dst) for r in R.radius_neighbours(df, 1.0).collect()}
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
     assert {(r.src, r.dst) for r in R.radius_neighbours(df, 1.0, cap=2).collect() if r.src == 3} == {(3, 1), (3, 2)}
+
+
+def test_crowded_cells_are_joined_in_parts(spark):
+    df = frame(spark, clouds())
+    whole = R.radius_neighbours(df, 0.04, ["scene_id", "class_id"])
+    parts = R.radius_neighbours(df, 0.04, ["scene_id", "class_id"], crowded=7)
+    assert sorted(parts.collect()) == sorted(whole.collect())

@@ -29,8 +29,8 @@ def test_no_query_multiplies_tables(spark, sf):
     for name in lazy:
         text = plan(catalogue()[name].run(spark, sf), "simple")
         assert "CartesianProduct" not in text, name
-        # a nested loop join is only allowed against a one-row total
-        assert text.count("BroadcastNestedLoopJoin") <= 2, name
+        # the loss queries put two one-row results side by side
+        assert text.count("BroadcastNestedLoopJoin") <= name.startswith("a17"), name
 
 
 def test_capped_voxels_are_cut_before_the_shuffle(spark, sf):
