@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from pointlake.functions.vectors import softmax
 from pointlake.operators import components, proposals as PR, radius, sampling
+from pointlake.operators.calibrate import calibrate
+from pointlake.plans.fixtures import SPLIT
+from pointlake.plans.vectors import NB
 from pointlake.plans.registry import query
 
 PT = "scene_id bigint, point_idx bigint, "
@@ -120,6 +123,7 @@ def _(t):
 MASK_SCORE = "((point_idx*13 + pred_id*5) % 19 - 9)/6e0"
 IOU_SCORE = "((pred_id*3 + scene_id) % 7 - 3)/2e0"
 STUFF = (3, 7)
+BASE_SCORE = "((mask_id*5 + scene_id*3) % 11 - 5)/4e0"
 MEANS = "SELECT q.scene_id, q.pred_id AS mask_id, l.class_id, avg(l.logit) AS s FROM pred_inst q JOIN logits l ON l.scene_id = q.scene_id AND l.point_idx = q.point_idx GROUP BY q.scene_id, q.pred_id, l.class_id"
 C9 = f"""SELECT scene_id, class_id + 1 AS label_id, conf, mask_id, n, row_number() OVER (PARTITION BY scene_id ORDER BY class_id, mask_id) - 1 AS pred_id FROM (
  SELECT m.scene_id, m.class_id, m.mask_id, p*(1/(1 + exp(-({IOU_SCORE.replace('pred_id', 'm.mask_id').replace('scene_id', 'm.scene_id')})))) AS conf, n FROM (SELECT scene_id, mask_id, class_id, exp(s)/sum(exp(s)) OVER (PARTITION BY scene_id, mask_id) AS p FROM ({MEANS}) a) m
@@ -145,3 +149,21 @@ def _(t):
     meta, mask = instances(t)
     sizes = mask.groupBy("scene_id", "mask_id").agg(F.count("*").alias("n"))
     return meta.join(sizes, ["scene_id", "mask_id"])
+
+
+CAL_MEANS = f"""SELECT scene_id, mask_id, class_id, CASE WHEN side IS NULL THEN 0e0 ELSE p/sum(CASE WHEN side IS NULL THEN 0e0 ELSE p END) OVER (PARTITION BY scene_id, mask_id) END AS p FROM (
+ SELECT *, exp(s)/sum(exp(s)) OVER (PARTITION BY scene_id, mask_id, side)*CASE WHEN side = 'b' THEN b ELSE 1 - b END AS p FROM (
+ SELECT *, {NB} AS side, 1/(1 + exp(-({BASE_SCORE}))) AS b FROM ({MEANS}) m) x) y"""
+
+
+@query("c9_calibrated_classes", "scene_id bigint, mask_id bigint, label_id bigint, conf double",
+       f"""SELECT m.scene_id, m.mask_id, m.class_id + 1 AS label_id, p*(1/(1 + exp(-({IOU_SCORE.replace('pred_id', 'm.mask_id').replace('scene_id', 'm.scene_id')})))) AS conf FROM ({CAL_MEANS}) m
+       JOIN (SELECT scene_id, pred_id AS mask_id, count(*) AS n FROM pred_inst WHERE {MASK_SCORE} > -5e-1 GROUP BY scene_id, pred_id) k ON k.scene_id = m.scene_id AND k.mask_id = m.mask_id WHERE p > 1e-3 AND n >= 30 AND class_id >= 2""",
+       ("pred_inst", "logits"))
+def _(t):
+    rows = t.pred_inst.withColumnRenamed("pred_id", "proposal_id")
+    scores = PR.proposal_scores(rows, t.logits, 20)
+    props = scores.selectExpr("scene_id", "proposal_id", "cls_scores", f"{IOU_SCORE.replace('pred_id', 'proposal_id')} AS iou_score")
+    props = props.withColumn("probs", calibrate(F.col("cls_scores"), F.expr(BASE_SCORE.replace("mask_id", "proposal_id")), SPLIT))
+    masks = rows.selectExpr("*", f"{MASK_SCORE.replace('pred_id', 'proposal_id')} AS mask_score")
+    return PR.predicted_instances(props, masks, t.preds, range(2, 20), min_points=30, probs="probs")[0]

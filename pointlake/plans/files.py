@@ -91,7 +91,7 @@ def _(t):
 def _(t):
     path = t.scratch("arrays")
     K.write_scene_arrays(t.preds, path, ["gt", "pred"])
-    return t.spark.read.parquet(path)
+    return R.read_scene_arrays(t.spark, path, "point_idx bigint, gt bigint, pred bigint, scene_id bigint")
 
 
 @query("k2_instance_masks", "scene_id bigint, pred_id bigint, point_idx bigint", "SELECT scene_id, pred_id, point_idx FROM pred_inst", ("pred_inst",))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pointlake.operators import projection
 from pointlake.schema import ClassSplit
-from pointlake.session import use_checkpoint_dir
+from pointlake.session import cut_lineage, use_checkpoint_dir
 
 N_CLASSES = 20
 SPLIT = ClassSplit(N_CLASSES, novel=(5, 9, 12, 16), ignored=(19,))
@@ -150,6 +150,11 @@ class Tables:
         return projection.depth_consistent(projection.inside_image(self.camera_points), self.depth).select(
             "scene_id", "frame", "point_idx", "u", "v")
 
+    @cached_property
+    def corr_index(self) -> DataFrame:
+        """The correspondence written once, as an index file would be, for queries that read it often."""
+        return cut_lineage(self.corr)
+
     @cached_property
     def captions(self) -> DataFrame:
         part = self.base("part").select("p_partkey", "p_name")

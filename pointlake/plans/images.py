@@ -111,7 +111,7 @@ EP = f"WITH info AS ({INFO}), ep AS (SELECT p.*, i.w AS wa, j.w AS wb, i.n AS na
 
 def found_entities(t):
     with_room = t.captions.withColumn("caption", F.concat(F.lit("room "), "caption"))
-    return CP.entities(with_room, t.corr, MIN, RATIO)
+    return CP.entities(with_room, t.corr_index, MIN, RATIO)
 
 
 @query("u3_entities", "scene_id bigint, a bigint, b bigint, kind bigint, n_points bigint, entity bigint, caption string",
@@ -124,7 +124,7 @@ def _(t):
        EP + f""", en AS ({ENTITIES}) SELECT e.scene_id, e.entity, c.point_idx FROM en e JOIN corr c ON c.scene_id = e.scene_id AND c.frame = CASE WHEN kind = 2 THEN b ELSE a END
        WHERE EXISTS (SELECT 1 FROM corr o WHERE o.scene_id = e.scene_id AND o.point_idx = c.point_idx AND o.frame = CASE WHEN kind = 2 THEN a ELSE b END) = (kind = 0)""", ("corr", "captions"))
 def _(t):
-    return CP.entity_points(found_entities(t), t.corr)
+    return CP.entity_points(found_entities(t), t.corr_index)
 
 
 @query("w6_merge_captions", "scene_id bigint, image bigint, caption string",
@@ -252,20 +252,30 @@ def _(t):
     return out.select("scene_id", F.posexplode("pooled").alias("dim", "v"))
 
 
-@query("c4_region_similarity", FR + "label bigint, own double, lse double",
-       f"""WITH reg AS (SELECT scene_id, frame, list(v ORDER BY dim) AS r FROM ({POOL}) p GROUP BY scene_id, frame),
-       cap AS (SELECT f.scene_id, f.frame, f.scene_id // 4 AS batch_id, e.vec_id AS caption_id, CAST(e.embedding AS DOUBLE[]) AS c FROM frames f JOIN embeddings e ON e.vec_id = (f.scene_id*6 + f.frame) % {N_VECS}),
-       ids AS (SELECT DISTINCT batch_id, caption_id, c FROM cap),
-       sim AS (SELECT r.scene_id, r.frame, k.caption_id AS mine, i.caption_id, 10*list_cosine_similarity(r.r, i.c) AS s, dense_rank() OVER (PARTITION BY r.scene_id, r.frame ORDER BY i.caption_id) - 1 AS pos
-         FROM reg r JOIN cap k ON k.scene_id = r.scene_id AND k.frame = r.frame JOIN ids i ON i.batch_id = k.batch_id)
-       SELECT scene_id, frame, max(CASE WHEN mine = caption_id THEN pos END) AS label, max(CASE WHEN mine = caption_id THEN s END) AS own, ln(sum(exp(s))) AS lse FROM sim GROUP BY scene_id, frame""",
-       ("corr", "feats", "frames"))
-def _(t):
+SIM = f"""WITH reg AS (SELECT scene_id, frame, list(v ORDER BY dim) AS r FROM ({POOL}) p GROUP BY scene_id, frame),
+ cap AS (SELECT f.scene_id, f.frame, f.scene_id // 4 AS batch_id, e.vec_id AS caption_id, CAST(e.embedding AS DOUBLE[]) AS c FROM frames f JOIN embeddings e ON e.vec_id = (f.scene_id*6 + f.frame) % {N_VECS}),
+ ids AS (SELECT DISTINCT batch_id, caption_id, c FROM cap),
+ sim AS (SELECT r.scene_id, r.frame, k.caption_id AS mine, i.caption_id, 10*list_cosine_similarity(r.r, i.c) AS s, dense_rank() OVER (PARTITION BY r.scene_id, r.frame ORDER BY i.caption_id) - 1 AS pos
+   FROM reg r JOIN cap k ON k.scene_id = r.scene_id AND k.frame = r.frame JOIN ids i ON i.batch_id = k.batch_id),
+ res AS (SELECT scene_id, frame, max(CASE WHEN mine = caption_id THEN pos END) AS label, max(CASE WHEN mine = caption_id THEN s END) AS own, ln(sum(exp(s))) AS lse FROM sim GROUP BY scene_id, frame)"""
+SIM_USES = ("corr", "feats", "frames")
+
+
+def region_similarity(t):
     emb = t.base("embeddings").select(F.col("vec_id").alias("caption_id"), F.col("embedding").alias("text_vec"))
     n = t.base("embeddings").agg(F.count(F.lit(1))).scalar()
     caps = t.frames.select("scene_id", "frame", n.alias("n_vecs")).selectExpr(
         "scene_id", "frame", "scene_id div 4 AS batch_id", "(scene_id*6 + frame) % n_vecs AS caption_id").join(emb, "caption_id")
     regions = CP.pool_captions(caps.drop("text_vec"), t.corr, t.feats, "embedding", 64).filter("has_points")
-    out = CP.caption_similarity(regions, caps, "pooled", "text_vec", 10.0)
-    return out.select("scene_id", "frame", "label", F.get("logits", F.col("label").cast("int")).alias("own"),
-                      metrics.log_sum_exp(F.col("logits")).alias("lse"))
+    return CP.caption_similarity(regions, caps, "pooled", "text_vec", 10.0)
+
+
+@query("c4_region_similarity", FR + "label bigint, own double, lse double", f"{SIM} SELECT * FROM res", SIM_USES)
+def _(t):
+    return region_similarity(t).select("scene_id", "frame", "label", F.get("logits", F.col("label").cast("int")).alias("own"),
+                                       metrics.log_sum_exp(F.col("logits")).alias("lse"))
+
+
+@query("a17_caption_loss", "loss double", f"{SIM} SELECT avg(lse - own) AS loss FROM res", SIM_USES)
+def _(t):
+    return metrics.cross_entropy(region_similarity(t), "logits", "label")

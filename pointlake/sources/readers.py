@@ -63,6 +63,11 @@ def read_numeric_scenes(spark: SparkSession, glob: str, columns: Sequence[str],
     return files.mapInPandas(decode, "scene_id string, point_idx bigint, " + ", ".join(f"{n} double" for n in names))
 
 
+def read_scene_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """K1 read back.  The schema is given, so scene names that look like numbers stay as written."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def list_scenes(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """Scenes of a split by file suffix; file contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)

@@ -40,9 +40,10 @@ def dense_mask(mask: DataFrame, points: DataFrame, meta: DataFrame) -> DataFrame
 
 
 def write_pred_instances(meta: DataFrame, mask: DataFrame, path: str, eval_ids: Sequence[int] | None = None) -> None:
-    """K2: manifest lines as text and masks as columns sorted by point index."""
-    lines = pred_manifest(meta, eval_ids).select("scene_id", F.col("line").alias("value"))
-    lines.write.mode("overwrite").partitionBy("scene_id").text(f"{path}/manifest")
+    """K2: manifest lines as text and masks as columns sorted by point index.  The files of a scene's
+    manifest, in name order, hold its lines in order."""
+    lines = pred_manifest(meta, eval_ids).repartitionByRange("scene_id", "position").sortWithinPartitions("scene_id", "position")
+    lines.select("scene_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("scene_id").text(f"{path}/manifest")
     spread = mask.select("scene_id", "pred_id", "point_idx").repartition("scene_id", "pred_id", F.shiftright("point_idx", 22))
     spread.sortWithinPartitions("scene_id", "pred_id", "point_idx").write.mode("overwrite").parquet(f"{path}/masks")
 

@@ -27,8 +27,8 @@ def watch_predictions(spark: SparkSession, folder: str, metrics_path: str, check
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
         summary = semantic_summary(class_areas(batch, n_classes))
-        (summary.withColumn("n_points", F.lit(batch.count()))
-         .write.mode("overwrite").parquet(f"{metrics_path.rstrip('/')}/batch_id={batch_id}"))
+        points = batch.agg(F.count(F.lit(1))).scalar()
+        (summary.select("*", points.alias("n_points")).write.mode("overwrite").parquet(f"{metrics_path.rstrip('/')}/batch_id={batch_id}"))
 
     writer = stream.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
