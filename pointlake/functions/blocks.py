@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointlake.functions import rng
+from pointlake.session import cut_lineage
 
 BLOCK_BITS = 16
 _BLK = "_blk"
@@ -66,11 +67,14 @@ def with_stats(rows: DataFrame, on: Sequence[str], key: str = "point_idx",
 
 
 def ordinal(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str,
-            block: Column, start: int = 0) -> DataFrame:
+            block: Column, start: int = 0, store: bool = False) -> DataFrame:
     """Position of each row in its group.  ``block`` must be non-decreasing in ``order``; rows are
-    numbered inside ``(group, block)`` and shifted by the sizes of the earlier blocks."""
+    numbered inside ``(group, block)`` and shifted by the sizes of the earlier blocks.
+
+    The rows are read twice; ``store`` writes them to the checkpoint folder first, for small tables
+    that are costly to derive (groups of points, pairs, instances)."""
     group = list(group)
-    left = rows.withColumn(_BLK, block)
+    left = (cut_lineage(rows) if store else rows).withColumn(_BLK, block)
     before = W.partitionBy(*group).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
     sizes = (left.groupBy(*group, _BLK).agg(F.count(F.lit(1)).alias("_n"))
              .select(*group, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))

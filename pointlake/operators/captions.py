@@ -87,7 +87,7 @@ def entities(captions: DataFrame, corr: DataFrame, min_points: int = 100, ratio:
     found = pairs.select("scene_id", "a", "b", F.explode(ok).alias("p"))
     found = found.select("scene_id", "a", "b", F.col("p.kind").alias("kind"), F.col("p.n_points").alias("n_points"),
                          F.array_join("p.words", " ").alias("caption"))
-    return ordinal(found, ["scene_id"], ["a", "b", "kind"], "entity", F.col("a"))
+    return ordinal(found, ["scene_id"], ["a", "b", "kind"], "entity", F.col("a"), store=True)
 
 
 def entity_points(found: DataFrame, corr: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def distinct_vectors(rows: DataFrame, vec: str, bins: int = 1 << 16) -> tuple[Da
     the bins."""
     unique = rows.select(vec).distinct()
     bin_ = F.floor(F.get(F.col(vec), F.lit(0)).cast("double") * bins)
-    table = ordinal(unique, [], [vec], "distinct_id", bin_)
+    table = ordinal(unique, [], [vec], "distinct_id", bin_, store=True)
     salted = rows.withColumn("_k", F.shiftleft(F.pmod(F.xxhash64(*[c for c in rows.columns if c != vec]), F.lit(64)), 16))
     return table, attach(salted, table, [vec], key="_k").drop("_k")
 

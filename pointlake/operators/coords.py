@@ -123,7 +123,7 @@ def instance_colours(points: DataFrame, palette_size: int) -> DataFrame:
     length; adds ``colour_idx``, -1 on background."""
     sizes = (points.filter("inst_label >= 0").groupBy("scene_id", "inst_label")
              .agg(F.count(F.lit(1)).alias("_n")).withColumn("_neg", -F.col("_n")))
-    ranked = ordinal(sizes, ["scene_id"], ["_neg", "inst_label"], "_rank", F.col("_neg"))
+    ranked = ordinal(sizes, ["scene_id"], ["_neg", "inst_label"], "_rank", F.col("_neg"), store=True)
     colour = ranked.select("scene_id", "inst_label", (F.col("_rank") % palette_size).alias("colour_idx"))
     return (attach(points, colour, ["scene_id", "inst_label"], how="left")
             .withColumn("colour_idx", F.coalesce("colour_idx", F.lit(-1).cast("bigint"))))

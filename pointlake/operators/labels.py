@@ -57,7 +57,7 @@ def densify_instances(points: DataFrame, valid: Column) -> DataFrame:
     """Rows outside ``valid`` lose their instance; surviving ids become 0..k-1 per scene."""
     masked = points.withColumn("inst_label", F.when(valid, F.col("inst_label")).otherwise(IGNORE).cast("bigint"))
     ids = masked.filter("inst_label >= 0").select("scene_id", "inst_label").distinct()
-    dense = ordinal(ids, ["scene_id"], ["inst_label"], "_dense", F.shiftright("inst_label", 16))
+    dense = ordinal(ids, ["scene_id"], ["inst_label"], "_dense", F.shiftright("inst_label", 16), store=True)
     return (attach(masked, dense, ["scene_id", "inst_label"], how="left")
             .withColumn("inst_label", F.coalesce("_dense", F.lit(IGNORE).cast("bigint"))).drop("_dense"))
 

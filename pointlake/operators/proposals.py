@@ -37,7 +37,7 @@ def number_proposals(clusters: DataFrame) -> DataFrame:
     """Proposals of all classes of a scene in one numbering, by class then component order."""
     ids = clusters.select("scene_id", "class_id", "label").distinct()
     block = F.shiftleft(F.col("class_id").cast("bigint"), 44) + F.shiftright("label", 16)
-    numbered = ordinal(ids, ["scene_id"], ["class_id", "label"], "proposal_id", block)
+    numbered = ordinal(ids, ["scene_id"], ["class_id", "label"], "proposal_id", block, store=True)
     return attach(clusters, numbered, ["scene_id", "class_id", "label"])
 
 
@@ -91,6 +91,6 @@ def predicted_instances(proposals: DataFrame, masks: DataFrame, semantic: DataFr
         rows = thing_rows.unionByName(points.select("scene_id", "mask_id").distinct().select(
             "scene_id", (-F.col("mask_id") - 1).cast("int").alias("class_id"), "mask_id", F.lit(1.0).alias("conf")))
     block = F.shiftleft(F.col("class_id").cast("bigint"), 44) + F.shiftright(F.col("mask_id"), 16)
-    numbered = ordinal(rows, ["scene_id"], ["class_id", "mask_id"], "pred_id", block)
+    numbered = ordinal(rows, ["scene_id"], ["class_id", "mask_id"], "pred_id", block, store=True)
     meta = numbered.select("scene_id", "pred_id", (F.col("class_id") + 1).cast("bigint").alias("label_id"), "conf", "mask_id")
     return meta, mask

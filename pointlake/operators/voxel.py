@@ -25,7 +25,7 @@ def voxel_table(points: DataFrame, batch: Sequence[str] = ("scene_id",), *pooled
     """V1: one row per occupied voxel, numbered by first appearance, with any ``pooled`` aggregates."""
     cells = points.groupBy(*batch, *CELL).agg(F.min("point_idx").alias("first_idx"),
                                               F.count(F.lit(1)).alias("n_points"), *pooled)
-    return ordinal(cells, batch, ["first_idx"], "voxel_id", block_of(F.col("first_idx")))
+    return ordinal(cells, batch, ["first_idx"], "voxel_id", block_of(F.col("first_idx")), store=True)
 
 
 def point_voxels(points: DataFrame, voxels: DataFrame, batch: Sequence[str] = ("scene_id",)) -> DataFrame:
@@ -40,7 +40,7 @@ def voxel_representatives(points: DataFrame, seed: int | None = None) -> DataFra
     best = F.min(F.struct(key.alias("k"), F.col("point_idx").alias("p")))["p"]
     cells = points.groupBy("scene_id", *CELL).agg(best.alias("rep_idx"))
     cells = cells.withColumn("_bx", F.col("vx"))
-    return ordinal(cells, ["scene_id"], ["vx", "vy", "vz"], "voxel_id", F.col("_bx")).drop("_bx")
+    return ordinal(cells, ["scene_id"], ["vx", "vy", "vz"], "voxel_id", F.col("_bx"), store=True).drop("_bx")
 
 
 def pool_voxels(points: DataFrame, feats: Sequence[str], mode: str, batch: Sequence[str] = ("scene_id",)) -> DataFrame:
