@@ -107,12 +107,15 @@ def shuffled(rows: DataFrame, group: Sequence[str], key: str, name: str, seed: i
              keys: Sequence[str] | None = None) -> DataFrame:
     """Seeded random position (0-based) of each row in its group, and the group size ``<name>_n``.
 
-    The draw is uniform, so cutting its range into ``ceil(n / 65536)`` equal parts gives balanced
-    blocks whatever the group size."""
+    The draw is uniform, so its upper 16 bits cut a group of any size into at most 65536 equal bins.
+    Bins are counted map-side; a group's window sees its bins, a bin's window sees its rows."""
     group = list(group)
     draw_keys = [F.col(k) for k in (keys or [*group, key])]
-    sized = with_stats(rows, group, key, **{f"{name}_n": ("count",)})
-    sized = sized.withColumn("_h", rng.draw(seed, *draw_keys))
-    parts = F.shiftright(F.col(f"{name}_n") - 1, BLOCK_BITS) + 1
-    block = F.floor(F.col("_h") / F.lit(float(rng.PRIME)) * parts)
-    return ordinal(sized, group, ["_h", key], name, block).drop("_h")
+    left = rows.withColumn("_h", rng.draw(seed, *draw_keys)).withColumn(_BLK, F.shiftright("_h", 15))
+    whole = W.partitionBy(*group)
+    before = whole.orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
+    bins = left.groupBy(*group, _BLK).agg(F.count(F.lit(1)).alias("_n")).select(
+        *group, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(f"{name}_n"))
+    inside = F.row_number().over(W.partitionBy(*group, _BLK).orderBy("_h", key))
+    return (left.withColumn("_in", inside).join(bins, [*group, _BLK])
+            .withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("bigint")).drop(_BLK, "_h", "_in", "_before"))
