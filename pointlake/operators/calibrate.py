@@ -28,22 +28,39 @@ def calibrate(logits: Column, base_logit: Column, split: ClassSplit) -> Column:
     return let(joined, lambda v: F.transform(where, lambda i: F.when(i >= 0, F.get(v, i)).otherwise(0.0)))
 
 
+def _calibrated(scores: pd.Series, side: pd.Series, base: np.ndarray, novel: np.ndarray, n: int) -> np.ndarray:
+    x = np.stack(scores.to_numpy()) if len(scores) else np.zeros((0, n))
+    p = 1.0 / (1.0 + np.exp(-side.to_numpy(dtype=float)))[:, None]
+    res = np.zeros((len(x), n))
+    for ids, weight in ((base, p), (novel, 1.0 - p)):
+        if len(ids):
+            e = np.exp(x[:, ids] - x[:, ids].max(axis=1, keepdims=True))
+            res[:, ids] = e / e.sum(axis=1, keepdims=True) * weight
+    return res / res.sum(axis=1, keepdims=True)
+
+
 def calibrate_rows(rows: DataFrame, logits: str, base_logit: Column, split: ClassSplit, out: str = "probs") -> DataFrame:
-    """C2 for wide tables: the same scores by Arrow batches, about ten times faster than array
+    """C2 for wide tables: the same scores by Arrow batches, several times faster than array
     lambdas, which are interpreted."""
     base, novel, n = np.array(split.base, dtype=int), np.array(split.novel, dtype=int), split.n_classes
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for scores, side in batches:
-            x = np.stack(scores.to_numpy()) if len(scores) else np.zeros((0, n))
-            p = 1.0 / (1.0 + np.exp(-side.to_numpy(dtype=float)))[:, None]
-            res = np.zeros((len(x), n))
-            for ids, weight in ((base, p), (novel, 1.0 - p)):
-                if len(ids):
-                    e = np.exp(x[:, ids] - x[:, ids].max(axis=1, keepdims=True))
-                    res[:, ids] = e / e.sum(axis=1, keepdims=True) * weight
-            yield pd.Series(list(res / res.sum(axis=1, keepdims=True)))
+            yield pd.Series(list(_calibrated(scores, side, base, novel, n)))
+
+    return rows.withColumn(out, run(F.col(logits), base_logit))
+
+
+def calibrated_class(rows: DataFrame, logits: str, base_logit: Column, split: ClassSplit, out: str = "pred") -> DataFrame:
+    """C2 and T1 together: the class with the highest calibrated score (scores equal to 12 decimals
+    count as ties, which the lower class wins)."""
+    base, novel, n = np.array(split.base, dtype=int), np.array(split.novel, dtype=int), split.n_classes
+
+    @F.pandas_udf("bigint")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for scores, side in batches:
+            yield pd.Series(_calibrated(scores, side, base, novel, n).round(12).argmax(axis=1))
 
     return rows.withColumn(out, run(F.col(logits), base_logit))
 

@@ -104,8 +104,7 @@ def _(t):
 @query("c2_calibrated_class", PT + "pred bigint",
        f"SELECT scene_id, point_idx, class_id AS pred FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, point_idx ORDER BY round(p, 12) DESC, class_id) AS k FROM ({CAL}) c) q WHERE k = 1", ("logits",))
 def _(t):
-    out = calibrate.calibrate_rows(t.logits, "logits", F.expr(BIN), SPLIT)
-    return out.withColumn("probs", F.transform("probs", lambda x: F.round(x, 12))).withColumn("pred", V.argmax(F.col("probs")))
+    return calibrate.calibrated_class(t.logits.drop("pred"), "logits", F.expr(BIN), SPLIT)
 
 
 @query("c3_binary_decision", PT + "base boolean", f"SELECT scene_id, point_idx, 1/(1 + exp(-({BIN}))) > 4e-1 AS base FROM points", ("points",))

@@ -24,6 +24,18 @@ def build_session(app: str = "pointlake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def scale_settings(input_bytes: int, cores: int, task_bytes: int = 256 << 20) -> dict[str, str]:
+    """Shuffle and scan sizes for an input: tasks of about ``task_bytes``, at least two per core.
+    Adaptive execution merges small shuffle partitions back, so the number is an upper bound."""
+    parts = min(max(-(-input_bytes // task_bytes), 2 * cores), 200_000)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(task_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * task_bytes),
+    }
+
+
 def use_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a scratch folder only in local mode."""
     sc = spark.sparkContext

@@ -91,3 +91,11 @@ def test_crowded_cells_are_joined_in_parts(spark):
     whole = R.radius_neighbours(df, 0.04, ["scene_id", "class_id"])
     parts = R.radius_neighbours(df, 0.04, ["scene_id", "class_id"], crowded=7)
     assert sorted(parts.collect()) == sorted(whole.collect())
+
+
+def test_clouds_without_edges_and_empty_clouds(spark):
+    alone = frame(spark, {(1, 0): np.array([[0, 0, 0], [5, 0, 0]]), (2, 0): np.array([[0, 0, 0]])})
+    got = C.cluster_points(alone, 0.04, 1).toPandas()
+    assert sorted(got["label"]) == [0, 0, 1] and (got["size"] == 1).all()
+    assert C.cluster_points(alone.filter("scene_id < 0"), 0.04, 1).count() == 0
+    assert R.radius_neighbours(alone.filter("scene_id < 0"), 0.04).count() == 0

@@ -155,3 +155,9 @@ def test_averages_leave_nan_out(spark):
     assert total["all_ap"] == pytest.approx(0.5) and total["all_rc50"] == pytest.approx(0.6)
     per = {r["class_id"]: r["ap"] for r in AP.class_averages(aps).collect()}
     assert per[1] == pytest.approx(0.5) and math.isnan(per[2])
+
+
+def test_no_predictions_at_all(spark):
+    scenes = [([1001] * 10, [(2, 0.5, range(3))])]
+    got = ap_of(spark, scenes, (1, 2), 4)
+    assert got[1, 0.5] == (0.0, 0.0) and math.isnan(got[2, 0.5][0])

@@ -43,3 +43,10 @@ def test_capped_voxels_are_cut_before_the_shuffle(spark, sf):
 def test_confusion_counts_are_combined_before_the_shuffle(spark, sf):
     text = plan(catalogue()["a5_class_areas"].run(spark, sf), "simple")
     assert "partial_count" in text
+
+
+def test_settings_grow_with_the_input():
+    from pointlake.session import scale_settings
+    big = scale_settings(100 << 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert scale_settings(1 << 30, 8)["spark.sql.shuffle.partitions"] == "16"
