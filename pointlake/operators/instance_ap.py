@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.functions.blocks import running_sum
+from pointlake.operators.components import star_components
 from pointlake.operators.metrics import harmonic
 from pointlake.schema import ClassSplit
 from pointlake.session import cut_lineage
@@ -52,7 +53,7 @@ def match_events(preds: DataFrame, gts: DataFrame, pairs: DataFrame, min_points:
     Instances of one scene are disjoint, so above IoU 0.5 a prediction meets one instance only: the
     best confidence is the hit and the others are duplicates.  The same holds below 0.5 for
     instances none of whose predictions meet another instance.  Only instances that compete for
-    a prediction need the ordered visit; they are few, and are visited per scene and class."""
+    a prediction need the ordered visit; it runs per cluster of competing instances."""
     counts = (F.col("code") >= CODE_BASE) & (F.col("n_gt") >= min_points)
     over = _per_threshold(pairs, thresholds).filter(F.col("iou") > F.col("thr"))
     cand = over.filter(counts).select("scene_id", "class_id", "thr", "code", "pred_id", "conf")
@@ -76,7 +77,11 @@ def match_events(preds: DataFrame, gts: DataFrame, pairs: DataFrame, min_points:
     if contested.isEmpty():
         visited = contested.sparkSession.createDataFrame([], schema)
     else:
-        visited = contested.groupBy(*key).applyInPandas(_greedy, schema)
+        # instances linked by shared predictions form small clusters, each visited on its own
+        links = contested.select(*key, (F.col("code") * 2).alias("u"), (F.col("pred_id") * 2 + 1).alias("v"))
+        clusters = star_components(links, key).filter(F.col("node") % 2 == 0)
+        named = contested.join(clusters.select(*key, F.shiftright("node", 1).alias("code"), "label"), [*key, "code"])
+        visited = named.groupBy(*key, "label").applyInPandas(_greedy, schema)
 
     claimed = top.select(*key, "code", "score").unionByName(visited.filter("tp = 1").select(*key, "code", "score"))
     one = F.lit(1).cast("bigint").alias("n")

@@ -51,4 +51,34 @@ def decode_runs(encoded: DataFrame, key: Sequence[str] = MASK) -> DataFrame:
     at = F.sequence(F.lit(0), (F.size(nums) / 2).cast("int") - 1)
     pairs = F.when(F.size(nums) > 0, let(nums, lambda v: F.transform(at, lambda i: F.struct(F.get(v, i * 2).alias("s"), F.get(v, i * 2 + 1).alias("n")))))
     runs = encoded.select(*key, F.explode(pairs).alias("p"))
-    return runs.select(*key, F.explode(F.sequence(F.col("p.s") - 1, F.col("p.s") + F.col("p.n") - 2)).alias("point_idx"))
+    return expand_runs(runs.select(*key, F.col("p.s").alias("start"), F.col("p.n").alias("length")), key)
+
+
+def expand_runs(runs: DataFrame, key: Sequence[str] = MASK, bits: int = BLOCK_BITS) -> DataFrame:
+    """One row per point of each run.  Long runs are cut into blocks first, so no array grows with
+    the run."""
+    last = F.col("start") + F.col("length") - 1
+    blocks = F.sequence(F.shiftright("start", bits), F.shiftright(last, bits))
+    cut = runs.withColumn("_b", F.explode(blocks))
+    lo = F.greatest(F.col("start"), F.shiftleft("_b", bits))
+    hi = F.least(last, F.shiftleft(F.col("_b") + 1, bits) - 1)
+    return cut.select(*key, F.explode(F.sequence(lo - 1, hi - 1)).alias("point_idx"))
+
+
+def dense_runs(runs: DataFrame, lengths: DataFrame, key: Sequence[str] = MASK, bits: int = BLOCK_BITS) -> DataFrame:
+    """Masks as runs of 0 and 1 that cover all ``n_points`` of their scene (``lengths(scene_id,
+    n_points)``): the dense mask without a row per point and mask.
+
+    The end of the previous run is looked up inside a block of starts, or in the last earlier block."""
+    key = list(key)
+    ends = runs.withColumn("_end", F.col("start") + F.col("length") - 1).withColumn("_b", F.shiftright("start", bits))
+    inside = F.lag("_end").over(W.partitionBy(*key, "_b").orderBy("start"))
+    per_block = ends.groupBy(*key, "_b").agg(F.max("_end").alias("_top"))
+    earlier = per_block.select(*key, "_b", F.lag("_top").over(W.partitionBy(*key).orderBy("_b")).alias("_before"))
+    linked = ends.withColumn("_in", inside).join(earlier, [*key, "_b"])
+    prev = F.coalesce("_in", "_before", F.lit(0).cast("bigint"))
+    zeros = linked.select(*key, (prev + 1).alias("start"), (F.col("start") - prev - 1).alias("length"))
+    tails = ends.groupBy(*key).agg(F.max("_end").alias("_end")).join(lengths, "scene_id").select(
+        *key, (F.col("_end") + 1).alias("start"), (F.col("n_points") - F.col("_end")).alias("length"))
+    gaps = zeros.unionByName(tails).filter("length > 0")
+    return runs.select(*key, "start", "length", F.lit(1).alias("value")).unionByName(gaps.withColumn("value", F.lit(0)))

@@ -101,11 +101,12 @@ def _(t):
     return t.spark.read.parquet(f"{path}/masks")
 
 
-@query("k2_dense_masks", "scene_id bigint, pred_id bigint, n bigint, n_on bigint",
-       "SELECT m.scene_id, m.pred_id, count(*) AS n, max(m.n) AS n_on FROM pred_meta m JOIN points p ON p.scene_id = m.scene_id GROUP BY m.scene_id, m.pred_id", ("pred_meta", "points"))
+@query("k2_dense_masks", "scene_id bigint, pred_id bigint, start bigint, length bigint, value bigint",
+       """SELECT scene_id, pred_id, min(point_idx) + 1 AS start, count(*) AS length, value FROM (SELECT *, point_idx - row_number() OVER (PARTITION BY scene_id, pred_id, value ORDER BY point_idx) AS g FROM (
+       SELECT m.scene_id, m.pred_id, p.point_idx, CASE WHEN q.pred_id = m.pred_id THEN 1 ELSE 0 END AS value FROM pred_meta m JOIN points p ON p.scene_id = m.scene_id LEFT JOIN pred_inst q ON q.scene_id = p.scene_id AND q.point_idx = p.point_idx) d) r
+       GROUP BY scene_id, pred_id, value, g""", ("pred_meta", "points", "pred_inst"))
 def _(t):
-    dense = K.dense_mask(t.pred_inst, t.points, t.pred_meta)
-    return dense.groupBy("scene_id", "pred_id").agg(F.count("*").alias("n"), F.sum("value").alias("n_on"))
+    return K.dense_mask(t.pred_inst, t.points)
 
 
 @query("k3_gt_codes", PT + "code bigint", "SELECT scene_id, point_idx, CASE WHEN code = 0 THEN 0 ELSE (2*(code // 1000) - 1)*1000 + code % 1000 END AS code FROM gt_codes", ("gt_codes",))

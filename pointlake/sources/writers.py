@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.functions.blocks import attach, ordinal, with_stats
+from pointlake.functions.blocks import ordinal, with_stats
 from pointlake.operators.labels import CODE_BASE, code_class, lookup
+from pointlake.operators.masks import dense_runs, mask_runs
 
 
 def write_scene_arrays(rows: DataFrame, path: str, columns: Sequence[str], rows_per_file: int = 5_000_000) -> None:
@@ -32,11 +33,10 @@ def pred_manifest(meta: DataFrame, eval_ids: Sequence[int] | None = None) -> Dat
     return numbered.select("scene_id", "pred_id", F.col("_i").alias("position"), mask.alias("mask_path"), line.alias("line"))
 
 
-def dense_mask(mask: DataFrame, points: DataFrame, meta: DataFrame) -> DataFrame:
-    """K2: 0/1 per point of the scene for every predicted instance."""
-    grid = attach(points.select("scene_id", "point_idx"), meta.select("scene_id", "pred_id"), ["scene_id"])
-    on = mask.select("scene_id", "pred_id", "point_idx", F.lit(1).alias("value"))
-    return grid.join(on, ["scene_id", "pred_id", "point_idx"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+def dense_mask(mask: DataFrame, points: DataFrame) -> DataFrame:
+    """K2: every predicted instance as runs of 0 and 1 over all points of its scene."""
+    lengths = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_points"))
+    return dense_runs(mask_runs(mask), lengths)
 
 
 def write_pred_instances(meta: DataFrame, mask: DataFrame, path: str, eval_ids: Sequence[int] | None = None) -> None:

@@ -39,6 +39,21 @@ def test_decode_inverts_encode_and_long_masks_come_in_chunks(spark):
     assert {k: " ".join(v) for k, v in whole.items()} == {(e.scene_id, e.pred_id): e.counts for e in enc.collect()}
 
 
+@pytest.mark.parametrize("bits", [1, 3, 16])
+def test_dense_runs_cover_the_scene(spark, bits):
+    r = np.random.default_rng(6)
+    dense = {(s, p): r.random(90) < 0.5 for s in range(2) for p in range(3)}
+    rows = [(s, p, int(i)) for (s, p), m in dense.items() for i in np.flatnonzero(m)]
+    df, _ = encode(spark, rows)
+    lengths = spark.createDataFrame([(0, 90), (1, 90)], "scene_id bigint, n_points bigint")
+    got = masks.dense_runs(masks.mask_runs(df, bits=bits), lengths, bits=bits).orderBy("start").collect()
+    for key, m in dense.items():
+        out = np.concatenate([np.full(g.length, g.value) for g in got if (g.scene_id, g.pred_id) == key])
+        assert (out == m).all()
+    cut = masks.expand_runs(masks.mask_runs(df, bits=bits), bits=bits)
+    assert sorted(cut.collect()) == sorted(df.collect())
+
+
 def test_empty_counts_decode_to_nothing(spark):
     df = spark.createDataFrame([(1, 0, "")], "scene_id bigint, pred_id bigint, counts string")
     assert masks.decode_runs(df).count() == 0
