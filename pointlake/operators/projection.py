@@ -56,14 +56,20 @@ def depth_consistent(pixels: DataFrame, depth: DataFrame, tolerance: float = 0.2
             .withColumn("flat", F.col("v") * F.col("w") + F.col("u")))
 
 
+def depth_in_metres(raw: DataFrame, per_metre: float = 1000.0, col: str = "depth") -> DataFrame:
+    """Stored depth units to metres; 0 stays the missing value."""
+    return raw.withColumn(col, F.col(col).cast("double") / per_metre)
+
+
 def unflatten(flat: Column, width: Column) -> tuple[Column, Column]:
     """``(u, v)`` of a flat pixel index."""
     return flat % width, F.floor(flat / width).cast("bigint")
 
 
 def rescale_intrinsics(frames: DataFrame, native_height: int = 480) -> DataFrame:
-    """Intrinsics of images whose height differs from the native one."""
+    """Intrinsics (and principal-axis shifts, when present) of images whose height differs from the
+    native one."""
     ratio = F.lit(float(native_height - 1)) / (F.col("h") - 1)
-    for c in ("fx", "fy", "cx", "cy"):
+    for c in [n for n in ("fx", "fy", "cx", "cy", "bx", "by") if n in frames.columns]:
         frames = frames.withColumn(c, F.when(F.col("h") != native_height, F.col(c) / ratio).otherwise(F.col(c)))
     return frames

@@ -136,6 +136,29 @@ def read_pose_json(spark: SparkSession, glob: str) -> DataFrame:
                       F.flatten("j.camera_rt_matrix").alias("pose"), k[0][0].alias("fx"), k[1][1].alias("fy"), k[0][2].alias("cx"), k[1][2].alias("cy"))
 
 
+def read_intrinsics(spark: SparkSession, glob: str) -> DataFrame:
+    """One intrinsic matrix (3x3 or 4x4 text) per scene folder."""
+    raw = spark.read.text(glob, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("scene_id"), _matrix(F.col("value")).alias("k"))
+    side = F.when(F.size("k") == 9, 3).otherwise(4)
+    shift = [F.when(side == 4, F.get("k", i * 4 + F.lit(3))).otherwise(0.0) for i in range(2)]
+    return raw.select("scene_id", F.col("k")[0].alias("fx"), F.get("k", side + 1).alias("fy"), F.col("k")[2].alias("cx"),
+                      F.get("k", side + 2).alias("cy"), shift[0].alias("bx"), shift[1].alias("by"))
+
+
+def list_room_images(spark: SparkSession, root: str) -> DataFrame:
+    """Image files ``area_<a>/data/<kind>/*_<room>_<n>_*`` of the office set with their scene and
+    kind.  The key of an image is its name up to ``_domain_`` in lower case; contents are not read."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    name = file_stem(F.col("path"))
+    where = r"/area_(\w+)/data/(\w+)/[^/]+$"
+    room = r"_([A-Za-z]+_\d+)_"
+    rows = paths.filter(F.col("path").rlike(where) & name.rlike(room))
+    kind = F.regexp_extract("path", where, 2)
+    return rows.select(F.concat_ws("_", F.lit("Area"), F.regexp_extract("path", where, 1), F.regexp_extract(name, room, 1)).alias("scene_id"),
+                       F.when(kind == "rgb", "color").otherwise(kind).alias("kind"),
+                       image_key(F.regexp_replace(name, "_domain_.*$", "")).alias("image"), "path")
+
+
 def complete_scenes(files: DataFrame, kinds: Sequence[str] = ("pose", "depth", "color"), strict: bool = True) -> DataFrame:
     """Scenes whose file counts agree over all kinds.  ``files(scene_id, kind)`` holds one row per
     file.  ``strict`` raises on a mismatch, else the scene gets no images."""

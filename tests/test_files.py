@@ -82,6 +82,24 @@ def test_poses(spark, tmp_path):
     assert (row.fx, row.fy, row.cx, row.cy) == (5, 6, 2, 3) and len(row.pose) == 12
 
 
+def test_intrinsics_and_room_images(spark, tmp_path):
+    for name, k in (("a", np.array([[5, 0, 2, 0.1], [0, 6, 3, 0.2], [0, 0, 1, 0], [0, 0, 0, 1]])), ("b", np.array([[5, 0, 2], [0, 6, 3], [0, 0, 1]]))):
+        (tmp_path / name).mkdir()
+        np.savetxt(tmp_path / name / "intrinsic_depth.txt", k)
+    got = {r.scene_id: r for r in R.read_intrinsics(spark, f"{tmp_path}/*/intrinsic*_depth.txt").collect()}
+    assert [(r.fx, r.fy, r.cx, r.cy) for r in got.values()] == [(5, 6, 2, 3)] * 2
+    assert (got["a"].bx, got["a"].by, got["b"].bx) == (0.1, 0.2, 0.0)
+    for kind, ext in (("pose", "json"), ("depth", "png"), ("rgb", "png")):
+        folder = tmp_path / "img" / "area_5a" / "data" / kind
+        folder.mkdir(parents=True)
+        for n in (0, 1):
+            (folder / f"camera_0A1b_office_12_frame_{n}_domain_{kind}.{ext}").write_text("x")
+    files = R.list_room_images(spark, str(tmp_path / "img"))
+    assert {(r.scene_id, r.kind) for r in files.collect()} == {("Area_5a_office_12", k) for k in ("pose", "depth", "color")}
+    assert {r.image for r in files.collect()} == {f"camera_0a1b_office_12_frame_{n}" for n in (0, 1)}
+    assert R.complete_scenes(files).first()["n_images"] == 2
+
+
 def test_scenes_with_unequal_file_counts(spark):
     files = spark.createDataFrame([("a", k) for k in ("pose", "depth", "color")] + [("b", "pose")], "scene_id string, kind string")
     assert [r.scene_id for r in R.complete_scenes(files, strict=False).collect()] == ["a"]
