@@ -65,10 +65,10 @@ def argmax(a: Column) -> Column:
 def mean_vector(rows: DataFrame, group: Sequence[str], vec: str, dim: int, out: str = "pooled") -> DataFrame:
     """A3/A4: component-wise mean per group with its row count.
 
-    Short vectors use one ``avg`` per component, long ones (whose aggregate code would be too large
-    to compile) one row per component.  Both combine map-side: a hot group ships one partial
-    result per task."""
-    if dim <= 128:
+    Short vectors use one ``avg`` per component, long ones one row per component (measured twice as
+    fast at 64 components).  Both combine map-side: a hot group ships one partial result per task
+    and component."""
+    if dim <= 32:
         means = F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dim)])
         return rows.groupBy(*group).agg(means.alias(out), F.count(F.lit(1)).alias("n_rows"))
     parts = rows.select(*group, F.posexplode(vec).alias("_i", "_v")).groupBy(*group, "_i").agg(
