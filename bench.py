@@ -26,7 +26,7 @@ def main():
         catalogue()[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-                      "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+                      "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"))}))
 
 
 if __name__ == "__main__":

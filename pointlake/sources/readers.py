@@ -177,10 +177,10 @@ def read_id_lists(spark: SparkSession, glob: str) -> DataFrame:
     A file may be read in several splits.  Lines are numbered inside a split (a task reads its lines in
     order) and shifted by the line counts of the earlier splits of the file."""
     lines = spark.read.text(glob).select(
-        file_stem(F.col("_metadata.file_path")).alias("scene_id"), F.col("_metadata.file_block_start").alias("_start"),
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"), "value").filter(F.trim("value") != "")
-    out = ordinal(lines, ["scene_id"], ["_seq"], "point_idx", F.col("_start"))
-    return out.select("scene_id", "point_idx", F.trim("value").cast("bigint").alias("id"))
+    out = ordinal(lines, ["_path"], ["_seq"], "point_idx", F.col("_start"))
+    return out.select(file_stem(F.col("_path")).alias("scene_id"), "point_idx", F.trim("value").cast("bigint").alias("id"))
 
 
 def read_instance_manifests(spark: SparkSession, glob: str) -> DataFrame:
