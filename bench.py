@@ -13,6 +13,14 @@ j8_frame_pairs u3_entities j4_radius_neighbours c7_components c9_predicted_insta
 a14_average_precision t8_subsample t11_permute g1_scene_affine g5_elastic g6_crop""".split()
 
 
+def scale_of(sf_dir):
+    name = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
+    try:
+        return float(name)
+    except ValueError:
+        return name
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -26,7 +34,7 @@ def main():
         catalogue()[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-                      "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"))}))
+                      "sf": scale_of(sf_dir)}))
 
 
 if __name__ == "__main__":
