@@ -23,15 +23,17 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointlake.llm.common import map_column
+
 #: Fixed value: how the byte-level tokenizers cut a text into pieces.  Words stand first, as most
 #: pieces are words and no contraction begins like one.
 PIECE = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 400_000
-PART = 1_000_000
+CACHE = 200_000
+PART = 500_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -67,6 +69,7 @@ class Vocabulary:
         """Rank by pair of ids (as one integer), and the joined id by rank."""
         pairs = [m.split(" ") if isinstance(m, str) else m for m in self.pairs]
         ids = self.ids
+        del self.pairs, self.ids
         return {ids[a] * self.base + ids[b]: rank for rank, (a, b) in enumerate(pairs)}, [ids[a + b] for a, b in pairs]
 
     def merge(self, piece: bytes) -> list[int]:
@@ -160,47 +163,53 @@ def _shared(df: DataFrame, vocabulary: str):
     return df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
 
-def _map_column(df: DataFrame, source: str, out: str, kind: T.DataType, function) -> DataFrame:
-    """Append ``out`` computed from ``source`` batch by batch; other columns pass through untouched."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != out]
-    kept = df.select(*rest, F.col(f"`{source}`").alias("_in"))
-    schema = T.StructType([*kept.schema.fields[:-1], T.StructField(out, kind)])
+def _encoder(vocabulary: Vocabulary):
+    coder = Encoder(vocabulary)
+    return lambda texts: [coder.encode(t or "") for t in texts]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = function()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
-                values = apply(piece.columns[-1].to_pylist())
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], values], names=[*piece.schema.names[:-1], out])
 
-    return kept.mapInArrow(run, schema)
+def _decoder(vocabulary: Vocabulary):
+    word = vocabulary.strings.__getitem__
+    return lambda rows: [b"".join(map(word, np.frombuffer(r or b"", "<u4").tolist())).decode("utf-8", "replace") for r in rows]
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids", keep: bool = True) -> DataFrame:
     """Add the ids of ``text`` as binary: little-endian unsigned 32-bit integers."""
     source = _shared(df, vocabulary)
 
     def start():
-        coder = Encoder(Vocabulary(source.value))
-        return lambda texts: pa.array([coder.encode(t or "") for t in texts], pa.binary())
+        coded = _encoder(Vocabulary(source.value))
+        return lambda texts: [pa.array(coded(texts), pa.binary())]
 
-    return _map_column(df, text, out, T.BinaryType(), start)
+    return map_column(df, text, [(out, T.BinaryType())], start, keep)
 
 
-def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded", keep: bool = True) -> DataFrame:
     """Add the text of binary ``ids``."""
     source = _shared(df, vocabulary)
 
     def start():
-        word = Vocabulary(source.value).strings.__getitem__
+        texts = _decoder(Vocabulary(source.value))
+        return lambda rows: [pa.array(texts(rows), pa.string())]
+
+    return map_column(df, ids, [(out, T.StringType())], start, keep)
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep: bool = True) -> DataFrame:
+    """Add the ids of ``text`` and the text they decode to, in one pass of one worker per task."""
+    source = _shared(df, vocabulary)
+
+    def start():
+        own = Vocabulary(source.value)
+        coded, texts = _encoder(own), _decoder(own)
 
-        def one(data):
-            return b"".join(map(word, np.frombuffer(data or b"", "<u4").tolist())).decode("utf-8", "replace")
-        return lambda rows: pa.array([one(r) for r in rows], pa.string())
+        def both(rows):
+            found = coded(rows)
+            return [pa.array(found, pa.binary()), pa.array(texts(found), pa.string())]
+        return both
 
-    return _map_column(df, ids, out, T.StringType(), start)
+    return map_column(df, text, [(ids, T.BinaryType()), (out, T.StringType())], start, keep)
 
 
-def n_ids(ids: F.col) -> F.col:
+def n_ids(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("bigint")

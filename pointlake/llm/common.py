@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointlake.session import use_checkpoint_dir
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of text that a task turns into Python objects at a time.
+SLICE = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +54,33 @@ def slices(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Split Arrow batches so that a slice holds about ``limit`` characters of text, whatever the
-    length of the documents; yields the slice and its texts (None where NULL)."""
+def text_slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Split Arrow batches so that a slice holds about ``limit`` bytes of text, whatever the length of
+    the documents; yields the slice and its texts (None where NULL)."""
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        for lo, hi in slices([len(t) if t else 1 for t in texts], limit):
-            yield batch.slice(lo, hi - lo), texts[lo:hi]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        for lo, hi in slices([max(n, 100) for n in sizes], limit):
+            piece = batch.slice(lo, hi - lo)
+            yield piece, piece.column(text).to_pylist()
+
+
+def map_column(df: DataFrame, source: str, outs: Sequence[tuple[str, T.DataType]], start: Callable[[], Callable[[list], list[pa.Array]]],
+               keep: bool = True, limit: int = SLICE) -> DataFrame:
+    """Append columns computed from ``source``.  ``start()`` is called once per task; what it returns gets
+    the values of a slice of rows and gives one array per new column.  Other columns pass through
+    untouched (replaced if they have a new column's name); ``keep=False`` leaves ``source`` out of the result,
+    so that long texts do not travel back."""
+    names = [n for n, _ in outs]
+    rest = [c for c in df.columns if c not in (*names, source)]
+    back = keep and source not in names
+    kept = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{source}`"))
+    fields = kept.schema.fields[:len(rest) + back]
+    schema = T.StructType([*fields, *[T.StructField(n, t) for n, t in outs]])
+    labels = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = start()
+        for piece, values in text_slices(batches, len(labels) - len(names) - back, limit):
+            yield pa.RecordBatch.from_arrays([*piece.columns[:len(labels) - len(names)], *apply(values)], names=labels)
+
+    return kept.mapInArrow(run, schema)

@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointlake.llm.common import slices
+from pointlake.llm.common import map_column, slices, text_slices
 
 UNKNOWN = "und"
 ORDER = 3
 DIM = 512
 SAMPLE = 4000
 MAX_LANGUAGES = 1000
-PIECE = 1_000_000
+PIECE = 250_000
 _BITS = 21
 
 
@@ -110,8 +110,8 @@ class Profiles:
         grams, at = np.unique(np.concatenate([g for _, g in parts]), return_inverse=True)
         table = gram_vectors(grams, self.order, self.dim)
         row = np.repeat(np.arange(len(parts)), sizes)
-        for lo in range(0, len(parts), 256):
-            hi = min(lo + 256, len(parts))
+        for lo in range(0, len(parts), 64):
+            hi = min(lo + 64, len(parts))
             here = (row >= lo) & (row < hi)
             counts = np.bincount((row[here] - lo) * len(grams) + at[here], minlength=(hi - lo) * len(grams))
             counts = counts.reshape(hi - lo, len(grams)).astype(np.float32)
@@ -134,8 +134,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: Sequence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, sums = Profiles(order, dim), {}
-        for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for batch, texts in text_slices(batches, "_text"):
+            langs = batch.column(1).to_pylist()
             vectors = maker.vectors(texts).astype(np.float64)
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             vectors = np.rint(vectors / np.maximum(norms, 1e-9) * 1e6)  # whole numbers: sums do not depend on their order
@@ -150,29 +150,25 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: Sequence
     return {k: (v / np.linalg.norm(v)).tolist() for k, v in sorted(total.items()) if v.any()}
 
 
-def predict(df: DataFrame, prototypes: dict[str, list[float]], text: str = "text", order: int = ORDER, dim: int = DIM) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (the cosine, at least 0)."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score")]
-    kept = df.select(*rest, F.col(f"`{text}`").alias("_text"))
-    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(df: DataFrame, prototypes: dict[str, list[float]], text: str = "text", order: int = ORDER, dim: int = DIM, keep: bool = True) -> DataFrame:
+    """Add ``lang_pred`` and ``score`` (the cosine, at least 0); ``keep=False`` leaves the text out."""
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), dim).T
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         maker = Profiles(order, dim)
-        for batch in batches:
-            texts = batch.columns[-1].to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            if names:
-                vectors = maker.vectors([t or "" for t in texts])
-                norms = np.linalg.norm(vectors, axis=1)
-                cosines = vectors @ matrix / np.maximum(norms, 1e-9)[:, None]
-                best = cosines.argmax(1)
-                langs = [names[b] if n > 0 else UNKNOWN for b, n in zip(best, norms, strict=True)]
-                scores = np.where(norms > 0, np.clip(cosines.max(1), 0, 1), 0.0).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores)], names=schema.names)
-
-    return kept.mapInArrow(run, schema)
+
+        def apply(texts: list[str | None]) -> list[pa.Array]:
+            if not names:
+                return [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(np.zeros(len(texts)))]
+            vectors = maker.vectors([t or "" for t in texts])
+            norms = np.linalg.norm(vectors, axis=1)
+            cosines = vectors @ matrix / np.maximum(norms, 1e-9)[:, None]
+            langs = [names[b] if n > 0 else UNKNOWN for b, n in zip(cosines.argmax(1), norms, strict=True)]
+            return [pa.array(langs, pa.string()), pa.array(np.where(norms > 0, np.clip(cosines.max(1), 0, 1), 0.0).astype(np.float64))]
+        return apply
+
+    return map_column(df, text, [("lang_pred", T.StringType()), ("score", T.DoubleType())], start, keep)
 
 
 def held_out(doc_id: Column) -> Column:

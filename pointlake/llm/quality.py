@@ -16,8 +16,6 @@ column that has the name of an output is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointlake.llm import suffixes
-from pointlake.llm.common import SPACES, text_slices
+from pointlake.llm.common import SPACES, map_column
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -73,18 +71,15 @@ def measure(texts: list[str | None], least: int) -> dict[str, np.ndarray]:
     return dict(zip(MEASURES, (counts, chars, symbols, lines, window, covered, longest), strict=True))
 
 
-def quality_measures(df: DataFrame, text: str = "text", least_words: int = 10) -> DataFrame:
-    """Add the measures (longs) to every row."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in MEASURES]
-    kept = df.select(*rest, F.col(f"`{text}`").alias("_text"))
-    schema = T.StructType([*kept.schema.fields[:-1], *[T.StructField(m, T.LongType()) for m in MEASURES]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in text_slices(batches, "_text"):
+def quality_measures(df: DataFrame, text: str = "text", least_words: int = 10, keep: bool = True) -> DataFrame:
+    """Add the measures (longs) to every row; ``keep=False`` leaves the text out."""
+    def start():
+        def apply(texts: list[str | None]) -> list[pa.Array]:
             found = measure(texts, least_words)
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *[pa.array(found[m], pa.int64()) for m in MEASURES]], names=schema.names)
+            return [pa.array(found[m], pa.int64()) for m in MEASURES]
+        return apply
 
-    return kept.mapInArrow(run, schema)
+    return map_column(df, text, [(m, T.LongType()) for m in MEASURES], start, keep)
 
 
 def judge(df: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, max_share: float = 0.3, max_longest: int = 100) -> DataFrame:

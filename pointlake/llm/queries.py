@@ -29,7 +29,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     prototypes = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
-    out = language.predict(docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out")), prototypes)
+    out = language.predict(docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out")), prototypes, keep=False)
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
@@ -45,7 +45,7 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
 
 
 def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +53,12 @@ def op7_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).select("doc_id", "ids")
-    both = bpe.decode(coded, VOCABULARY)
+    both = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, keep=False)
     return both.select("doc_id", bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_suffix_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(quality.quality_measures(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = quality.judge(quality.quality_measures(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat")
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointlake.llm.common import store, text_slices
+from pointlake.llm.common import map_column, store
 from pointlake.operators.components import star_components
 
 THRESHOLD = 3
@@ -75,17 +75,9 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
-    """Add the fingerprint as a long."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != out]
-    kept = df.select(*rest, F.col(f"`{text}`").alias("_text"))
-    schema = T.StructType([*kept.schema.fields[:-1], T.StructField(out, T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in text_slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(fingerprints(texts), pa.int64())], names=schema.names)
-
-    return kept.mapInArrow(run, schema)
+def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", keep: bool = True) -> DataFrame:
+    """Add the fingerprint as a long; ``keep=False`` leaves the text out."""
+    return map_column(df, text, [(out, T.LongType())], lambda: lambda texts: [pa.array(fingerprints(texts), pa.int64())], keep)
 
 
 def flips(radius: int) -> list[list[int]]:
@@ -225,13 +217,14 @@ def components(rows: DataFrame, id_col: str = "doc_id", crowd: int = CROWD, grou
     return named.join(least, "label").select("fp", "component_id")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", crowd: int = CROWD) -> DataFrame:
-    """Add ``fingerprint`` (16 hex digits) and ``component_id`` to every row."""
+def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", crowd: int = CROWD, keep: bool = True) -> DataFrame:
+    """Add ``fingerprint`` (16 hex digits) and ``component_id`` to every row; ``keep=False`` leaves the text
+    out."""
     rest = [c for c in df.columns if c not in ("fingerprint", "component_id", "fp")]
-    rows = with_fingerprint(df.select(*[F.col(f"`{c}`") for c in rest]), text)
-    small = store(with_fingerprint(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_t")), "_t").select("_id", "fp"), "prints")
+    small = store(with_fingerprint(df.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_t")), "_t", keep=False), "prints")
     named = components(small, "_id", crowd)
-    if set(rest) <= {text, id_col}:  # nothing else to carry: the stored ids serve
-        rows = small.withColumnRenamed("_id", id_col)
-        rest = [id_col]
-    return rows.join(named, "fp").select(*[F.col(f"`{c}`") for c in rest], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    if set(rest) <= {text, id_col} and not keep:  # nothing else to carry: the stored ids serve
+        rows, rest = small.withColumnRenamed("_id", id_col), [id_col]
+    else:
+        rows = with_fingerprint(df.select(*[F.col(f"`{c}`") for c in rest]), text)
+    return rows.join(named, "fp").select(*[F.col(f"`{c}`") for c in rest if keep or c != text], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
