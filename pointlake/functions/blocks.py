@@ -24,6 +24,15 @@ def block_of(key: Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(key.cast("bigint"), bits)
 
 
+def _equal(left: DataFrame, right: DataFrame, on: Sequence[str], nullable: Sequence[str]) -> DataFrame:
+    """Inner join on ``on`` where the columns in ``nullable`` also meet at NULL."""
+    if not nullable:
+        return left.join(right, list(on))
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = [left[c].eqNullSafe(other[f"_r_{c}"]) if c in nullable else left[c] == other[f"_r_{c}"] for c in on]
+    return left.join(other, same).drop(*[f"_r_{c}" for c in on])
+
+
 def attach(rows: DataFrame, dim: DataFrame, on: Sequence[str], key: str = "point_idx",
            how: str = "inner", bits: int = BLOCK_BITS) -> DataFrame:
     """Join ``dim`` to ``rows`` on ``on``, spreading each key over its blocks.
@@ -104,8 +113,9 @@ def running_sum(rows: DataFrame, group: Sequence[str], order: Sequence[Column |
 
 
 def shuffled(rows: DataFrame, group: Sequence[str], key: str, name: str, seed: int,
-             keys: Sequence[str] | None = None) -> DataFrame:
+             keys: Sequence[str] | None = None, nullable: Sequence[str] = ()) -> DataFrame:
     """Seeded random position (0-based) of each row in its group, and the group size ``<name>_n``.
+    Rows whose key is NULL form a group in the columns named ``nullable`` and are left out otherwise.
 
     The draw is uniform, so its upper 16 bits cut a group of any size into at most 65536 equal bins.
     Bins are counted map-side; a group's window sees its bins, a bin's window sees its rows."""
@@ -117,5 +127,5 @@ def shuffled(rows: DataFrame, group: Sequence[str], key: str, name: str, seed: i
     bins = left.groupBy(*group, _BLK).agg(F.count(F.lit(1)).alias("_n")).select(
         *group, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias(f"{name}_n"))
     inside = F.row_number().over(W.partitionBy(*group, _BLK).orderBy("_h", key))
-    return (left.withColumn("_in", inside).join(bins, [*group, _BLK])
+    return (_equal(left.withColumn("_in", inside), bins, [*group, _BLK], nullable)
             .withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("bigint")).drop(_BLK, "_h", "_in", "_before"))

@@ -15,10 +15,11 @@ PRIME = 2147483647
 
 
 def draw(seed: int, *keys: Column) -> Column:
-    """Pseudo-random BIGINT in ``[0, PRIME)``; products stay below 2**63."""
+    """Pseudo-random BIGINT in ``[0, PRIME)``; products stay below 2**63.  Keys are whole numbers, or names,
+    which count by a 64-bit hash."""
     x = F.lit(seed * 7919 % PRIME).cast("bigint")
     for key in keys:
-        x = (x * 48271 + F.pmod(key.cast("bigint"), F.lit(PRIME))) % PRIME
+        x = (x * 48271 + F.pmod(F.coalesce(key.try_cast("bigint"), string_key(key)), F.lit(PRIME))) % PRIME
     for step in (16807, 69621):
         x = (x * (x + step)) % PRIME
     return x
@@ -43,4 +44,4 @@ def coin(seed: int, p: float, *keys: Column) -> Column:
 
 def string_key(col: Column) -> Column:
     """A BIGINT key for string ids."""
-    return F.crc32(col.cast("binary"))
+    return F.xxhash64(col.cast("string"))

@@ -63,18 +63,17 @@ def argmax(a: Column) -> Column:
 
 
 def mean_vector(rows: DataFrame, group: Sequence[str], vec: str, dim: int, out: str = "pooled") -> DataFrame:
-    """A3/A4: component-wise mean per group with its row count.
-
-    Short vectors use one ``avg`` per component, long ones one row per component (measured twice as
-    fast at 64 components).  Both combine map-side: a hot group ships one partial result per task
-    and component."""
-    if dim <= 32:
-        means = F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dim)])
-        return rows.groupBy(*group).agg(means.alias(out), F.count(F.lit(1)).alias("n_rows"))
-    parts = rows.select(*group, F.posexplode(vec).alias("_i", "_v")).groupBy(*group, "_i").agg(
-        F.avg(F.col("_v").cast("double")).alias("_v"), F.count(F.lit(1)).alias("n_rows"))
-    return parts.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias(out),
-                                     F.max("n_rows").alias("n_rows"))
+    """A3/A4: component-wise mean per group with the number of vectors.
+
+    One ``avg`` per component, combined map-side: a hot group ships one partial row per task.  A NULL
+    vector does not count; a group of NULL vectors stays with a NULL mean and 0 rows; a vector of
+    another length than ``dim`` raises."""
+    v = F.col(vec)
+    wrong = F.raise_error(F.concat(F.lit(f"expected {dim} components, found "), F.size(v).cast("string"))).cast(rows.schema[vec].dataType)
+    checked = rows.select(*group, F.when(v.isNull() | (F.size(v) == dim), v).otherwise(wrong).alias("_vec"))
+    n = F.count("_vec")
+    means = F.array(*[F.avg(F.get(F.col("_vec"), F.lit(i)).cast("double")) for i in range(dim)])
+    return checked.groupBy(*group).agg(F.when(n > 0, means).alias(out), n.alias("n_rows"))
 
 
 def score_matrix(rows: DataFrame, feat: str, weights: np.ndarray, normalise: bool, scale: float,

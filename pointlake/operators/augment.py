@@ -225,12 +225,12 @@ def crop(points: DataFrame, full_scale: int, max_points: int, seed: int, step: i
     tries = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in attempts])
     rows = pts.filter(F.col("_n") > max_points).withColumn("_a", F.explode(tries))
     hits = rows.filter(window(F.col("_a.t"), F.col("_a.m"))[1]).groupBy("scene_id", F.col("_a.t").alias("t"), F.col("_a.m").alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    seen = hits.groupBy("scene_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("t") * 1000 + F.col("m"), "n"))).alias("_seen"))
+    seen = hits.groupBy("scene_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("t") * (1 << 40) + F.col("m"), "n"))).alias("_seen"))
     # state: last attempt, steps shrunk, points left, window of the last attempt
     start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("m"), F.col("_n").alias("n"), F.lit(0).alias("used"))
 
     def advance(s, t):
-        n = F.coalesce(F.try_element_at("_seen", t * 1000 + s["m"]), F.lit(0).cast("bigint"))
+        n = F.coalesce(F.try_element_at("_seen", t.cast("bigint") * (1 << 40) + s["m"]), F.lit(0).cast("bigint"))
         shrink = F.when(s["n"] > big, 2).otherwise(1)
         return F.when(s["n"] > max_points, F.struct(t.alias("t"), (s["m"] + shrink).alias("m"), n.alias("n"), s["m"].alias("used"))).otherwise(s)
 

@@ -38,8 +38,10 @@ def to_pixels(cam: DataFrame, bias: tuple[str, str] | None = None) -> DataFrame:
     bx, by = (F.col(bias[0]), F.col(bias[1])) if bias else (F.lit(0.0), F.lit(0.0))
     u = (F.col("xc") - bx) * F.col("fx") / F.col("d") + F.col("cx") + 0.5
     v = (F.col("yc") - by) * F.col("fy") / F.col("d") + F.col("cy") + 0.5
-    safe = F.col("d") != 0
-    return (cam.withColumn("u", F.when(safe, u).cast("bigint")).withColumn("v", F.when(safe, v).cast("bigint")))
+    def pixel(x: Column) -> Column:
+        # a point near the camera plane lies far outside any image: NULL instead of a failing cast
+        return F.when((F.col("d") != 0) & (F.abs(x) < float(1 << 62)), x).cast("bigint")
+    return cam.withColumns({"u": pixel(u), "v": pixel(v)})
 
 
 def inside_image(pixels: DataFrame) -> DataFrame:

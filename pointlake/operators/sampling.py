@@ -43,7 +43,7 @@ def select_captions(captions: DataFrame, seed: int, select: str, num: int = 1, r
 
 def subsample(points: DataFrame, factor: float, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """``int(n / factor)`` rows of each scene (or of each scene and label), without replacement."""
-    drawn = shuffled(points, ["scene_id", *by], "point_idx", "_pos", seed)
+    drawn = shuffled(points, ["scene_id", *by], "point_idx", "_pos", seed, keys=["scene_id", *by, "point_idx"], nullable=by)
     return drawn.filter(F.col("_pos") < F.floor(F.col("_pos_n") / factor)).drop("_pos", "_pos_n")
 
 
@@ -52,7 +52,10 @@ def sample_fixed(points: DataFrame, target: int, seed: int, far: float = 40.0) -
 
     Points at least ``far`` away are kept and near ones drawn; when the far points alone exceed the
     target, all points are drawn from; a scene that is too small repeats a random subset (``copy`` 1).
-    A scene with fewer than ``target / 2`` points cannot be filled and raises."""
+    A scene with fewer than ``target / 2`` points cannot be filled and raises.  A target of -1 keeps all
+    rows."""
+    if target == -1:
+        return points.withColumn("copy", F.lit(0))
     dist = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     is_far = dist >= far
     pts = with_stats(points, ["scene_id"], _n=("count",), _far=("sum", F.when(is_far, 1).otherwise(0)))

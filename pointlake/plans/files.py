@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from pointlake.operators import instance_ap as AP
+from pointlake.operators.metrics import best_epoch
 from pointlake.plans.fixtures import N_CLASSES
-from pointlake.plans.metrics import AREAS
 from pointlake.plans.overlaps import AP_SQL, PER_CLASS, USES, ap_table
 from pointlake.plans.registry import query
 from pointlake.sources import readers as R
 from pointlake.sources import writers as K
-from pointlake.streaming.predictions import watch_predictions
+from pointlake.streaming.predictions import run_metrics, watch_predictions
 
 PT = "scene_id bigint, point_idx bigint, "
 EVAL_IDS = tuple(2 * i + 1 for i in range(N_CLASSES))
@@ -139,11 +139,29 @@ def _(t):
     return t.spark.read.parquet(merged)
 
 
-@query("r1_watch_predictions", "miou double, mpre double, macc double, all_pre double, all_acc double, n_points bigint",
-       f"SELECT avg(inter/(area_union + 1e-10)) AS miou, avg(inter/(area_pred + 1e-10)) AS mpre, avg(inter/(area_gt + 1e-10)) AS macc, sum(inter)/(sum(area_pred) + 1e-10) AS all_pre, sum(inter)/(sum(area_gt) + 1e-10) AS all_acc, (SELECT count(*) FROM preds) AS n_points FROM ({AREAS}) ar", ("preds", "ids"))
-def _(t):
+EPOCHS = "SELECT scene_id, point_idx, CAST(point_idx % 3 AS INTEGER) + 1 AS epoch, gt, CASE WHEN point_idx % 5 = 0 THEN gt ELSE pred END AS pred FROM preds"
+R1 = f"""SELECT 'run' AS run, epoch, avg(i/(o + t - i + 1e-10)) AS miou, avg(i/(o + 1e-10)) AS mpre, avg(i/(t + 1e-10)) AS macc, sum(i)/(sum(o) + 1e-10) AS all_pre,
+ sum(i)/(sum(t) + 1e-10) AS all_acc, (SELECT count(*) FROM ({EPOCHS}) w WHERE w.epoch = q.epoch) AS n_points FROM (
+ SELECT e.epoch, c.class_id, coalesce(sum(CASE WHEN gt >= 0 AND gt = c.class_id AND pred = c.class_id THEN 1 END), 0) AS i,
+  coalesce(sum(CASE WHEN gt >= 0 AND pred = c.class_id THEN 1 END), 0) AS o, coalesce(sum(CASE WHEN gt = c.class_id THEN 1 END), 0) AS t
+ FROM ({EPOCHS}) e, (SELECT unnest(range(20)) AS class_id) c GROUP BY e.epoch, c.class_id) q GROUP BY epoch"""
+
+
+def epoch_metrics(t, max_files):
     root = t.scratch("stream")
-    t.preds.selectExpr("'run' AS run", "3 AS epoch", "scene_id", "point_idx", "gt", "pred").write.parquet(f"{root}/in")
-    stream = watch_predictions(t.spark, f"{root}/in", f"{root}/metrics", f"{root}/state", N_CLASSES, min_epoch=2)
-    stream.awaitTermination()
-    return t.spark.read.parquet(f"{root}/metrics")
+    rows = t.preds.selectExpr("'run' AS run", "CAST(point_idx % 3 AS INT) + 1 AS epoch", "scene_id", "point_idx", "gt",
+                              "CASE WHEN point_idx % 5 = 0 THEN gt ELSE pred END AS pred")
+    rows.repartition(6).write.parquet(f"{root}/in")
+    watch_predictions(t.spark, f"{root}/in", f"{root}/counts", f"{root}/state", max_files=max_files).awaitTermination()
+    return run_metrics(t.spark, f"{root}/counts", N_CLASSES)
+
+
+@query("r1_watch_predictions", "run string, epoch int, miou double, mpre double, macc double, all_pre double, all_acc double, n_points bigint", R1, ("preds",))
+def _(t):
+    return epoch_metrics(t, 2)
+
+
+@query("r1_best_epoch", "run string, best_metric double, best_epoch int",
+       f"SELECT run, miou AS best_metric, epoch AS best_epoch FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY miou DESC, epoch) AS k FROM ({R1}) r) z WHERE k = 1", ("preds",))
+def _(t):
+    return best_epoch(epoch_metrics(t, 1000), ["run"], "miou", "epoch")

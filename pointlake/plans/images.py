@@ -49,13 +49,12 @@ def _(t):
     return CP.caption_points(t.captions, t.corr)
 
 
-EDGE = "SELECT * FROM corr WHERE u < 2 AND v < 8"
 
 
 @query("j6_captions_with_points", FR + "has_points boolean",
-       f"SELECT k.scene_id, k.frame, EXISTS (SELECT 1 FROM ({EDGE}) c WHERE c.scene_id = k.scene_id AND c.frame = k.frame) AS has_points FROM captions k", ("corr", "captions"))
+       "SELECT k.scene_id, k.frame, EXISTS (SELECT 1 FROM corr c WHERE c.scene_id = k.scene_id AND c.frame = k.frame) AS has_points FROM captions k", ("corr", "captions"))
 def _(t):
-    edge = t.corr.filter("u < 2 AND v < 8")
+    edge = t.corr_index
     a = CP.captions_with_points(t.captions, edge).withColumn("has_points", F.lit(True))
     return a.unionByName(CP.captions_without_points(t.captions, edge).withColumn("has_points", F.lit(False)))
 

@@ -112,11 +112,11 @@ def _(t):
     return t.points.select("scene_id", "point_idx", calibrate.is_base(F.expr(BIN), 0.4).alias("base"))
 
 
-VECS = "SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x*4) AS BIGINT)/4e0)[1:3] AS v FROM embeddings"
+VECS = f"SELECT vec_id, {E64} AS v FROM embeddings"
 
 
 @query("a18_distinct_vectors", "vec_id bigint, distinct_id bigint",
        f"SELECT vec_id, dense_rank() OVER (ORDER BY v) - 1 AS distinct_id FROM ({VECS}) q")
 def _(t):
-    short = F.slice(F.transform("embedding", lambda x: F.round(x.cast("double") * 4, 0) / 4.0 + 0.0), 1, 3)
-    return captions.distinct_vectors(t.base("embeddings").select("vec_id", short.alias("v")), "v")[1]
+    whole = F.col("embedding").cast("array<double>")
+    return captions.distinct_vectors(t.base("embeddings").select("vec_id", whole.alias("v")), "v")[1]

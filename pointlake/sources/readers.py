@@ -27,7 +27,10 @@ def read_object_files(spark: SparkSession, root: str, classes: Sequence[str], fa
              .select(F.col("_metadata.file_path").alias("path"), "value").filter(F.trim("value") != ""))
     parts = F.split(F.trim("value"), r"\s+")
     names = [*"xyz", *"rgb"]
-    rows = lines.select("path", *[F.get(parts, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)])
+
+    def number(word: Column) -> Column:
+        return F.coalesce(word.try_cast("double"), F.raise_error(F.concat(F.lit("not a point: "), "value", F.lit(" in "), "path")).cast("double"))
+    rows = lines.select("path", *[number(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)])
     files = lines.select("path").distinct()
     bits = F.split("path", "/")
     files = files.select("path", F.concat_ws("_", F.element_at(bits, -4), F.element_at(bits, -3)).alias("scene_id"),
@@ -46,7 +49,8 @@ def read_object_files(spark: SparkSession, root: str, classes: Sequence[str], fa
 
 def read_numeric_scenes(spark: SparkSession, glob: str, columns: Sequence[str], rows_per_batch: int = 1 << 16) -> DataFrame:
     """S3: ``.npy`` arrays with one row per point; the scene is the file stem.  Each file is decoded
-    by the task that read it and leaves it in batches of rows.  Pickled arrays are refused."""
+    by the task that read it and leaves it in batches of rows.  Pickled arrays and arrays of another
+    width than ``columns`` are refused."""
     files = spark.read.format("binaryFile").load(glob).select(file_stem(F.col("path")).alias("scene_id"), "content")
     names = list(columns)
 
@@ -54,6 +58,8 @@ def read_numeric_scenes(spark: SparkSession, glob: str, columns: Sequence[str],
         for batch in batches:
             for scene, raw in zip(batch["scene_id"], batch["content"]):
                 arr = np.load(io.BytesIO(raw), allow_pickle=False)
+                if arr.ndim != 2 or arr.shape[1] != len(names):
+                    raise ValueError(f"scene {scene}: shape {arr.shape}, expected {len(names)} columns")
                 for lo in range(0, len(arr), rows_per_batch):
                     part = pd.DataFrame(arr[lo:lo + rows_per_batch, :len(names)].astype(np.float64), columns=names)
                     part.insert(0, "point_idx", np.arange(lo, lo + len(part), dtype=np.int64))
@@ -99,12 +105,13 @@ def fill_missing_labels(points: DataFrame) -> DataFrame:
 
 def read_captions(spark: SparkSession, path: str, level: str, per_line: bool = False) -> DataFrame:
     """``{scene: {image: text}}`` files, or ``{scene: text}`` at scene level (image NULL).
-    ``per_line`` reads files with one such object per line, which split over tasks."""
+    ``per_line`` reads files with one such object per line, which split over tasks.  Broken JSON raises."""
+    strict = {"mode": "FAILFAST"}
     raw = spark.read.text(path, wholetext=not per_line)
     if level == "scene":
-        scenes = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("scene_id", "caption"))
+        scenes = raw.select(F.explode(F.from_json("value", "map<string,string>", strict)).alias("scene_id", "caption"))
         return scenes.select("scene_id", F.lit(level).alias("level"), F.lit(None).cast("string").alias("image"), "caption")
-    scenes = raw.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("scene_id", "images"))
+    scenes = raw.select(F.explode(F.from_json("value", "map<string,map<string,string>>", strict)).alias("scene_id", "images"))
     return (scenes.select("scene_id", F.explode("images").alias("image", "caption"))
             .select("scene_id", F.lit(level).alias("level"), image_key(F.col("image")).alias("image"), "caption"))
 
@@ -206,10 +213,11 @@ def read_scene_offsets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def add_scene_offsets(points: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Back to the coordinates the cameras use."""
-    out = attach(points, offsets, ["scene_id"])
+    """Back to the coordinates the cameras use.  A scene without an offset raises."""
+    out = attach(points, offsets, ["scene_id"], how="left")
+    missing = F.raise_error(F.concat(F.lit("no offset for scene "), F.col("scene_id").cast("string"))).cast("double")
     for c in "xyz":
-        out = out.withColumn(c, F.col(c) + F.col(f"off_{c}"))
+        out = out.withColumn(c, F.col(c) + F.coalesce(F.col(f"off_{c}"), missing))
     return out.drop("off_x", "off_y", "off_z")
 
 

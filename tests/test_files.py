@@ -12,7 +12,7 @@ from pointlake.operators.metrics import class_areas, semantic_summary
 from pointlake.operators.projection import invert_rigid
 from pointlake.sources import readers as R
 from pointlake.sources import writers as K
-from pointlake.streaming.predictions import watch_predictions
+from pointlake.streaming.predictions import run_metrics, watch_predictions
 from pyspark.sql import functions as F
 
 
@@ -156,14 +156,15 @@ def test_stream_reads_new_files_once(spark, tmp_path):
         rows.to_parquet(tmp_path / "in" / name, index=False)
         return rows
     (tmp_path / "in").mkdir()
-    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), 2)
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
     first = drop("a.parquet", 3, [0, 0, 1, 0])
     drop("old.parquet", 1, [1, 1, 0, 0])
     watch_predictions(*args, min_epoch=2).awaitTermination()
     drop("b.parquet", 4, [0, 0, 1, 1])
-    watch_predictions(*args, min_epoch=2).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("batch_id").collect()
-    assert [r.n_points for r in got] == [4, 4]
+    drop("c.parquet", 3, [0, 0, 1, 0])
+    watch_predictions(*args, min_epoch=2, max_files=1).awaitTermination()
+    got = run_metrics(spark, str(tmp_path / "out"), 2).orderBy("epoch").collect()
+    assert [(r.epoch, r.n_points) for r in got] == [(3, 8), (4, 4)]
     want = semantic_summary(class_areas(spark.createDataFrame(first), 2)).first()
     assert got[0]["miou"] == pytest.approx(want["miou"]) and got[1]["miou"] == pytest.approx(1.0)
 
