@@ -1,24 +1,16 @@
 """The registered queries against SQL or a brute-force version, over the whole small tables."""
 
-import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from tokenizers import Tokenizer
 
 import check
 from pointlake.llm import mixing, queries
-
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def sha(data):
-    return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
-
+from tests_llm_brute import WORDS, brute_components, brute_dedup, brute_print, sha
 
 @pytest.fixture(scope="module")
 def docs(spark, sf):
@@ -41,23 +33,6 @@ def test_query_matches_sql(spark, sf, name):
     assert check.rows_of(df.columns, df.collect()) == check.rows_of(names, res.fetchall())
 
 
-def brute_dedup(rows, window=50):
-    words = [(i, WORDS.findall(t or "")) for i, t in rows]
-    first = {}
-    for i, w in words:
-        for p in range(len(w) - window + 1):
-            key = tuple(w[p:p + window])
-            first[key] = min(first.get(key, i), i)
-    out = []
-    for i, w in words:
-        gone = [False] * len(w)
-        for p in range(len(w) - window + 1):
-            if first[tuple(w[p:p + window])] < i:
-                gone[p:p + window] = [True] * window
-        out.append((i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
-    return out
-
-
 def test_substring_dedup(spark, sf, docs):
     got = by_id(spark, sf, "op2_substring_dedup")
     want = brute_dedup([(r["doc_id"], r["text"]) for r in docs])
@@ -106,32 +81,6 @@ def test_pii_spans(spark, sf, docs):
         assert set(text.split(",")) - {""} <= set(g["spans"].split(","))
 
 
-def brute_print(text):
-    words = re.findall(rb"[^ \t-\r]+", re.sub(r"[A-Z]", lambda m: m.group().lower(), text or "").encode())
-    if not words:
-        return 0
-    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def brute_components(prints):
-    ids = sorted(prints)
-    root = {i: i for i in ids}
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {i: find(i) for i in ids}
-
-
 def test_simhash_groups(spark, sf, docs):
     got = by_id(spark, sf, "op6_simhash_groups")
     prints = {r["doc_id"]: brute_print(r["text"]) for r in docs}
