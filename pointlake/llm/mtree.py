@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 from pointlake.llm.common import store
 
 TREE = 8192
-PAGE = 128
-FANOUT = 16
+PAGE = 512
+FANOUT = 32
 MAX_PIVOTS = 512
 ROOT_BLOCK = 1024
 QUERY_BLOCK = 1024
+EXACT = 1 << 50
 _SLACK = 1e-9
 NODES = "tree long, page int, leaf boolean, norm2 long, ids array<long>, vectors array<long>, radius array<double>, parent array<double>, child array<int>, least array<long>"
 
@@ -135,51 +136,53 @@ class Tree:
         for r in rows:
             ids = np.array(r["ids"], np.int64)
             v = np.array(r["vectors"], np.int64).reshape(len(ids), -1)
-            self.pages[r["page"]] = (r["leaf"], ids, v, lifted(v, self.norm2), *(np.array(r[c]) for c in ("radius", "parent", "child", "least")))
+            radius, parent, child, least = (np.array(r[c]) for c in ("radius", "parent", "child", "least"))
+            self.pages[r["page"]] = (r["leaf"], ids, v.astype(float) if self.norm2 < EXACT else v, radius * (1 + _SLACK) + 1e-6, parent, child, -least)
 
     def best(self, own: int, q: np.ndarray, k: int, floor: tuple[int, int] | None) -> list[tuple[int, int]]:
         """Up to k ``(score, -id)`` that beat ``floor``, the k-th result known so far."""
         top: list[tuple[int, int]] = []
-        x = np.append(q.astype(float), 0.0)
-        base = float((q * q).sum()) + self.norm2
+        q2 = int((q * q).sum())
+        if q2 < EXACT and self.norm2 < EXACT:
+            q = q.astype(float)  # sums of products stay below 2**52: doubles hold them exactly
+        base = float(q2 + self.norm2)
         slack = _SLACK * base + 0.5
+        bar = floor or (-math.inf, -math.inf)
 
         def bound(d: np.ndarray) -> np.ndarray:
             """Largest product at distance ``d`` or more."""
             return np.floor((base - np.maximum(d, 0.0) ** 2) / 2 + slack)
 
-        def bar() -> tuple[float, float]:
-            held = top[0] if len(top) == k else None
-            known = max(x for x in (held, floor) if x is not None) if held or floor else None
-            return known if known else (-math.inf, -math.inf)
-
-        root = self.pages[0]
-        heap = [(-math.inf, 0, float(distances(x, root[3][0])) if root[0] else None)]
+        heap: list[tuple] = [(-math.inf, 0, None)]
         while heap:
             top_bound, page, d_own = heapq.heappop(heap)
-            least_score, least_id = bar()
-            if -top_bound < least_score:
+            if -top_bound < bar[0]:
                 break
-            leaf, ids, v, xs, radius, parent, child, least = self.pages[page]
-            reach = radius * (1 + _SLACK) + 1e-6
-            if d_own is None:
-                limit = np.full(len(ids), math.inf)
-            else:
+            leaf, ids, v, reach, parent, child, least = self.pages[page]
+            live = slice(None)
+            if d_own is not None:  # what the stored distances rule out is not computed
                 limit = bound(np.abs(d_own - parent) - reach - 1e-6)
-            live = np.flatnonzero((limit > least_score) | ((limit == least_score) & (-least > least_id)))
-            if not len(live):
-                continue
+                live = np.flatnonzero((limit > bar[0]) | ((limit == bar[0]) & (least > bar[1])))
+                if not len(live):
+                    continue
+            # gathering most of a page costs more than multiplying all of it
+            products = (v @ q)[live] if d_own is None or 4 * len(live) > len(ids) else v[live] @ q
             if leaf:
-                for score, i in zip((v[live] @ q).tolist(), ids[live].tolist(), strict=True):
-                    found = (score, -i)
-                    if i != own and (len(top) < k or found > top[0]) and (floor is None or found > floor):
-                        heapq.heappush(top, found) if len(top) < k else heapq.heapreplace(top, found)
+                good = np.flatnonzero(products >= bar[0])
+                for found in zip(map(int, products[good].tolist()), (-ids[live][good]).tolist(), strict=True):
+                    if found[1] != -own and found > bar:
+                        if len(top) < k:
+                            heapq.heappush(top, found)
+                        else:
+                            heapq.heapreplace(top, found)
+                        if len(top) == k:
+                            bar = max(bar, top[0])
             else:
-                d = distances(xs[live], x)
-                limit = bound(d - reach[live])
-                for e, far, high, low in zip(live.tolist(), d.tolist(), limit.tolist(), (-least[live]).tolist(), strict=True):
-                    if high > least_score or (high == least_score and low > least_id):
-                        heapq.heappush(heap, (-high, int(child[e]), far))
+                d = np.sqrt(np.maximum(base - 2.0 * products, 0.0))
+                limit = bound(d - reach[live] - 1e-6)
+                near = np.flatnonzero((limit > bar[0]) | ((limit == bar[0]) & (least[live] > bar[1])))
+                for high, to, far in zip(limit[near].tolist(), child[live][near].tolist(), d[near].tolist(), strict=True):
+                    heapq.heappush(heap, (-high, to, far))
         return top
 
 
