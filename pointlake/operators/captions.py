@@ -126,6 +126,16 @@ def merge_captions(tables: Sequence[DataFrame], rank: str = "frame") -> DataFram
     return ordinal(stacked, ["scene_id"], ["file_rank", rank], "image", block)
 
 
+def merge_indexes(merged: DataFrame, indexes: Sequence[DataFrame], rank: str = "frame") -> DataFrame:
+    """The points of the same producers' captions, in the numbering of :func:`merge_captions`."""
+    stacked = None
+    for i, index in enumerate(indexes):
+        rows = index.select("scene_id", rank, "point_idx").withColumn("file_rank", F.lit(i))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    numbers = merged.select("scene_id", "file_rank", rank, "image")
+    return attach(stacked, numbers, ["scene_id", "file_rank", rank]).select("scene_id", "image", "point_idx")
+
+
 def scene_captions(captions: DataFrame, rank: str = "frame", bits: int = CHUNK_BITS) -> DataFrame:
     """view captions of a scene as one text joined by ``". "``, and whether it needs a summary.
 
@@ -192,9 +202,10 @@ def caption_similarity(regions: DataFrame, captions: DataFrame, region_vec: str,
     its own caption among them.
 
     A batch is a fixed number of scenes; its caption list travels as one array per batch, so no
-    region x caption rows are formed."""
-    table = captions.groupBy("batch_id").agg(F.sort_array(F.collect_set(F.col("caption_id"))).alias("ids"),
-                                             F.sort_array(F.collect_set(F.struct(F.col("caption_id").alias("id"), l2_normalise(F.col(caption_vec)).alias("v")))).alias("caps"))
+    region x caption rows are formed.  An id that comes with several vectors counts once, with the least."""
+    one = captions.filter(F.col("caption_id").isNotNull()).groupBy("batch_id", F.col("caption_id").alias("id")).agg(F.min(caption_vec).alias("v"))
+    caps = F.sort_array(F.collect_list(F.struct("id", l2_normalise(F.col("v")).alias("v"))))
+    table = one.groupBy("batch_id").agg(caps.alias("caps")).withColumn("ids", F.transform("caps", lambda c: c["id"]))
     unit = regions.withColumn("_u", l2_normalise(F.col(region_vec))).join(table, "batch_id")
     sims = F.transform("caps", lambda c: dot(F.col("_u"), c["v"]) * scale)
     label = F.array_position(F.col("ids"), F.col("caption_id")) - 1

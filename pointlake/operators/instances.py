@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointlake.functions.blocks import attach
+from pointlake.functions.blocks import attach, ordinal
 from pointlake.schema import IGNORE
+from pointlake.session import cut_lineage
 
 
 def segment_stats(rows: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -35,11 +36,19 @@ def centre_offsets(points: DataFrame) -> DataFrame:
     return out.drop("x_mean", "y_mean", "z_mean")
 
 
+def _batches(scenes: DataFrame, scenes_per_batch: int, scene: str) -> DataFrame:
+    """Add ``batch_id``: scenes in order of their ids, ``scenes_per_batch`` to a batch.  Ids may be names or
+    have gaps.  Scenes are dealt to ranges of ids, which are written once and numbered each on its own."""
+    dealt = cut_lineage(scenes.repartitionByRange(scene).withColumn("_range", F.spark_partition_id()))
+    ranked = ordinal(dealt, [], [scene], "_rank", F.col("_range"))
+    return ranked.withColumn("batch_id", F.floor(F.col("_rank") / scenes_per_batch).cast("bigint")).drop("_range", "_rank")
+
+
 def batch_offsets(points: DataFrame, scenes_per_batch: int, scene_order: str = "scene_id") -> DataFrame:
     """First row of each scene inside its batch.  A batch holds ``scenes_per_batch`` scenes,
     which bounds the window."""
     sizes = points.groupBy(scene_order).agg(F.count(F.lit(1)).alias("n_points"))
-    sizes = sizes.withColumn("batch_id", F.floor(F.col(scene_order) / scenes_per_batch).cast("bigint"))
+    sizes = _batches(sizes, scenes_per_batch, scene_order)
     w = W.partitionBy("batch_id").orderBy(scene_order).rowsBetween(W.unboundedPreceding, -1)
     return sizes.withColumn("row_offset", F.coalesce(F.sum("n_points").over(w), F.lit(0)))
 
@@ -47,8 +56,8 @@ def batch_offsets(points: DataFrame, scenes_per_batch: int, scene_order: str = "
 def globalise_instances(points: DataFrame, scenes_per_batch: int) -> DataFrame:
     """Instance ids unique inside a batch: add the instance totals of earlier scenes."""
     tops = points.groupBy("scene_id").agg(F.max("inst_label").alias("_top"))
-    tops = tops.withColumn("_batch", F.floor(F.col("scene_id") / scenes_per_batch).cast("bigint"))
-    w = W.partitionBy("_batch").orderBy("scene_id").rowsBetween(W.unboundedPreceding, -1)
+    tops = _batches(tops, scenes_per_batch, "scene_id")
+    w = W.partitionBy("batch_id").orderBy("scene_id").rowsBetween(W.unboundedPreceding, -1)
     base = tops.select("scene_id", F.coalesce(
         F.sum(F.greatest(F.col("_top") + 1, F.lit(0))).over(w), F.lit(0)).alias("_base"))
     return (attach(points, base, ["scene_id"])

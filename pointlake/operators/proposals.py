@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointlake.functions import rng
 from pointlake.functions.blocks import attach, ordinal, with_stats
 from pointlake.functions.vectors import mean_vector, sigmoid, softmax
 from pointlake.operators.voxel import CELL, voxel_table
@@ -48,8 +49,10 @@ def proposal_scores(members: DataFrame, logits: DataFrame, n_classes: int, label
     return out.withColumn("cls_scores", F.slice("cls_scores", label_shift + 1, n_classes - label_shift))
 
 
-def revoxelise(members: DataFrame, feats: Sequence[str], scale: float, shape: int) -> tuple[DataFrame, DataFrame]:
-    """V8: voxelize each proposal on its own grid of at most ``shape`` cells per axis.
+def revoxelise(members: DataFrame, feats: Sequence[str], scale: float, shape: int,
+               seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """V8: voxelize each proposal on its own grid of at most ``shape`` cells per axis.  With a ``seed`` each
+    proposal moves by a random shift inside its grid.  A point outside the grid raises.
 
     Returns the voxel table with mean features and the member -> voxel rows."""
     key = ["scene_id", "proposal_id"]
@@ -58,8 +61,14 @@ def revoxelise(members: DataFrame, feats: Sequence[str], scale: float, shape: in
     extent = F.greatest(*[F.col(f"_hi{c}") - F.col(f"_lo{c}") for c in "xyz"])
     fit = F.when(extent > 0, F.lit(1.0) / (extent / shape) - 0.01)
     pts = pts.withColumn("_s", F.least(F.lit(float(scale)), fit))  # least() skips the NULL of a flat proposal
-    for v, c in zip(CELL, "xyz"):
-        pts = pts.withColumn(v, F.floor(F.col(c) * F.col("_s") - F.col(f"_lo{c}") * F.col("_s")).cast("bigint"))
+    for axis, (v, c) in enumerate(zip(CELL, "xyz")):
+        place = F.col(c) * F.col("_s") - F.col(f"_lo{c}") * F.col("_s")
+        if seed is not None:
+            room = F.lit(float(shape)) - (F.col(f"_hi{c}") - F.col(f"_lo{c}")) * F.col("_s")
+            wide, tight = [rng.uniform(seed + 2 * axis + k, F.col("scene_id"), F.col("proposal_id")) for k in (0, 1)]
+            place = place + F.greatest(room - 0.001, F.lit(0.0)) * wide + F.least(room + 0.001, F.lit(0.0)) * tight
+        outside = F.raise_error(F.concat(F.lit("a point lies outside the grid of proposal "), F.col("proposal_id").cast("string")))
+        pts = pts.withColumn(v, F.when((place >= 0) & (place < shape), F.floor(place)).otherwise(outside.cast("bigint")))
     pts = pts.drop("_s", *stats)
     return voxel_table(pts, key, *[F.avg(f).alias(f) for f in feats]), pts
 
@@ -72,7 +81,7 @@ def predicted_instances(proposals: DataFrame, masks: DataFrame, semantic: DataFr
     ``proposals(scene_id, proposal_id, cls_scores, iou_score)``, ``masks(scene_id, proposal_id,
     point_idx, mask_score)``, ``semantic(scene_id, point_idx, pred)``.  Returns ``(meta, mask)``:
     ``meta(scene_id, pred_id, label_id, conf, mask_id)``, ``mask(scene_id, mask_id, point_idx)``.  The
-    classes of a proposal share one mask, which is stored once.  Stuff classes become one instance
+    classes of a proposal share one mask, which is stored once; proposals without a prediction have none.  Stuff classes become one instance
     with confidence 1 and the mask of their predicted points (mask ids ``-1 - class``)."""
     on = masks.filter(F.col("mask_score") > mask_threshold).select("scene_id", F.col("proposal_id").alias("mask_id"), "point_idx")
     sizes = on.groupBy("scene_id", F.col("mask_id").alias("proposal_id")).agg(F.count(F.lit(1)).alias("n"))
@@ -84,6 +93,8 @@ def predicted_instances(proposals: DataFrame, masks: DataFrame, semantic: DataFr
                   .withColumn("_k", F.explode(kept))
                   .select("scene_id", F.col("_k.c").alias("class_id"), F.col("proposal_id").cast("bigint").alias("mask_id"),
                           (F.col("_k.p") * sigmoid(F.col("iou_score"))).alias("conf")))
+    kept_masks = thing_rows.select("scene_id", "mask_id").distinct()
+    on = attach(on.withColumn("mask_id", F.col("mask_id").cast("bigint")), kept_masks, ["scene_id", "mask_id"])
     mask, rows = on, thing_rows
     if stuff:
         points = semantic.filter(F.col("pred").isin(*stuff)).select("scene_id", (-F.col("pred") - 1).cast("bigint").alias("mask_id"), "point_idx")

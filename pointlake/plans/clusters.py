@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pointlake.functions.vectors import softmax
 from pointlake.operators import components, proposals as PR, radius, sampling
 from pointlake.operators.calibrate import calibrate
+from pointlake.plans import draws
 from pointlake.plans.fixtures import SPLIT
 from pointlake.plans.vectors import NB
 from pointlake.plans.registry import query
@@ -107,17 +108,40 @@ def _(t):
     return out.select("scene_id", "proposal_id", F.posexplode("cls_scores").alias("class_pos", "score"))
 
 
-INST = "SELECT q.scene_id, q.pred_id AS proposal_id, q.point_idx, CAST(p.x_mm AS DOUBLE) AS x, CAST(p.y_mm AS DOUBLE) AS y, CAST(p.z_mm AS DOUBLE) AS z, p.r FROM pred_inst q JOIN points p ON p.scene_id = q.scene_id AND p.point_idx = q.point_idx"
-REVOX = f"""SELECT scene_id, proposal_id, vx, vy, vz, avg(r) AS r, count(*) AS n_points, min(point_idx) AS first_idx FROM (SELECT scene_id, proposal_id, point_idx, r, CAST(floor(x*s - lx*s) AS BIGINT) AS vx, CAST(floor(y*s - ly*s) AS BIGINT) AS vy, CAST(floor(z*s - lz*s) AS BIGINT) AS vz
- FROM (SELECT *, least(2e-2, 1/(greatest(hx - lx, hy - ly, hz - lz)/5) - 1e-2) AS s FROM (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy, min(z) OVER w AS lz, max(z) OVER w AS hz FROM ({INST}) i WINDOW w AS (PARTITION BY scene_id, proposal_id)) a) b) c
- GROUP BY scene_id, proposal_id, vx, vy, vz"""
+# coordinates in metres: a proposal of less than 100 grid lengths fits its grid
+INST = "SELECT q.scene_id, q.pred_id AS proposal_id, q.point_idx, p.x_mm/1e3 AS x, p.y_mm/1e3 AS y, p.z_mm/1e3 AS z, p.r FROM pred_inst q JOIN points p ON p.scene_id = q.scene_id AND p.point_idx = q.point_idx"
+SCALED = f"""SELECT *, least(2e1, 1/(greatest(hx - lx, hy - ly, hz - lz)/12) - 1e-2) AS s FROM (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy, min(z) OVER w AS lz, max(z) OVER w AS hz
+ FROM ({INST}) i WINDOW w AS (PARTITION BY scene_id, proposal_id)) a"""
 
 
-@query("v8_revoxelise_proposals", "scene_id bigint, proposal_id bigint, vx bigint, vy bigint, vz bigint, r double, n_points bigint, voxel_id bigint",
-       f"SELECT *, row_number() OVER (PARTITION BY scene_id, proposal_id ORDER BY first_idx) - 1 AS voxel_id FROM ({REVOX}) v", ("points", "pred_inst"))
+def revoxelised(*shifts):
+    cells = ", ".join(f"CAST(floor({c}*s - l{c}*s + {m}) AS BIGINT) AS v{c}" for c, m in zip("xyz", shifts))
+    rows = f"SELECT scene_id, proposal_id, vx, vy, vz, avg(r) AS r, count(*) AS n_points, min(point_idx) AS first_idx FROM (SELECT scene_id, proposal_id, point_idx, r, {cells} FROM ({SCALED}) b) c GROUP BY scene_id, proposal_id, vx, vy, vz"
+    return f"SELECT *, row_number() OVER (PARTITION BY scene_id, proposal_id ORDER BY first_idx) - 1 AS voxel_id FROM ({rows}) v"
+
+
+def shift_sql(axis, c, seed):
+    wide, tight = [draws.uniform(seed + 2*axis + k, "scene_id", "proposal_id") for k in (0, 1)]
+    room = f"(12e0 - (h{c} - l{c})*s"
+    return f"(greatest({room} - 1e-3), 0e0)*{wide} + least({room} + 1e-3), 0e0)*{tight})"
+
+
+V8 = "scene_id bigint, proposal_id bigint, vx bigint, vy bigint, vz bigint, r double, n_points bigint, voxel_id bigint"
+
+
+def instance_members(t):
+    metres = mm(t).selectExpr("scene_id", "point_idx", "r", *[f"{c}/1e3D AS {c}" for c in "xyz"])
+    return t.pred_inst.withColumnRenamed("pred_id", "proposal_id").join(metres, ["scene_id", "point_idx"])
+
+
+@query("v8_revoxelise_proposals", V8, revoxelised("0", "0", "0"), ("points", "pred_inst"))
+def _(t):
+    return PR.revoxelise(instance_members(t), ["r"], 20.0, 12)[0]
+
+
+@query("v8_random_shift", V8, revoxelised(*[shift_sql(i, c, 23) for i, c in enumerate("xyz")]), ("points", "pred_inst"))
 def _(t):
-    rows = t.pred_inst.withColumnRenamed("pred_id", "proposal_id").join(mm(t), ["scene_id", "point_idx"])
-    return PR.revoxelise(rows, ["r"], 0.02, 5)[0]
+    return PR.revoxelise(instance_members(t), ["r"], 20.0, 12, seed=23)[0]
 
 
 MASK_SCORE = "((point_idx*13 + pred_id*5) % 19 - 9)/6e0"

@@ -142,6 +142,14 @@ def _(t):
     return CP.merge_captions([t.captions, again])
 
 
+@query("w6_merge_indexes", "scene_id bigint, image bigint, point_idx bigint",
+       """SELECT c.scene_id, image, point_idx FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY k, frame) - 1 AS image FROM (SELECT 0 AS k, scene_id, frame FROM captions UNION ALL SELECT 1, scene_id, 5 - frame FROM captions) u) n
+       JOIN (SELECT 0 AS k, scene_id, frame, point_idx FROM corr UNION ALL SELECT 1, scene_id, 5 - frame, point_idx FROM corr) c ON c.k = n.k AND c.scene_id = n.scene_id AND c.frame = n.frame""", ("captions", "corr"))
+def _(t):
+    again = t.captions.selectExpr("scene_id", "5 - frame AS frame", "caption")
+    return CP.merge_indexes(CP.merge_captions([t.captions, again]), [t.corr, t.corr.withColumn("frame", 5 - F.col("frame"))])
+
+
 @query("f1_scene_captions", "scene_id bigint, text string, needs_summary boolean",
        "SELECT scene_id, text, len(string_split(text, ' ')) > 75 AS needs_summary FROM (SELECT scene_id, string_agg(caption, '. ' ORDER BY frame) AS text FROM captions GROUP BY scene_id) s", ("captions",))
 def _(t):

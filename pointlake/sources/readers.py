@@ -15,8 +15,6 @@ from pointlake.functions.text import area_of, file_stem, image_key
 from pointlake.operators.labels import lookup
 from pointlake.schema import IGNORE
 
-NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
-
 
 def read_object_files(spark: SparkSession, root: str, classes: Sequence[str], fallback: str = "clutter") -> DataFrame:
     """``<area>/<room>/Annotations/<class>_<k>.txt`` files of ``x y z r g b`` lines.
@@ -122,16 +120,26 @@ def read_correspondence(spark: SparkSession, path: str, level: str | None = None
     return corr if level is None else corr.filter(F.col("level") == level)
 
 
-def _matrix(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda t: t.cast("double"))
+def _matrix(text: Column, path: Column, sizes: Sequence[int]) -> Column:
+    """Numbers between white space, ``inf`` and ``nan`` included; other words and other counts raise."""
+    bad = F.raise_error(F.concat(F.lit("not a matrix: "), path))
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    cells = F.transform(words, lambda w: F.coalesce(w.try_cast("double"), bad.cast("double")))
+    return F.when(F.size(words).isin(*sizes), cells).otherwise(bad.cast("array<double>"))
+
+
+def _finite(cells: Column) -> Column:
+    return F.forall(cells, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
 
 
 def read_pose_texts(spark: SparkSession, glob: str) -> DataFrame:
     """4x4 matrices as text, one file per image: ``(scene_id, image, pose)``.  Paths end in
-    ``<scene>/pose/<image>.txt``."""
+    ``<scene>/pose/<image>.txt``.  A pose with a number that is not finite marks a frame whose camera was
+    lost; it sees no point and is left out."""
     raw = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return raw.select(F.element_at(F.split("path", "/"), -3).alias("scene_id"), image_key(file_stem(F.col("path"))).alias("image"),
-                      _matrix(F.col("value")).alias("pose"))
+    poses = raw.select(F.element_at(F.split("path", "/"), -3).alias("scene_id"), image_key(file_stem(F.col("path"))).alias("image"),
+                       _matrix(F.col("value"), F.col("path"), [16]).alias("pose"))
+    return poses.filter(_finite(F.col("pose")))
 
 
 def read_pose_json(spark: SparkSession, glob: str) -> DataFrame:
@@ -145,7 +153,8 @@ def read_pose_json(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_intrinsics(spark: SparkSession, glob: str) -> DataFrame:
     """One intrinsic matrix (3x3 or 4x4 text) per scene folder."""
-    raw = spark.read.text(glob, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("scene_id"), _matrix(F.col("value")).alias("k"))
+    path = F.col("_metadata.file_path")
+    raw = spark.read.text(glob, wholetext=True).select(F.element_at(F.split(path, "/"), -2).alias("scene_id"), _matrix(F.col("value"), path, [9, 16]).alias("k"))
     side = F.when(F.size("k") == 9, 3).otherwise(4)
     shift = [F.when(side == 4, F.get("k", i * 4 + F.lit(3))).otherwise(0.0) for i in range(2)]
     return raw.select("scene_id", F.col("k")[0].alias("fx"), F.get("k", side + 1).alias("fy"), F.col("k")[2].alias("cx"),

@@ -77,6 +77,11 @@ def test_poses(spark, tmp_path):
     assert (row.scene_id, row.image) == ("s1", "10")
     np.testing.assert_allclose(np.array(row.pose).reshape(4, 4), m)
     np.testing.assert_allclose(np.array(row.inv).reshape(4, 4), np.linalg.inv(m), atol=1e-12)
+    np.savetxt(folder / "11.txt", np.full((4, 4), -np.inf))  # a lost camera
+    assert [r.image for r in R.read_pose_texts(spark, f"{tmp_path}/*/pose/*.txt").collect()] == ["10"]
+    (folder / "12.txt").write_text("1 2 3")
+    with pytest.raises(Exception, match="not a matrix"):
+        R.read_pose_texts(spark, f"{tmp_path}/*/pose/*.txt").collect()
     (folder / "7.json").write_text(json.dumps({"camera_rt_matrix": m[:3].tolist(), "camera_k_matrix": [[5, 0, 2], [0, 6, 3], [0, 0, 1]]}))
     row = R.read_pose_json(spark, f"{tmp_path}/*/pose/*.json").first()
     assert (row.fx, row.fy, row.cx, row.cy) == (5, 6, 2, 3) and len(row.pose) == 12

@@ -11,6 +11,8 @@ from pointlake import IGNORE, ClassSplit
 from pointlake.functions import text as TX
 from pointlake.functions import vectors as V
 from pointlake.operators import calibrate, coords, labels, masks, metrics, overlap
+from pointlake.operators.instances import batch_offsets, globalise_instances
+from pointlake.operators.proposals import revoxelise
 
 
 def encode(spark, rows, **kw):
@@ -143,3 +145,19 @@ def test_rescue_lets_the_later_instance_keep_a_shared_proposal(spark):
     plain = {r.proposal_id: r.assigned for r in overlap.assign_proposals(df, 0.55).collect()}
     rescued = {r.proposal_id: r.assigned for r in overlap.assign_proposals(df, 0.55, 0.3).collect()}
     assert plain == {0: 0} and rescued == {0: 1}
+
+
+def test_batches_of_named_scenes(spark):
+    """Names and ids with gaps fill batches in order."""
+    for ids in (["s_a", "s_c", "s_b", "s_x", "s_d"], [7, 900, 44, 5000, 901]):
+        pts = spark.createDataFrame([(s, i, i % 2) for s in ids for i in range(3)], ["scene_id", "point_idx", "inst_label"])
+        got = {r.scene_id: (r.batch_id, r.row_offset) for r in batch_offsets(pts, 2).collect()}
+        assert [got[s] for s in sorted(ids)] == [(0, 0), (0, 3), (1, 0), (1, 3), (2, 0)]
+        named = {(r.scene_id, r.point_idx): r.inst_label for r in globalise_instances(pts, 2).collect()}
+        assert [named[s, 1] for s in sorted(ids)] == [1, 3, 1, 3, 1]
+
+
+def test_revoxelise_outside_grid(spark):
+    rows = spark.createDataFrame([(0, 0, i, float(v), 0.0, 0.0, 1.0) for i, v in enumerate((0, 400, 900))], "scene_id long, proposal_id long, point_idx long, x double, y double, z double, r double")
+    with pytest.raises(Exception, match="outside the grid"):
+        revoxelise(rows, ["r"], 0.02, 5)[0].collect()
