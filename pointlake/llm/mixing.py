@@ -212,5 +212,7 @@ def draw_mix(df: DataFrame, text: str = "text", id_col: str = "doc_id", source:
     drawn = attach_plan(df, mix, text, id_col, source).select("row", F.explode("takes").alias("take"))
     place = _draw(seed + 3, F.col(f"row.`{id_col}`"), F.col(f"row.`{text}`"), "take.round")
     out = drawn.select("row", F.col("take.shard").alias("shard"), place.alias("place"))
-    out = out.repartition("shard").sortWithinPartitions("shard", "place")
+    # shards are dealt to tasks in turn: few shards hashed to tasks would leave some with several, others with none
+    tasks = min(mix.n_shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = out.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "place")
     return out.select("row.*", "shard")
