@@ -133,15 +133,20 @@ def noise_grid(extents: DataFrame, gran: int, seed: int) -> DataFrame:
     by two passes of a 3-tap box filter per axis with zeros outside.
 
     One row per node.  The windows run along single grid lines, whose length depends on the size of
-    the room, not on its number of points."""
+    the room, not on its number of points.  Slabs of constant j, then of constant i, are dealt to tasks; a
+    slab holds the lines along its two axes whole, so the blur shuffles twice, not once per axis and pass."""
     ext = extents.select("scene_id", *[(F.floor(F.floor(F.col(f"ext_{c}")) / gran) + 3).cast("int").alias(f"b{c}") for c in XYZ])
     grid = ext
-    for c, i in zip(XYZ, "ijk"):
+    for c, i in zip("yxz", "jik"):
         grid = grid.withColumn(i, F.explode(F.sequence(F.lit(0), F.col(f"b{c}") - 1)))
+        if i == "j":
+            grid = grid.repartition("scene_id", "j")
     node = [F.col(n) for n in "ijk"]
     grid = grid.select("*", *[rng.normal(seed + 10 * a, scene_key(), *node).alias(f"n{c}") for a, c in enumerate(XYZ)])
     for along in "ijk":
         others = [n for n in "ijk" if n != along]
+        if along == "j":
+            grid = grid.repartition("scene_id", "i")
         w = W.partitionBy("scene_id", *others).orderBy(along).rowsBetween(-1, 1)
         for _ in range(2):
             grid = grid.select(*[c for c in grid.columns if c not in ("nx", "ny", "nz")],

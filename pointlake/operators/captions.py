@@ -43,18 +43,20 @@ def frame_pair_counts(corr: DataFrame, min_size: int = 0) -> DataFrame:
     """Points shared by each pair of frames ``a < b`` of a scene (pairs that share none are
     absent).
 
-    Points with the same set of frames are counted together first, so pairs are formed per
-    distinct set, not per point.  Frames of fewer than ``min_size`` points are left out."""
+    64 neighbouring points form a word in which each frame has one bit per point, so frames meet once per
+    word and shared points are counted as common bits.  A hot scene is spread over its words.
+    Frames of fewer than ``min_size`` points are left out."""
     rows = corr.select("scene_id", "frame", "point_idx")
     if min_size > 0:
         sizes = rows.groupBy(*IMAGE).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size).drop("_n")
         rows = attach(rows, sizes, IMAGE)
-    sets = (rows.groupBy("scene_id", "point_idx").agg(F.sort_array(F.collect_set("frame")).alias("seen"))
-            .filter(F.size("seen") > 1).groupBy("scene_id", "seen").agg(F.count(F.lit(1)).alias("n")))
-    later = F.transform("seen", lambda a, i: F.transform(
-        F.slice("seen", i + 2, F.size("seen")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    pairs = sets.select("scene_id", "n", F.explode(F.flatten(later)).alias("p"))
-    return pairs.groupBy("scene_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n_both"))
+    bit = F.expr("shiftleft(1L, CAST(point_idx & 63 AS INT))")
+    words = rows.groupBy(*IMAGE, F.shiftright("point_idx", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    first = words.select("scene_id", "word", F.col("frame").alias("a"), F.col("bits").alias("bits_a"))
+    later = words.select("scene_id", "word", F.col("frame").alias("b"), F.col("bits").alias("bits_b"))
+    met = first.join(later, ["scene_id", "word"]).filter("a < b AND bits_a & bits_b <> 0")
+    shared = F.sum(F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b"))))
+    return met.groupBy("scene_id", "a", "b").agg(shared.alias("n_both"))
 
 
 def entities(captions: DataFrame, corr: DataFrame, min_points: int = 100, ratio: float = 0.3) -> DataFrame:

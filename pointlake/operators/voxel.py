@@ -39,8 +39,8 @@ def voxel_representatives(points: DataFrame, seed: int | None = None) -> DataFra
     key = F.col("point_idx") if seed is None else rng.draw(seed, F.col("scene_id"), F.col("point_idx"))
     best = F.min(F.struct(key.alias("k"), F.col("point_idx").alias("p")))["p"]
     cells = points.groupBy("scene_id", *CELL).agg(best.alias("rep_idx"))
-    cells = cells.withColumn("_bx", F.col("vx"))
-    return ordinal(cells, ["scene_id"], ["vx", "vy", "vz"], "voxel_id", F.col("_bx"), store=True).drop("_bx")
+    strip = F.struct("vx", F.shiftright("vy", 6).alias("sy"))  # a wall at constant x is many strips
+    return ordinal(cells, ["scene_id"], ["vx", "vy", "vz"], "voxel_id", strip, store=True)
 
 
 def pool_voxels(points: DataFrame, feats: Sequence[str], mode: str, batch: Sequence[str] = ("scene_id",)) -> DataFrame:

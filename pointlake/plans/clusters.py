@@ -42,15 +42,16 @@ def _(t):
     return PR.class_candidates(t.logits.withColumn("probs", softmax(F.col("logits"))), "probs", 0.2, (0, 1), 50)
 
 
-SHIFT = "SELECT p.scene_id, p.point_idx, p.x + (mx - p.x)*5e-1 AS x, p.y + (my - p.y)*5e-1 AS y, p.z + (mz - p.z)*5e-1 AS z FROM pm p JOIN (SELECT scene_id, inst_label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pm WHERE inst_label >= 0 GROUP BY scene_id, inst_label) i ON i.scene_id = p.scene_id AND i.inst_label = p.inst_label"
+# points without an instance are candidates too: their offset is a constant here
+SHIFT = "SELECT p.scene_id, p.point_idx, p.x + coalesce((mx - p.x)*5e-1, 25e-2) AS x, p.y + coalesce((my - p.y)*5e-1, 25e-2) AS y, p.z + coalesce((mz - p.z)*5e-1, 25e-2) AS z FROM pm p LEFT JOIN (SELECT scene_id, inst_label, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM pm WHERE inst_label >= 0 GROUP BY scene_id, inst_label) i ON i.scene_id = p.scene_id AND i.inst_label = p.inst_label"
 
 
 @query("c6_shift_by_offset", PT + "x double, y double, z double", SHIFT, ("pm",))
 def _(t):
     from pointlake.operators.instances import centre_offsets
-    pts = centre_offsets(t.points_m).filter("inst_label >= 0")
+    pts = centre_offsets(t.points_m)
     for c in "xyz":
-        pts = pts.withColumn(f"pred_off_{c}", F.col(f"off_{c}") * 0.5)
+        pts = pts.withColumn(f"pred_off_{c}", F.coalesce(F.col(f"off_{c}") * 0.5, F.lit(0.25)))
     return PR.shift_by_offset(pts)
 
 

@@ -81,10 +81,8 @@ def _(t):
     path = t.scratch("offsets")
     vec = F.array(F.col("scene_id") / 10.0, F.lit(-0.5), F.lit(2.0))
     t.scenes.select(F.to_json(F.create_map(F.col("scene_id").cast("string"), vec)).alias("value")).write.text(path)
-    lines = t.spark.read.text(path)
-    rows = lines.select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("scene_id", "o"))
-    offsets = rows.select(F.col("scene_id").cast("bigint"), *[F.col("o")[i].alias(f"off_{c}") for i, c in enumerate("xyz")])
-    return R.add_scene_offsets(t.points_m, offsets)
+    offsets = R.read_scene_offsets(t.spark, path, per_line=True)
+    return R.add_scene_offsets(t.points_m, offsets.withColumn("scene_id", F.col("scene_id").cast("bigint")))
 
 
 @query("k1_scene_arrays", PT + "gt bigint, pred bigint", "SELECT scene_id, point_idx, gt, pred FROM preds", ("preds",))
@@ -121,10 +119,10 @@ def _(t):
 
 
 @query("k5_metric_csv", "class string, class_id bigint, ap double, ap50 double, ap25 double",
-       f"{AP_SQL} SELECT concat('class_', class_id) AS class, class_id, coalesce(ap, 0) AS ap, coalesce(ap50, 0) AS ap50, coalesce(ap25, 0) AS ap25 FROM (SELECT class_id, {PER_CLASS} FROM res WHERE NOT isnan(ap) GROUP BY class_id) c", USES)
+       f"{AP_SQL} SELECT concat('class_', class_id) AS class, class_id, ap, ap50, ap25 FROM (SELECT class_id, {PER_CLASS} FROM res GROUP BY class_id) c", USES)
 def _(t):
     path = t.scratch("csv")
-    rows = AP.class_averages(ap_table(t)).filter(~F.isnan("ap")).withColumn("class", F.concat(F.lit("class_"), "class_id"))
+    rows = AP.class_averages(ap_table(t)).withColumn("class", F.concat(F.lit("class_"), "class_id"))
     K.write_metric_csv(rows, path)
     return t.spark.read.csv(path, header=True, schema="class string, class_id bigint, ap double, ap50 double, ap25 double")
 

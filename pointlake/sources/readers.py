@@ -8,41 +8,49 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointlake.functions.blocks import attach, ordinal, with_stats
+from pointlake.functions.blocks import attach, ordinal
 from pointlake.functions.text import area_of, file_stem, image_key
 from pointlake.operators.labels import lookup
 from pointlake.schema import IGNORE
+from pointlake.session import cut_lineage
 
 
 def read_object_files(spark: SparkSession, root: str, classes: Sequence[str], fallback: str = "clutter") -> DataFrame:
     """``<area>/<room>/Annotations/<class>_<k>.txt`` files of ``x y z r g b`` lines.
 
-    Unknown classes become ``fallback``; instances are numbered from 1 in file-name order per room and
-    the room is moved to the origin.  Only file names are ranked; points are never sorted."""
+    Unknown classes become ``fallback``; instances are numbered from 1 in file-name order per room, the
+    points of a room follow each other by file and line, and the room is moved to the origin.
+
+    The text is read twice: once for the size and the least coordinates of each split of a file (the
+    windows over a room see one row per split), once for the points, which join their split."""
+    names = [*"xyz", *"rgb"]
+    split = ["path", "_start"]
     lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root)
-             .select(F.col("_metadata.file_path").alias("path"), "value").filter(F.trim("value") != ""))
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_seq"), "value").filter(F.trim("value") != ""))
     parts = F.split(F.trim("value"), r"\s+")
-    names = [*"xyz", *"rgb"]
 
     def number(word: Column) -> Column:
         return F.coalesce(word.try_cast("double"), F.raise_error(F.concat(F.lit("not a point: "), "value", F.lit(" in "), "path")).cast("double"))
-    rows = lines.select("path", *[number(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)])
-    files = lines.select("path").distinct()
+    rows = lines.select(*split, "_seq", *[number(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)])
+    pieces = cut_lineage(rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(f"_m{c}") for c in "xyz"]))
     bits = F.split("path", "/")
-    files = files.select("path", F.concat_ws("_", F.element_at(bits, -4), F.element_at(bits, -3)).alias("scene_id"),
-                         F.element_at(bits, -1).alias("file"))
     known = {c: i for i, c in enumerate(classes)}
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    cls = F.element_at(F.split("file", "_"), 1)
-    files = files.withColumn("sem_label", F.coalesce(F.try_element_at(table, cls), F.lit(known[fallback])))
-    files = ordinal(files, ["scene_id"], ["file"], "inst_label", F.ascii("file"), start=1).select("path", "scene_id", "sem_label", "inst_label")
-    # a file holds one object; spread its points by a hash of their values
-    rows = rows.withColumn("_k", F.shiftleft(F.pmod(F.xxhash64(*names), F.lit(256)), 16))
-    rows = attach(rows, files, ["path"], key="_k")
-    rows = with_stats(rows, ["scene_id"], key="_k", **{f"_m{c}": ("min", F.col(c)) for c in "xyz"})
-    return rows.select("scene_id", *[(F.col(c) - F.col(f"_m{c}")).alias(c) for c in "xyz"], *"rgb", "sem_label", "inst_label")
+    file = F.element_at(bits, -1)
+    label = F.coalesce(F.try_element_at(table, F.element_at(F.split(file, "_"), 1)), F.lit(known[fallback]))
+    pieces = pieces.withColumns({"scene_id": F.concat_ws("_", F.element_at(bits, -4), F.element_at(bits, -3)), "_file": file, "sem_label": label})
+    room = W.partitionBy("scene_id")
+    by_file = room.orderBy("_file", "path")
+    earlier = room.orderBy("_file", *split).rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.select(*split, "scene_id", "sem_label", F.dense_rank().over(by_file).cast("bigint").alias("inst_label"),
+                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), *[F.min(f"_m{c}").over(room).alias(f"_m{c}") for c in "xyz"])
+    rows = rows.withColumn("_in", F.row_number().over(W.partitionBy(*split).orderBy("_seq"))).join(pieces, split)
+    return rows.select("scene_id", (F.col("_before") + F.col("_in") - 1).alias("point_idx"),
+                       *[(F.col(c) - F.col(f"_m{c}")).alias(c) for c in "xyz"], *"rgb", "sem_label", "inst_label")
 
 
 def read_numeric_scenes(spark: SparkSession, glob: str, columns: Sequence[str], rows_per_batch: int = 1 << 16) -> DataFrame:
@@ -214,10 +222,10 @@ def read_instance_manifests(spark: SparkSession, glob: str) -> DataFrame:
     return rows.withColumn("valid", ok).drop("_n", "_low")
 
 
-def read_scene_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """``{scene: [x, y, z]}`` JSON."""
-    raw = spark.read.text(path, wholetext=True)
-    rows = raw.select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("scene_id", "o"))
+def read_scene_offsets(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """``{scene: [x, y, z]}`` JSON, one object per file, or per line with ``per_line``.  Broken JSON raises."""
+    raw = spark.read.text(path, wholetext=not per_line)
+    rows = raw.select(F.explode(F.from_json("value", "map<string,array<double>>", {"mode": "FAILFAST"})).alias("scene_id", "o"))
     return rows.select("scene_id", *[F.col("o")[i].alias(f"off_{c}") for i, c in enumerate("xyz")])
 
 

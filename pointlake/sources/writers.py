@@ -93,4 +93,4 @@ def merge_indexes(spark: SparkSession, glob: str, path: str, folder_key: str | N
     scene = (F.regexp_extract(file, rf"/{folder_key}=([^/]+)/", 1) if folder_key
              else F.regexp_replace("_metadata.file_name", r"\.[^.]*$", ""))
     rows = spark.read.parquet(glob).withColumn("scene_id", scene)
-    rows.repartition("scene_id", F.shiftright("point_idx", 22)).sortWithinPartitions("scene_id", "image", "point_idx").write.mode("overwrite").parquet(path)
+    rows.repartition("scene_id", "image", F.shiftright("point_idx", 22)).sortWithinPartitions("scene_id", "image", "point_idx").write.mode("overwrite").parquet(path)

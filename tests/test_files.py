@@ -28,6 +28,7 @@ def test_object_files(spark, tmp_path):
     assert got["sem_label"].tolist() == [0, 0, 0, 1]
     assert got[["x", "y", "z"]].min().tolist() == [0, 0, 0]
     assert got["x"].tolist() == [2.0, 2.5, 5.0, 0.0]
+    assert got["point_idx"].tolist() == [0, 1, 2, 3]
 
 
 def test_numeric_scenes(spark, tmp_path):
