@@ -80,11 +80,14 @@ def clean_captions(captions: DataFrame, corr: DataFrame) -> tuple[DataFrame, Dat
 def training_points(points: DataFrame, split: ClassSplit, steps: Sequence[Step] = (), voxel_scale: float = 50.0,
                     features: Mapping[str, bool] | None = None) -> tuple[DataFrame, DataFrame]:
     """Training input: base labels, hidden novel instances, augmentation ``steps``, instance centres, and
-    the voxel table.  Scenes left without instances are dropped."""
+    the voxel table.  Scenes left without instances are dropped.
+
+    A step with statistics reads its input twice, so a chain of steps would read the points more often with
+    each step; the points are written after the augmentation and after the relabelling instead."""
     use = {"use_rgb": True, "use_xyz": True} | dict(features or {})
     rows = labels.hide_novel_instances(labels.apply_label_mode(points, split, "base"))
-    rows = run_steps(rows, steps)
-    rows = labels.drop_scenes_without_instances(labels.densify_instances(rows, F.col("inst_label") >= 0))
+    rows = cut_lineage(run_steps(rows, steps)) if steps else rows
+    rows = cut_lineage(labels.drop_scenes_without_instances(labels.densify_instances(rows, F.col("inst_label") >= 0)))
     rows = instances.centre_offsets(rows)
     rows = coords.to_voxel_scale(rows, voxel_scale).withColumn("feats", coords.point_features(**use))
     rows = cut_lineage(V.with_cells(rows, 1.0, ("sx", "sy", "sz")))
