@@ -46,7 +46,7 @@ _CODE_BITS = 31
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_hashes(text: str) -> np.ndarray:
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """XXH64 of every shingle of a text; shingles are slices of the words joined by one space."""
     words = text.encode().translate(_LOWER).split()
     if not words:
@@ -55,7 +55,7 @@ def shingle_hashes(text: str) -> np.ndarray:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    k = min(SHINGLE, len(words))
+    k = min(shingle, len(words))
     spans = zip(starts[:len(words) - k + 1].tolist(), ends[k - 1:].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
     return np.array([digest(line[a:b], SEED) for a, b in spans], np.uint64)

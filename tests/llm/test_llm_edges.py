@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointlake.llm import bpe, chat, language, mixing, mtree, pii, quality, sharding, simhash, substrings
+from pointlake.llm import bpe, chat, copies, language, mixing, mtree, pii, quality, sharding, simhash, substrings
 from pointlake.llm.queries import VOCABULARY
 from tests_llm_brute import brute_components, brute_dedup, brute_print
 
@@ -130,3 +130,43 @@ def test_empty_tables(spark, odd):
     vectors = mtree.integer_vectors(empty)
     assert mtree.top_k(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 5).count() == 0
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [3, 256])
+def test_near_copies(spark, crowd):
+    r = random.Random(8)
+    base = words(r, 120, 5000).split()
+    texts = [None, "", "one two", "one two", "ONE two", "one three"]
+    for k in range(60):  # from copies with one changed word to texts below the bound
+        new = list(base)
+        for _ in range(k % 9):
+            new[r.randrange(120)] = f"new{r.randrange(5000)}"
+        texts.append(" ".join(new))
+    texts += [words(r, 30, 5000) for _ in range(10)]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if k == y else k for k in root]
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id long, text string, n long")
+    prints = copies.with_bands(df.select("id", "text"))
+    labels = {x["id"]: x["label"] for x in copies.components(copies.meetings(prints), copies.with_set(df.select("id", "text")), crowd).collect()}
+    assert [labels.get(i, i) for i in range(len(texts))] == root
+    assert len(set(root)) < len(texts) - 20
+
+
+def test_dedup_stage_links_edited_copies(spark):
+    import corpus_pipeline as cp
+    r = random.Random(2)
+    texts = []
+    for _ in range(8):
+        new = words(r, 150, 5000).split()
+        texts.append(" ".join(new))
+        for k in (20, 80, 130):  # three changed words: similarity 0.81
+            new[k] = "edited"
+        texts.append(" ".join(new))
+    df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x["doc_id"] for x in cp.dedup_stage(spark, df, "").collect()) == list(range(0, 16, 2))
+    assert cp.dedup_stage(spark, df.limit(0), "").count() == 0
