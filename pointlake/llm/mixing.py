@@ -4,7 +4,9 @@
    and the excess is shared again.
 2. *Blocks.*  A seeded draw per document deals each source into up to 4096 equal blocks.  Whole passes take
    every block; the last pass takes permuted blocks while they fit, then single documents of the
-   next block.  Only per-block sums are looked at, so a hot source is just more blocks.
+   next block, and goes on like this with the later blocks (and once more from the first, up to
+   ``max_repeats``) while room is left that one of their documents fits.  Only per-block sums are looked
+   at, so a hot source is just more blocks.
 3. *Splitting tree.*  The blocks to take are exact quotas per source.  A node of the tree draws, from the
    multivariate hypergeometric distribution, how many blocks of each source go to its left half of the
    output shards; the rest goes right.  Nodes are seeded by their place, so tasks expand the
@@ -39,8 +41,8 @@ MAX_SOURCES = 100_000
 BLOCK_ROWS = 1000
 MAX_BLOCKS = 4096
 SHARD_WORDS = 5_000_000
-SMALL_BLOCK = 64
-CHOICE = 256
+CHOICES = (32, 256)
+CHOICE_BITS = 800_000_000
 _SPAN = 1 << 31
 
 
@@ -105,23 +107,70 @@ def best_subset(weights: Sequence[int], room: int) -> list[int]:
     return chosen
 
 
+def fill_block(weights: Sequence[int], room: int, copies: int) -> np.ndarray:
+    """How often each document of a block is taken: walks in the order of the draws, up to ``copies``, past
+    documents that do not fit; then the last takes of the walk are undone (more and more of them until the
+    room is full, as memory allows) and chosen again as a whole among all that is left."""
+    times = np.zeros(len(weights), np.int64)
+    taken, free = [], []
+    left = room
+    for _ in range(copies):
+        for k, w in enumerate(weights):
+            if 0 < w <= left:
+                taken.append(k)
+                left -= w
+            elif 0 < w <= room:
+                free.append(k)
+    keep, best = taken, []
+    for undone in (*CHOICES, len(taken)):
+        if not left:
+            break
+        cut = max(0, len(taken) - undone)
+        space = room - sum(weights[k] for k in taken[:cut])
+        items = [k for k in taken[cut:] + free if weights[k] <= space]
+        if len(items) * space > CHOICE_BITS:
+            break
+        keep, best = taken[:cut], [items[i] for i in best_subset([weights[k] for k in items], space)]
+        left = space - sum(weights[k] for k in best)
+    np.add.at(times, np.array(keep + best, np.int64), 1)
+    return times
+
+
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How often documents of a source's next block are taken once more: in the order of their draws while
-    they fit, then the choice among those that come next which fills the room best.  A small block is
-    chosen as a whole, each document up to its limit."""
+    """How often documents of a source's next block are taken once more."""
     pdf = pdf.sort_values(["u", "id", "k64"]).reset_index(drop=True)
-    weights, room, times = pdf["weight"].tolist(), int(round(pdf["room"].iloc[0])), np.zeros(len(pdf), np.int64)
-    start = 0
-    if len(pdf) > SMALL_BLOCK:
-        while start < len(pdf) and weights[start] <= room:
-            room -= weights[start]
-            times[start] = 1
-            start += 1
-    copies = int(pdf["copies"].iloc[0]) if len(pdf) <= SMALL_BLOCK else 1
-    items = [k for k in range(start, min(len(pdf), start + CHOICE)) for _ in range(copies) if 0 < weights[k] <= room]
-    for i in best_subset([weights[k] for k in items], room):
-        times[items[i]] += 1
-    return pdf.assign(times=times)[times > 0][["sid", "id", "k64", "times"]]
+    times = fill_block(pdf["weight"].tolist(), int(pdf["room"].iloc[0]), int(pdf["copies"].iloc[0]))
+    return pdf.assign(times=times, used=times * pdf["weight"])[times > 0][["sid", "id", "k64", "times", "used"]]
+
+
+def last_pass(units: DataFrame, named: DataFrame, max_repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks with the number of extra passes over the whole block (``whole``) and whether single documents
+    are taken besides (``part``), and these documents with their ``times``.  A round takes blocks in
+    order while they fit and fills the room left from the first that does not; every later round takes a
+    document at least, as only blocks with one that fits take part."""
+    sources = named.select("sid", "full", F.round("rest").cast("bigint").alias("room"))
+    by_block = units.groupBy("sid", "block").agg(F.sum("weight").alias("words"), F.min(F.when(F.col("weight") > 0, F.col("weight"))).alias("low"))
+    none = F.lit(0).cast("bigint")
+    blocks = store(by_block.join(F.broadcast(sources), "sid").withColumn("whole", none).withColumn("part", F.lit(False)), "mix-blocks")
+    free = ~F.col("part") & (F.col("full") + F.col("whole") < max_repeats)
+    order = W.partitionBy("sid").orderBy("whole", _draw(seed + 1, "sid", "block"), "block")
+    run, chosen = blocks.filter(free), None
+    while True:
+        run = run.withColumn("upto", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        fits, before = F.col("upto") <= F.col("room"), F.col("upto") - F.col("words")
+        run = store(run.select("sid", "block", fits.alias("fits"), (~fits & (before < F.col("room"))).alias("next"), (F.col("room") - before).alias("space"),
+                               F.when(fits, F.col("words")).otherwise(0).alias("used"), (max_repeats - F.col("full") - F.col("whole")).alias("copies")), "mix-run")
+        last = run.filter("next").select("sid", "block", F.col("space").alias("room"), "copies")
+        filled = units.join(last, ["sid", "block"]).select("sid", "id", "k64", "u", "weight", "room", "copies")
+        more = store(filled.groupBy("sid").applyInPandas(_fill, f"sid bigint, id {units.schema['id'].dataType.simpleString()}, k64 bigint, times bigint, used bigint"), "mix-chosen")
+        chosen = more if chosen is None else chosen.unionByName(more)
+        used = run.select("sid", "used").unionByName(more.select("sid", "used")).groupBy("sid").agg(F.sum("used").alias("used"))
+        state = blocks.join(run.select("sid", "block", "fits", "next"), ["sid", "block"], "left").join(used, "sid", "left")
+        blocks = store(state.select("sid", "block", "words", "low", "full", (F.col("room") - F.coalesce("used", none)).alias("room"),
+                                    (F.col("whole") + F.coalesce("fits", F.lit(False)).cast("bigint")).alias("whole"), (F.col("part") | F.coalesce("next", F.lit(False))).alias("part")), "mix-blocks")
+        run = blocks.filter(free & (F.col("low") <= F.col("room")))
+        if run.isEmpty():
+            return blocks, chosen.drop("used")
 
 
 def split_tree(quotas: np.ndarray, n_shards: int, lo: int, hi: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -157,19 +206,12 @@ def plan(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     keyed = rows.groupBy("id", "k64", "src", "size").agg(F.count(F.lit(1)).alias("m")).join(small, rows["src"].eqNullSafe(named["src"])).drop(named["src"])
     units = store(keyed.withColumn("u", _draw(seed, "id", "k64", "sid")).withColumn("block", F.floor(F.col("u") * F.col("blocks") / _SPAN).cast("bigint"))
                   .withColumn("weight", F.col("size") * F.col("m")).select("id", "k64", "src", "sid", "size", "weight", "u", "block", "source_size", "target"), "mix-units")
-    by_block = units.groupBy("sid", "block").agg(F.sum("weight").alias("words"))
-    order = W.partitionBy("sid").orderBy(_draw(seed + 1, "sid", "block"), "block")
-    run = by_block.join(small.select("sid", "full", "rest"), "sid").withColumn("upto", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    run = run.withColumn("whole", F.col("upto") <= F.col("rest")).withColumn("next", ~F.col("whole") & (F.col("upto") - F.col("words") <= F.col("rest")) & (F.col("rest") > 0))
-    blocks = store(run.withColumn("room", F.when(F.col("next"), F.col("rest") - F.col("upto") + F.col("words"))).select("sid", "block", "full", "whole", "next", "room"), "mix-blocks")
-    last = blocks.filter("next").withColumn("first", F.row_number().over(order)).filter("first = 1").select("sid", "block", "room", (max_repeats - F.col("full")).alias("copies"))
-    filled = units.join(last, ["sid", "block"]).select("sid", "id", "k64", "u", "weight", "room", "copies")
-    chosen = filled.groupBy("sid").applyInPandas(_fill, f"sid bigint, id {units.schema['id'].dataType.simpleString()}, k64 bigint, times bigint")
+    blocks, chosen = last_pass(units, named, max_repeats, seed)
 
     # one row per block to take, numbered inside its source
-    passes = F.transform(F.sequence(F.lit(1), F.col("full") + 1), lambda p: F.struct(p.alias("round"), (p > F.col("full")).alias("extra")))
-    takes = blocks.select("sid", "block", "whole", "next", F.explode(passes).alias("p")).filter(~F.col("p.extra") | F.col("whole") | F.col("next"))
-    takes = takes.select("sid", "block", F.col("p.round").alias("round"), (F.col("p.extra") & F.col("next")).alias("partial"))
+    times, part = F.col("full") + F.col("whole"), F.col("part").cast("bigint")
+    takes = blocks.filter(times + part > 0).select("sid", "block", "part", times.alias("n"), F.explode(F.sequence(F.lit(1).cast("bigint"), times + part)).alias("round"))
+    takes = takes.select("sid", "block", "round", (F.col("round") > F.col("n")).alias("partial"))
     number = W.partitionBy("sid").orderBy(_draw(seed + 2, "sid", "block", "round"), "block", "round")
     takes = store(takes.withColumn("rank", F.row_number().over(number).cast("bigint") - 1), "mix-takes")
     quotas = np.zeros(len(sources), np.int64)

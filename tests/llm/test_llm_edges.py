@@ -170,3 +170,28 @@ def test_dedup_stage_links_edited_copies(spark):
     df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(x["doc_id"] for x in cp.dedup_stage(spark, df, "").collect()) == list(range(0, 16, 2))
     assert cp.dedup_stage(spark, df.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize(("sizes", "room"), [([100] * 1000 + [100_000], 60_000), ([100] * 63 + [100_000], 15_000), ([7] * 500 + [5] * 500, 3001)])
+def test_block_is_filled_past_long_documents(sizes, room):
+    for k in range(12):
+        random.Random(k).shuffle(sizes)
+        times = mixing.fill_block(sizes, room, 3)
+        assert times.max() <= 3 and int(times @ np.array(sizes)) == room
+    assert mixing.fill_block([100_000, *[100] * 1000], 60_000, 3).max() == 1
+
+
+def test_mix_goes_on_to_later_blocks(spark):
+    rows = [(i, "w " * 100, "a") for i in range(60)] + [(100 + i, "w " * 20, "b") for i in range(100)] + [(200, "w " * 5000, "b")] + [(300 + i, "w " * 100, "c") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    old = mixing.BLOCK_ROWS
+    mixing.BLOCK_ROWS = 10
+    try:
+        for seed in range(3):
+            got = mixing.attach_plan(df, mixing.plan(df, seed=seed)).select("row.source", "size", "target", F.size("takes").alias("n")).collect()
+            assert max(r["n"] for r in got) <= 3
+            for s in "abc":
+                goal = next(r["target"] for r in got if r["source"] == s)
+                assert 0 <= goal - sum(r["size"] * r["n"] for r in got if r["source"] == s) < 100
+    finally:
+        mixing.BLOCK_ROWS = old
