@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm import bpe, chat, fim, language, lexical, mixing, mtree, pii, quality, sharding, simhash, substrings
+from pointlake.llm import bpe, chat, fim, language, lexical, mixing, mtree, multiset, pii, quality, sharding, simhash, substrings
 from pointlake.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,6 +68,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size("takes")).alias("taken"), F.transform("takes", lambda t: t["shard"]).alias("shards"))
 
 
+def op11_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = multiset.compare_with_next(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op12_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
@@ -86,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mtree_topk, op2_substring_dedup, op3_language_id, op4_chat_rotation, op5_pii_spans, op6_simhash_groups,
-                            op7_extendible_shards, op8_bpe_round_trip, op9_suffix_quality, op10_source_mix, op12_lexical_scan, op13_fim_regex, pipeline)}
+                            op7_extendible_shards, op8_bpe_round_trip, op9_suffix_quality, op10_source_mix, op11_multiset_fingerprint, op12_lexical_scan, op13_fim_regex, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
