@@ -193,10 +193,9 @@ def item_blocks(spark: SparkSession, items: DataFrame, limit: int) -> Iterator[B
     while n > 1 and per_item.groupBy(place(n).alias("b")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).filter((F.col("bytes") > 2 * limit) & (F.col("n") > 1)).limit(1).count():
         n *= 2
     kind = pa.schema(items.select("item_id").limit(0).toArrow().schema).field(0).type
-    for b in range(n if total else 0):
+    for b in sorted(r["b"] for r in per_item.select(place(n).alias("b")).distinct().collect()):
         held = pairs.filter(place(n) == b).orderBy("item_id", "term").collect()  # at most about 2 * limit bytes
-        if held:
-            yield Block([tuple(r) for r in held], kind)
+        yield Block([tuple(r) for r in held], kind)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",

@@ -16,8 +16,11 @@ integers, so results are exact, ties included.
 *Distribution.*  Queries meet the trees' roots in blocks; each query first searches its most promising tree,
 then every tree whose root may still beat its k-th product.  Work at a tree is cut into blocks of queries.
 
-Defined results: a vector that is NULL, empty, has a NULL or non-finite component or another length than
-most, or has a NULL id takes no part; rows with equal ids are all excluded for a query with that id, and
+*Lengths.*  A product needs vectors of one length, so a query meets the vectors of its own length.  Pivots have
+the commonest length; the others are dealt to trees by length and a hash of the id.
+
+Defined results: a vector that is NULL, empty, has a NULL or non-finite component, or has a NULL id takes no
+part; rows with equal ids are all excluded for a query with that id, and
 otherwise count as separate rows; fewer candidates than k give them all; products beyond 62 bits raise.
 """
 
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,11 +56,9 @@ def usable(vector: Column) -> Column:
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", factor: int = 256) -> DataFrame:
-    """``(vec_id, v)``: usable vectors of the commonest length, components ``floor(factor * x)``."""
+    """``(vec_id, v)``: usable vectors of any length, components ``floor(factor * x)``."""
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("x")).filter(F.col("vec_id").isNotNull() & usable(F.col("x")))
-    sizes = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
-    dim = next((r["n"] for r in sizes.collect()), 0)
-    return rows.filter(F.size("x") == dim).select("vec_id", F.transform("x", lambda c: F.floor(c * factor).cast("bigint")).alias("v"))
+    return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * factor).cast("bigint")).alias("v"))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -187,24 +189,28 @@ class Tree:
 
 
 def build_index(vectors: DataFrame, tree: int = TREE) -> DataFrame:
-    """Pages of all trees, written to the shared folder.  Pivots are the rows with the least hashes of
-    their ids, one per ``tree`` rows and at most ``MAX_PIVOTS``."""
-    n = vectors.count()
+    """Pages of all trees, written to the shared folder.  Pivots are the rows of the commonest length with
+    the least hashes of their ids, one per ``tree`` rows and at most ``MAX_PIVOTS``."""
+    common = vectors.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
+    dim, n = common[0] if common else (1, 0)
     wanted = min(MAX_PIVOTS, max(1, n // tree))
-    pivots = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()], np.float64)
+    pivots = np.array([r["v"] for r in vectors.filter(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()], np.float64)
     if not len(pivots):
-        pivots = np.zeros((1, 1))
+        pivots = np.zeros((1, dim))
     half = (pivots ** 2).sum(1) / 2
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), batch.num_rows).astype(float)
-            at = (x @ pivots.T - half).argmax(1) if len(x) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int64))], names=["vec_id", "v", "cell"])
+            length = np.array(pc.list_value_length(batch.column(1)), np.int64)
+            usual = np.flatnonzero(length == dim)
+            at = MAX_PIVOTS + length
+            if len(usual):
+                at[usual] = (matrix(batch.column(1).take(pa.array(usual)), len(usual)).astype(float) @ pivots.T - half).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=["vec_id", "v", "cell"])
 
     placed = store(vectors.select("vec_id", "v").mapInArrow(nearest, "vec_id long, v array<long>, cell long"), "mtree-cells")
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / tree).alias("trees"))
-    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("tree", F.col("cell") * (1 << 40) + F.pmod(F.xxhash64("vec_id"), F.col("trees")))  # at most MAX_PIVOTS rows
+    dealt = placed.join(sizes, "cell").withColumn("tree", F.col("cell") * (1 << 40) + F.pmod(F.xxhash64("vec_id"), F.col("trees")))
 
     def load(rows: pa.Table) -> pa.Table:
         pages = Builder(rows.column("vec_id").to_numpy(), matrix(rows.column("v"), rows.num_rows)).build()
@@ -221,8 +227,8 @@ _NODES = pa.schema([("tree", pa.int64()), ("page", pa.int32()), ("leaf", pa.bool
 def route(queries: DataFrame, roots: DataFrame, n_blocks: int, n_query_blocks: int, only_best: bool) -> DataFrame:
     """``(query_id, tree, bound)``: the trees whose root entries may beat the query's floor, or per block of
     roots the most promising tree only."""
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
-    right = roots.withColumn("rb", F.pmod(F.xxhash64("tree"), F.lit(n_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_query_blocks - 1).cast("bigint"))))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))).withColumn("dim", F.size("v"))
+    right = roots.withColumn("rb", F.pmod(F.xxhash64("tree"), F.lit(n_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_query_blocks - 1).cast("bigint")))).withColumn("dim", (F.size("vectors") / F.size("ids")).cast("int"))
 
     def meet(qs: pa.Table, rs: pa.Table) -> pa.Table:
         ids, found = qs.column("query_id").to_numpy(), []
@@ -249,7 +255,7 @@ def route(queries: DataFrame, roots: DataFrame, n_blocks: int, n_query_blocks: i
             row, col = np.nonzero(((high > score) | ((high == score) & (least < other))) & (trees[None] != home))
         return pa.table([ids[row], trees[col], high[row, col]], schema=_ROUTES)
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, tree long, bound double")
+    return left.groupBy("qb", "rb", "dim").cogroup(right.groupBy("qb", "rb", "dim")).applyInArrow(meet, "query_id long, tree long, bound double")
 
 
 _ROUTES = pa.schema([("query_id", pa.int64()), ("tree", pa.int64()), ("bound", pa.float64())])

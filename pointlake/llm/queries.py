@@ -100,18 +100,18 @@ ORACLE: dict[str, str] = {
 WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+  FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op4_chat_rotation": """
-WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said,
-    coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS part FROM conversations),
+WITH u AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),
+r AS (SELECT *, (place - place % 64) // 64 AS part FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, who, md5(said)) - 1 AS place FROM u)),
 p AS (SELECT DISTINCT conv_id, who AS assistant FROM r WHERE who <> 'system'),
 s AS (SELECT r.*, assistant, CASE WHEN who = 'system' THEN '<|system|>' WHEN who = assistant THEN '<|assistant|>' ELSE '<|user:' || who || '|>' END || chr(10) AS head,
     said || '<|end|>' || chr(10) AS body FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, assistant, part ORDER BY turn, who, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM s)
-SELECT conv_id, assistant, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, who, said) AS text,
-  coalesce(string_agg(CASE WHEN who = assistant THEN CAST(a AS BIGINT) || ':' || CAST(a + length(said) AS BIGINT) END, ',' ORDER BY turn, who, said), '') AS mask
+o AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, assistant, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM s)
+SELECT conv_id, assistant, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY place) AS text,
+  coalesce(string_agg(CASE WHEN who = assistant THEN CAST(a AS BIGINT) || ':' || CAST(a + length(said) AS BIGINT) END, ',' ORDER BY place), '') AS mask
 FROM o GROUP BY conv_id, assistant, part""",
     "op12_lexical_scan": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS u FROM documents),

@@ -13,10 +13,12 @@ starts in a document with a smaller id.
    suffix array with the longest common prefixes of its neighbours; the nodes at depth ``window`` or
    more are its maximal repeats, and the smallest id below a node decides about its leaves.
 4. *Crowded prefixes.*  A prefix found in more than ``crowd`` texts is lengthened until its group is one
-   node: to the whole window (a 128-bit hash).  The smallest id per node is then an aggregate that
-   combines before the shuffle, so a passage shared by any number of documents never meets in one task.
+   node: to the whole window, told apart by the SHA-256 of its words.  The smallest id per node is then an
+   aggregate that combines before the shuffle, so a passage shared by any number of documents never meets in
+   one task.  Both ways decide by the words themselves, so ``crowd`` changes the work and not the result.
 
-The text is shuffled once, by document.  Defined results: a NULL text counts as empty; a NULL id counts
+The text is shuffled up to three times: to find the spans of uncrowded and of crowded prefixes, for the texts
+that have such prefixes, and to remove what was found.  Defined results: a NULL text counts as empty; a NULL id counts
 as larger than any id; rows with equal id and text get equal results, and rows with equal ids never
 remove each other's words; texts shorter than a window stay as they are; other columns are kept and
 outputs replace columns of the same name.
@@ -24,6 +26,7 @@ outputs replace columns of the same name.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -69,7 +72,7 @@ def _range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 class Words:
     """Words of several texts: document, range and hash of each."""
 
-    def __init__(self, texts: list[str | None], seed: int = 0):
+    def __init__(self, texts: list[str | None]):
         raw = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         inside = ~_SPACE[data]
@@ -79,8 +82,8 @@ class Words:
         self.doc = np.searchsorted(offsets, starts, "right")
         self.counts = np.bincount(self.doc, minlength=len(raw))
         self.ends = np.cumsum(self.counts)
-        table = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD[seed]))
-        self.hash = _range_hash(table[data], starts, ends, _ODD[seed] | 1)
+        table = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD[0]))
+        self.hash = _range_hash(table[data], starts, ends, _ODD[0] | 1)
 
     def grams(self) -> np.ndarray:
         out = np.zeros(max(0, len(self.hash) - PREFIX + 1), np.uint64)
@@ -206,22 +209,25 @@ def subtree(rows: pa.Table, window: int) -> pa.Table:
 
 
 def crowded_windows(candidates: DataFrame, window: int) -> DataFrame:
-    """One row per window with a crowded prefix: 128-bit hash, text and place."""
+    """One row per window with a crowded prefix: SHA-256 of its words joined by a space, text and place."""
     kept = candidates.select("ord_id", "k64", "keys", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in text_slices(batches, limit=500_000):
-            words, other = Words(texts), Words(texts, 1)
+        for piece, texts in text_slices(batches):
+            words = Words(texts)
             anchors = Anchors(words, window)
             at = _chosen(anchors, len(texts), piece.column(2).to_pylist())
             size = anchors.size[at]
             place = np.repeat(anchors.first[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum())) if len(at) else at
-            hashes = [_range_hash(w.hash, place, place + window, base | 1).view(np.int64) for w, base in ((words, _ODD[1]), (other, _ODD[0]))]
-            doc = pa.array(words.doc[place], pa.int64())
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(doc), piece.column(1).take(doc), pa.array(place - (words.ends - words.counts)[words.doc[place]], pa.int64()),
-                                              pa.array(hashes[0]), pa.array(hashes[1])], names=["ord_id", "k64", "first", "h1", "h2"])
+            doc = words.doc[place]
+            first = place - (words.ends - words.counts)[doc]
+            split = {d: texts[d].encode().split() for d in np.unique(doc).tolist()}
+            digests = [hashlib.sha256(b" ".join(split[d][lo:lo + window])).digest() for d, lo in zip(doc.tolist(), first.tolist(), strict=True)]
+            rows = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(rows), piece.column(1).take(rows), pa.array(first, pa.int64()), pa.array(digests, pa.binary())],
+                                             names=["ord_id", "k64", "first", "digest"])
 
-    return kept.mapInArrow(run, "ord_id bigint, k64 bigint, first bigint, h1 bigint, h2 bigint")
+    return kept.mapInArrow(run, "ord_id bigint, k64 bigint, first bigint, digest binary")
 
 
 def repeated_spans(docs: DataFrame, keyed: DataFrame, window: int = WINDOW, crowd: int = CROWD, group: int = GROUP) -> DataFrame:
@@ -245,8 +251,8 @@ def repeated_spans(docs: DataFrame, keyed: DataFrame, window: int = WINDOW, crow
     spans = small.groupBy("part").applyInArrow(tree, "ord_id bigint, k64 bigint, first bigint, last bigint")
     if seen.get["crowded"]:
         single = store(crowded_windows(joined.filter(F.size("large") > 0).withColumn("keys", F.col("large")).dropDuplicates(["ord_id", "k64"]), window), "crowded-windows")
-        node = single.groupBy("h1", "h2").agg(F.min("ord_id").alias("least"))
-        later = single.join(node, ["h1", "h2"]).filter("least < ord_id")
+        node = single.groupBy("digest").agg(F.min("ord_id").alias("least"))
+        later = single.join(node, "digest").filter("least < ord_id")
         spans = spans.unionByName(later.select("ord_id", "k64", "first", (F.col("first") + window).alias("last")).select(*names))
     return spans
 

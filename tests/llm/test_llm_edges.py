@@ -1,12 +1,16 @@
 """NULLs, empty and long texts, repeated rows, empty tables, extra and clashing columns."""
 
+import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointlake.llm import bpe, chat, copies, language, mixing, mtree, pii, quality, sharding, simhash, substrings
+from pointlake.llm import bpe, chat, copies, fim, language, lexical, mixing, mtree, multiset, pii, quality, sharding, simhash, substrings
 from pointlake.llm.queries import VOCABULARY
 from tests_llm_brute import brute_components, brute_dedup, brute_print
 
@@ -98,9 +102,10 @@ def test_odd_mix(spark, odd):
 def test_top_k_ties_and_odd_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(40, 6)).round(1)
-    rows = [(i, base[i % 40].tolist()) for i in range(900)] + [(900, None), (901, [None] * 6), (902, [float("nan")] * 6), (903, [1.0]), (None, base[0].tolist())]
-    vectors = mtree.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    assert vectors.count() == 900
+    rows = [(i, base[i % 40].tolist()) for i in range(900)] + [(900, None), (901, [None] * 6), (902, [float("nan")] * 6), (903, []), (None, base[0].tolist())]
+    rows += [(1000 + i, base[i % 7, :3].tolist()) for i in range(60)] + [(1100, [2.0])]  # other lengths meet their own
+    vectors = mtree.integer_vectors(spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id long, embedding array<double>, tree string, cell int, dim int"))
+    assert vectors.count() == 961
     queries = vectors.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     got = sorted(tuple(x) for x in mtree.top_k(vectors, queries, 5, tree=100).collect())
     v = np.floor(base * 256).astype(int)
@@ -108,17 +113,42 @@ def test_top_k_ties_and_odd_vectors(spark):
     for q in range(0, 900, 50):
         best = sorted((-int(v[q % 40] @ v[i % 40]), i) for i in range(900) if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for q in (1000, 1050):
+        best = sorted((-int(v[(q - 1000) % 7, :3] @ v[i % 7, :3]), 1000 + i) for i in range(60) if 1000 + i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
 
 
 def test_dialogues(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 70, "cy", "late"), (None, None, None, "x"), (2, 0, "system", "alone")]
-    got = {(r["conv_id"], r["assistant"], r["part"]): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, w, p) for w in ("ann", "bob", "cy") for p in (0, 1)} | {(None, "unknown", -1)}
+    df = spark.createDataFrame([(*r, 9, "z") for r in rows], "conv_id long, turn long, role string, text string, place int, part string")
+    got = {(r["conv_id"], r["assistant"], r["part"]): r for r in chat.rotate(df).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "cy", 0), (None, "unknown", 0)}
     r = got[1, "ann", 0]
-    assert r["text"] == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user:bob|>\n<|end|>\n"
+    assert r["text"] == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user:bob|>\n<|end|>\n<|user:cy|>\nlate<|end|>\n"
     a, b = map(int, r["mask"].split(":"))
-    assert r["text"][a:b] == "hi" and got[1, "ann", 1]["mask"] == ""
+    assert r["text"][a:b] == "hi" and r["n_turns"] == 4
+
+
+def test_dialogue_without_numbers(spark):
+    """One conversation without id and turn numbers: parts of bounded length, spans at the assistant's words."""
+    df = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS conv_id", "CAST(NULL AS BIGINT) AS turn", "concat('p', id % 3) AS role", "concat('w', id, repeat('é', CAST(id % 5 AS INT))) AS text")
+    out = chat.rotate(df).cache()
+    assert out.groupBy("assistant").agg(F.sum("n_turns").alias("n"), F.max("n_turns").alias("m")).select("n", "m").distinct().collect() == [(20_000, 64)]
+    assert out.count() == 3 * -(-20_000 // 64)
+    said = sorted(r["text"][int(a):int(b)] for r in out.filter("assistant = 'p1'").collect() for a, b in (m.split(":") for m in r["mask"].split(",") if m))
+    assert said == sorted(r["text"] for r in df.filter("role = 'p1'").collect())
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 2000])
+def test_crowded_windows_compare_words(spark, crowd):
+    """Words whose polynomial hashes are equal modulo 2**64 stay different words."""
+    odd = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = odd.translate(str.maketrans("ab", "ba"))
+    shared = [f"w{k}" for k in range(49)]
+    texts = [" ".join([*shared, odd]), " ".join([*shared, other]), " ".join([*shared, other, "tail"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substrings.deduplicate(df, crowd=crowd).collect()) == [(0, 0), (1, 0), (2, 50)]
 
 
 def test_empty_tables(spark, odd):
@@ -129,6 +159,9 @@ def test_empty_tables(spark, odd):
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     vectors = mtree.integer_vectors(empty)
     assert mtree.top_k(vectors, vectors.withColumnRenamed("vec_id", "query_id"), 5).count() == 0
+    assert lexical.search(none, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    assert lexical.search(none, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    assert multiset.compare_with_next(none).count() == 0 and multiset.fingerprints(none).count() == 0 and fim.transform(none).count() == 0
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -195,3 +228,115 @@ def test_mix_goes_on_to_later_blocks(spark):
                 assert 0 <= goal - sum(r["size"] * r["n"] for r in got if r["source"] == s) < 100
     finally:
         mixing.BLOCK_ROWS = old
+
+
+def test_odd_fim(spark, odd):
+    marked = odd.unionByName(odd.filter("doc_id = 4").withColumn("text", F.lit("has <S> inside"))).withColumn("output", F.lit(1)).withColumn("n", F.lit("x"))
+    out = fim.transform(marked, rate=100).cache()
+    assert out.count() == marked.count() and set(out.columns) == {*marked.columns, "form", "prefix_chars", "middle_chars"}
+    assert {r["form"] for r in out.filter("coalesce(text, '') = '' OR text LIKE '%<S>%'").collect()} == {"plain"}
+    assert out.filter("coalesce(text, '') <> '' AND text NOT LIKE '%<S>%' AND form = 'plain'").count() == 0
+    back = out.filter(~fim.restored(F.col("output"), F.col("form")).eqNullSafe(F.coalesce("text", F.lit(""))))
+    assert back.count() == 0
+    assert out.filter("doc_id = 4 AND n <> 2 AND text = 'one two'").count() == 0
+    long = spark.range(2).select("id", F.repeat(F.lit("ab \n"), 3_000_000).alias("text"))  # 12 MB, 3 million units
+    got = fim.transform(long, key="id", rate=100)
+    assert {(r["n"], r["ok"]) for r in got.select("n", (fim.restored(F.col("output"), F.col("form")) == F.col("text")).alias("ok")).collect()} == {(3_000_001, True)}
+
+
+def test_odd_fingerprints(spark, odd):
+    """Neighbours, order, insertion and deletion against plain Python."""
+    none_last = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["h"], r["text"] or "") for r in odd.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect())
+    want = []
+    for (key, _, text), (_, _, after) in zip(none_last, [*none_last[1:], none_last[0]], strict=True):
+        half = len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        want.append((None if key[0] else key[1], len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in multiset.compare_with_next(odd).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert multiset.fingerprints(odd.withColumn("fingerprint", F.lit(1))).count() == odd.count()
+
+
+def test_heavy_ids_are_cut(spark):
+    """A third of the rows without an id and a third with one id: ranges stay even and the order whole."""
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "concat('t', id) AS text").cache()
+    rows = multiset.ranges(df, "doc_id", "text").collect()
+    real = [r for r in rows if not r["extra"]]
+    assert len(real) == 3000 and max(Counter(r["slot"] for r in real).values()) < 1000
+    order = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["h"], r["text"]) for r in df.withColumn("h", F.xxhash64("text")).collect())
+    after = {a[2]: b[2] for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    for slot in {r["slot"] for r in rows}:
+        run = [r["text"] for r in rows if r["slot"] == slot]
+        assert all(after[a] == b for a, b in zip(run, run[1:]))
+
+
+def test_fingerprints_add_up(spark):
+    a, b = multiset.packed(multiset.vector(["one two", "three"])), multiset.packed(multiset.vector(["three", "one two"]))
+    assert a == b != multiset.packed(multiset.vector(["one two three"]))
+    assert multiset.deleted(multiset.inserted(a, ["four", "four"]), ["four"]) == multiset.packed(multiset.vector(["four", "one two", "three"]))
+    docs = spark.createDataFrame([(1, "one two\nthree"), (2, "x"), (None, None)], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, "three", -1), (1, "new", 1), (3, "fresh", 1), (2, "x", 1)], "doc_id long, paragraph string, sign int")
+    got = {r["doc_id"]: bytes(r["fingerprint"]) for r in multiset.updated(multiset.fingerprints(docs), edits).collect()}
+    assert got == {1: multiset.packed(multiset.vector(["one two", "new"])), 2: multiset.packed(multiset.vector(["x", "x"])), 3: multiset.packed(multiset.vector(["fresh"])), None: multiset.packed(multiset.vector([""]))}
+    assert multiset.likeness(multiset.unpacked(a), multiset.unpacked(a)) == 1.0
+
+
+def brute_search(docs, items, k):
+    term = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    low = [(i, Counter(x.translate(str.maketrans(lexical.UPPER, lexical.LOWER)) for x in term.findall(t or ""))) for i, t in docs]
+    low = [(i, c) for i, c in low if c]
+    n, total = len(low), sum(sum(c.values()) for _, c in low)
+    df = Counter(x for _, c in low for x in c)
+    out = []
+    for item, text in items:
+        asked = Counter(x.translate(str.maketrans(lexical.UPPER, lexical.LOWER)) for x in term.findall(text or ""))
+        found = []
+        for i, c in low:
+            m = 25 + 75 * sum(c.values()) * n // total
+            s = sum(r * math.floor(1000 * math.log((2 * n + 2) / (2 * df[x] + 1))) * (10 ** 9 * c[x] // (1000 * c[x] + 8 * m)) for x, r in asked.items() if c[x])
+            if s > 0:
+                found.append((-s, i is None, i or 0))
+        out += [(item, r + 1, None if missing else i, -s) for r, (s, missing, i) in enumerate(sorted(found)[:k])]
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [40, 1 << 20])
+def test_odd_search(spark, odd, block_bytes):
+    items = [(1, "w1 W2 w3 w3"), (1, "w1 W2 w3 w3"), (2, None), (3, "!!"), (None, "é中😀 passage"), (4, "w5 unknownterm ONE"), (5, "z" * 300_000), (6, "K")]
+    df = spark.createDataFrame([(*i, 1, 2) for i in items], "item_id long, text string, rank int, score int")
+    got = [tuple(r) for r in lexical.search(odd.withColumn("score", F.lit("x")), df, 4, block_bytes=block_bytes).collect()]
+    want = brute_search([(r["doc_id"], r["text"]) for r in odd.collect()], list(dict.fromkeys(items)), 4)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len({r[0] for r in got}) >= 4
+    same = spark.createDataFrame([(9, "w1"), (9, "w2 w1")], "item_id long, text string")  # texts of one item are read together
+    one = spark.createDataFrame([(9, "w1 w2 w1")], "item_id long, text string")
+    assert lexical.search(odd, same).collect() == lexical.search(odd, one).collect()
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """NULLs, empty, repeated and very long rows and clashing columns through every stage, then empty tables."""
+    import corpus_pipeline as cp
+    long = odd.filter("doc_id = 6").withColumn("doc_id", F.lit(77).cast("long")).withColumn("lang", F.lit("en")).withColumn("text", F.concat("text", F.repeat(F.lit(" word again.\n"), 400_000)))  # 5 MB
+    docs = odd.unionByName(long).withColumn("n_chars", F.length("text").cast("long")).withColumn("digest", F.lit("d")).withColumn("id", F.lit(1)).withColumn("k64", F.lit(2))
+    kept = docs
+    for name, stage in cp.STAGES:
+        out = cp.store(stage(spark, kept, ""), "odd-stage")
+        assert cp.store(stage(spark, kept.limit(0), ""), "odd-stage").count() == 0
+        if name != "bpe":
+            assert out.columns == list(cp.COLUMNS)
+        ids = {r["doc_id"] for r in out.select("doc_id").collect()}
+        if name == "language_id":
+            assert {77, 3, 4} <= ids and not {0, 1, 2} & ids
+        if name == "near_dedup":
+            assert out.count() == out.select('doc_id', 'text').distinct().count() and {77, 3, 4, 6} <= ids and not {11} & ids
+        if name == "pii":
+            assert out.filter("text LIKE '%[EMAIL]%'").count() == 1 and out.filter("n_chars <> length(text)").count() == 0
+        kept = out
+    assert kept.filter("NOT round_trip").count() == 0
+
+
+def test_texts_of_one_number(spark):
+    """Different texts whose 64-bit numbers are equal get different ones."""
+    rows = spark.createDataFrame([(b"a", 5), (b"b", 5), (b"c", 6)], "digest binary, k64 long")
+    got = {bytes(r["digest"]): r["id"] for r in copies.numbered(rows).collect()}
+    assert got[b"a"] == 5 and got[b"c"] == 6 and len(set(got.values())) == 3

@@ -9,8 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import check
-from pointlake.llm import mixing, queries
-from tests_llm_brute import WORDS, brute_components, brute_dedup, brute_print, sha
+from pointlake.llm import fim, mixing, multiset, queries
+from tests_llm_brute import WORDS, brute_components, brute_copies, brute_dedup, brute_print, sha
 
 @pytest.fixture(scope="module")
 def docs(spark, sf):
@@ -145,6 +145,35 @@ def test_source_mix(spark, sf, docs):
         assert abs(taken[n] - goal[n]) <= 0.05 * goal[n]
 
 
+def test_multiset_fingerprint(spark, sf, docs):
+    got = by_id(spark, sf, "op11_multiset_fingerprint")
+    texts = [r["text"] or "" for r in sorted(docs, key=lambda r: r["doc_id"])]
+    near, other = [], []
+    for i, text, after in zip(sorted(got), texts, [*texts[1:], texts[0]], strict=True):
+        g, half = got[i], len(text) // 2
+        edited = text[:len(text) - half] + after[:half]
+        assert (g["n_chars"], g["edited_sha256"]) == (len(text), sha(edited))
+        for t, name in ((text, "fingerprint"), (edited, "edited_fingerprint")):
+            assert g[name] == multiset.packed(multiset.vector(t.split("\n"))).hex()
+        if len(text) >= 300:
+            near.append(g["near_edited"])
+            other.append(g["near_next"])
+    assert np.quantile(near, 0.02) > 0.2 and np.mean(near) > 0.4 and np.mean(other) < 0.1
+    assert len({g["fingerprint"] for g in got.values()}) == len({tuple(sorted(t.split("\n"))) for t in texts})
+
+
+def test_fim_units(spark, sf, docs):
+    """Cuts fall between units, and the parts make up the text."""
+    rows = fim.transform(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert Counter(r["form"] for r in rows).keys() == {"plain", "spm", "psm"}
+    for r in rows:
+        units = re.findall(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+", r["text"] or "")
+        assert r["n"] == len(units)
+        if r["form"] != "plain":
+            ends = {0, *np.cumsum([len(u) for u in units]).tolist()}
+            assert r["prefix_chars"] in ends and r["prefix_chars"] + r["middle_chars"] in ends
+
+
 def test_pipeline_stages(spark, sf, docs):
     import corpus_pipeline as cp
     table = spark.read.parquet(f"{sf}/documents.parquet")
@@ -152,8 +181,7 @@ def test_pipeline_stages(spark, sf, docs):
     assert kept.columns == table.columns
     assert kept.count() >= 0.99 * len(docs)
     single = cp.store(cp.dedup_stage(spark, kept, sf), "t")
-    prints = {r["doc_id"]: brute_print(r["text"]) for r in kept.collect()}
-    assert {r["doc_id"] for r in single.collect()} == set(brute_components(prints).values())
+    assert {r["doc_id"] for r in single.collect()} == set(brute_copies({r["doc_id"]: r["text"] for r in kept.collect()}).values())
     clean = cp.store(cp.pii_stage(spark, single, sf), "t")
     assert clean.columns == table.columns
     for r in clean.collect():

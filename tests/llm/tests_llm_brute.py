@@ -53,3 +53,19 @@ def brute_components(prints):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: find(i) for i in ids}
+
+
+def brute_copies(texts):
+    """Least id of each group of texts with five-word Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.sub(r"[A-Z]", lambda m: m.group().lower(), t or "")
+        w = WORDS.findall(w)
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    return root
