@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointlake.functions import rng
 from pointlake.session import cut_lineage
@@ -33,6 +34,18 @@ def _equal(left: DataFrame, right: DataFrame, on: Sequence[str], nullable: Seque
     return left.join(other, same).drop(*[f"_r_{c}" for c in on])
 
 
+def _keyed(rows: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the join keys of ``group``, which also meet at NULL: each key with NULL replaced, and a
+    number whose bits say which keys are NULL.  Windows over these columns share the join's partitioning."""
+    plain = {f.name: not isinstance(f.dataType, (T.NumericType, T.StringType)) for f in rows.schema.fields}
+    missing = F.lit(0)
+    for bit, c in enumerate(group):
+        missing = missing + F.when(F.col(c).isNull(), 1 << bit).otherwise(0)
+    filled = [F.struct(c) if plain[c] else F.coalesce(c, F.lit(0).cast(rows.schema[c].dataType)) for c in group]
+    names = [f"_k{i}" for i in range(len(group))] + ["_k"]
+    return rows.select("*", *[k.alias(n) for k, n in zip([*filled, missing], names, strict=True)]), names
+
+
 def attach(rows: DataFrame, dim: DataFrame, on: Sequence[str], key: str = "point_idx",
            how: str = "inner", bits: int = BLOCK_BITS) -> DataFrame:
     """Join ``dim`` to ``rows`` on ``on``, spreading each key over its blocks.
@@ -52,9 +65,9 @@ def with_stats(rows: DataFrame, on: Sequence[str], key: str = "point_idx",
 
     Partial statistics per block are merged over the blocks of a group, then joined back on
     ``(on, block)``: no task sees a whole group."""
-    on = list(on)
-    left = rows.withColumn(_BLK, block_of(F.col(key), bits))
-    whole = W.partitionBy(*on)
+    left, keys = _keyed(rows, list(on))
+    left = left.withColumn(_BLK, block_of(F.col(key), bits))
+    whole = W.partitionBy(*keys)
     partial, merged = [], []
     for name, (fn, *arg) in stats.items():
         p = f"_p_{name}"
@@ -71,8 +84,8 @@ def with_stats(rows: DataFrame, on: Sequence[str], key: str = "point_idx",
             agg = {"min": F.min, "max": F.max, "sum": F.sum}[fn]
             partial.append(agg(arg[0]).alias(p))
             merged.append(agg(p).over(whole).alias(name))
-    per_block = left.groupBy(*on, _BLK).agg(*partial).select(*on, _BLK, *merged)
-    return left.join(per_block, [*on, _BLK]).drop(_BLK)
+    per_block = left.groupBy(*keys, _BLK).agg(*partial).select(*keys, _BLK, *merged)
+    return left.join(per_block, [*keys, _BLK]).select(*rows.columns, *stats)
 
 
 def ordinal(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], name: str,
@@ -82,34 +95,31 @@ def ordinal(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str]
 
     The rows are read twice; ``store`` writes them to the checkpoint folder first, for small tables
     that are costly to derive (groups of points, pairs, instances)."""
-    group = list(group)
-    left = (cut_lineage(rows) if store else rows).withColumn(_BLK, block)
-    before = W.partitionBy(*group).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
-    sizes = (left.groupBy(*group, _BLK).agg(F.count(F.lit(1)).alias("_n"))
-             .select(*group, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    inside = F.row_number().over(W.partitionBy(*group, _BLK).orderBy(*order))
-    return (left.withColumn("_in", inside).join(sizes, [*group, _BLK])
-            .withColumn(name, (F.col("_before") + F.col("_in") - 1 + start).cast("bigint"))
-            .drop(_BLK, "_in", "_before"))
+    left, keys = _keyed(cut_lineage(rows) if store else rows, list(group))
+    left = left.withColumn(_BLK, block)
+    before = W.partitionBy(*keys).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
+    sizes = (left.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias("_n"))
+             .select(*keys, _BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    inside = F.row_number().over(W.partitionBy(*keys, _BLK).orderBy(*order))
+    place = (F.col("_before") + F.col("_in") - 1 + start).cast("bigint")
+    return left.withColumn("_in", inside).join(sizes, [*keys, _BLK]).select(*[c for c in rows.columns if c != name], place.alias(name))
 
 
 def running_sum(rows: DataFrame, group: Sequence[str], order: Sequence[Column | str], block: Column,
                 **sums: Column) -> DataFrame:
-    """Exclusive running sums within a group (the sum of ``column`` over earlier rows)."""
-    group = list(group)
-    left = rows.withColumn(_BLK, block)
-    before = W.partitionBy(*group).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
-    inside = W.partitionBy(*group, _BLK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    """Exclusive running sums within a group (the sum of ``column`` over earlier rows); NULL keys form groups."""
+    left, keys = _keyed(rows, list(group))
+    left = left.withColumn(_BLK, block)
+    before = W.partitionBy(*keys).orderBy(_BLK).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys, _BLK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0)
-    sizes = left.groupBy(*group, _BLK).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    sizes = sizes.select(*group, _BLK, *[F.coalesce(F.sum(f"_t_{n}").over(before), zero).alias(f"_b_{n}")
+    sizes = left.groupBy(*keys, _BLK).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    sizes = sizes.select(*keys, _BLK, *[F.coalesce(F.sum(f"_t_{n}").over(before), zero).alias(f"_b_{n}")
                                          for n in sums])
     left = left.select("*", *[F.coalesce(F.sum(c).over(inside), zero).alias(f"_i_{n}")
                               for n, c in sums.items()])
-    out = left.join(sizes, [*group, _BLK])
-    for n in sums:
-        out = out.withColumn(n, F.col(f"_b_{n}") + F.col(f"_i_{n}")).drop(f"_b_{n}", f"_i_{n}")
-    return out.drop(_BLK)
+    out = left.join(sizes, [*keys, _BLK])
+    return out.select(*[c for c in rows.columns if c not in sums], *[(F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums])
 
 
 def shuffled(rows: DataFrame, group: Sequence[str], key: str, name: str, seed: int,
