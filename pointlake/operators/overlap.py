@@ -69,32 +69,42 @@ def assign_proposals(ious: DataFrame, pos_threshold: float, rescue_threshold: fl
             .select("scene_id", "proposal_id", F.coalesce("rescued", "assigned").alias("assigned")))
 
 
+def mask_key(mask: DataFrame) -> str:
+    """Column that names the masks: ``mask_id`` where predictions share masks, else ``pred_id``."""
+    return "mask_id" if "mask_id" in mask.columns else "pred_id"
+
+
 def evaluation_pairs(mask: DataFrame, meta: DataFrame, codes: DataFrame, valid_ids: Sequence[int],
                      min_points: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Overlaps of predicted instances with ground truth of the same class.
 
     ``mask(scene_id, pred_id, point_idx)``, ``meta(scene_id, pred_id, label_id, conf)``,
-    ``codes(scene_id, point_idx, code)``.  The results are instance tables, written to the
+    ``codes(scene_id, point_idx, code)``.  Predictions may share masks: ``mask(scene_id, mask_id, point_idx)`` and
+    ``meta`` with ``mask_id``.  Points are then counted once per mask, and the predictions of a mask are
+    attached to its counts, so no point is copied per class.  The results are instance tables, written to the
     checkpoint folder because the AP reads them many times and the points should be read once:
     predictions with size and void count, ground truth with size, and pairs with IoU."""
-    shared = cut_lineage(overlap_counts(mask, codes, "pred_id", "code"))
+    part = mask_key(mask)
+    shared = cut_lineage(overlap_counts(mask, codes, part, "code"))
     void = ~code_class(F.col("code")).isin(*valid_ids)
-    stats = shared.groupBy("scene_id", "pred_id").agg(
+    stats = shared.groupBy("scene_id", part).agg(
         F.sum("inter").alias("n_pred"), F.sum(F.when(void, F.col("inter")).otherwise(0)).alias("void"))
-    preds = (meta.filter(F.col("label_id").isin(*valid_ids)).join(stats, ["scene_id", "pred_id"])
-             .filter(F.col("n_pred") >= min_points).select("scene_id", "pred_id", F.col("label_id").alias("class_id"), "conf", "n_pred", "void"))
+    preds = (meta.filter(F.col("label_id").isin(*valid_ids)).join(stats, ["scene_id", part])
+             .filter(F.col("n_pred") >= min_points).select("scene_id", *dict.fromkeys(["pred_id", part]), F.col("label_id").alias("class_id"), "conf", "n_pred", "void"))
     preds = cut_lineage(preds)
     gts = (codes.filter(F.col("code") != 0).groupBy("scene_id", "code").agg(F.count(F.lit(1)).alias("n_gt"))
            .withColumn("class_id", code_class(F.col("code"))).filter(F.col("class_id").isin(*valid_ids)))
     gts = cut_lineage(gts)
-    pairs = (shared.filter(F.col("code") != 0).join(preds, ["scene_id", "pred_id"])
+    pairs = (shared.filter(F.col("code") != 0).join(preds, ["scene_id", part])
              .filter(F.col("class_id") == code_class(F.col("code"))).join(gts.drop("class_id"), ["scene_id", "code"]))
     pairs = pairs.withColumn("iou", F.col("inter") / (F.col("n_gt") + F.col("n_pred") - F.col("inter")))
     return preds, gts, cut_lineage(pairs)
 
 
 def paint_instances(mask: DataFrame, meta: DataFrame) -> DataFrame:
-    """Each point gets its most confident instance (lowest id on ties)."""
-    conf = attach(mask.select("scene_id", "pred_id", "point_idx"), meta.select("scene_id", "pred_id", "conf"), ["scene_id", "pred_id"])
-    top = F.max(F.struct("conf", (-F.col("pred_id")).alias("neg")))
-    return conf.groupBy(*POINT).agg(top.alias("_t")).select(*POINT, (-F.col("_t.neg")).alias("pred_id"), F.col("_t.conf").alias("conf"))
+    """Each point gets its most confident instance (lowest id on ties).  Of the predictions that share a
+    mask only the best can be seen, so a mask meets its points once."""
+    part = mask_key(mask)
+    top = F.max(F.struct("conf", (-F.col("pred_id")).alias("neg"))).alias("_t")
+    named = attach(mask.select("scene_id", part, "point_idx"), meta.groupBy("scene_id", part).agg(top), ["scene_id", part])
+    return named.groupBy(*POINT).agg(F.max("_t").alias("_t")).select(*POINT, (-F.col("_t.neg")).alias("pred_id"), F.col("_t.conf").alias("conf"))

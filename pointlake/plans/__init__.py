@@ -4,7 +4,7 @@ from importlib import import_module
 
 from pointlake.plans.registry import REGISTRY, Query
 
-MODULES = ("labels", "metrics", "geometry", "voxels", "vectors", "images", "clusters", "overlaps", "augmentation", "files")
+MODULES = ("labels", "metrics", "geometry", "voxels", "vectors", "images", "clusters", "overlaps", "instance_job", "augmentation", "files")
 
 
 def catalogue() -> dict[str, Query]:

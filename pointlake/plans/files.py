@@ -9,6 +9,7 @@ from pointlake.plans.overlaps import AP_SQL, PER_CLASS, USES, ap_table
 from pointlake.plans.registry import query
 from pointlake.sources import readers as R
 from pointlake.sources import writers as K
+from pointlake.sources.named_files import write_named_files
 from pointlake.streaming.predictions import run_metrics, watch_predictions
 
 PT = "scene_id bigint, point_idx bigint, "
@@ -66,6 +67,32 @@ def _(t):
     return R.complete_scenes(files, strict=False)
 
 
+LOST, UNEVEN = "(scene_id % 3 = 0 AND frame = 0)", "scene_id % 5 = 1"
+
+
+@query("s10_frames", "scene_id bigint, frame bigint, image bigint, tx double, ty double, tz double, fx double, fy double, cx double, cy double, h bigint, w bigint",
+       f"""SELECT scene_id, frame, frame*20 AS image, -tx_mm/1e3 AS tx, -5e-1 AS ty, 2e0 AS tz, fx*k AS fx, fy*k AS fy, cx*k AS cx, cy*k AS cy, CASE WHEN k = 2 THEN 47 ELSE 24 END AS h, w
+       FROM (SELECT *, CASE WHEN frame % 2 = 1 THEN 2 ELSE 1 END AS k FROM frames) f WHERE NOT {LOST} AND NOT {UNEVEN}""", ("frames",))
+def _(t):
+    """Pose and intrinsic texts, file lists and image sizes as one table: lost cameras, a scene with a missing file,
+    images of twice the height."""
+    root = t.scratch("scan")
+    shots = t.frames.withColumn("image", F.col("frame") * 20)
+    lost = F.expr(LOST)
+    cells = [[1.0, 0.0, 0.0, F.col("tx_mm") / 1000.0], [0.0, 1.0, 0.0, 0.5], [0.0, 0.0, 1.0, -2.0], [0.0, 0.0, 0.0, 1.0]]
+    text = [F.when(lost, F.lit("-inf -inf -inf -inf")).otherwise(F.concat_ws(" ", *[F.lit(c) if isinstance(c, float) else c for c in row])) for row in cells]
+    lines = shots.select(F.format_string("%d/pose/%d.txt", "scene_id", "image").alias("path"), F.posexplode(F.array(*text)).alias("place", "line"), F.lit(1).alias("times"))
+    blank = shots.select("scene_id", "frame", "image", F.explode(F.array(F.lit("depth"), F.lit("color"))).alias("kind")).filter(f"NOT (kind = 'color' AND frame = 5 AND {UNEVEN})")
+    blank = blank.select(F.concat_ws("/", "scene_id", "kind", F.concat("image", F.lit(".png"))).alias("path"), F.lit(0).alias("place"), F.lit("pixels").alias("line"), F.lit(1).alias("times"))
+    k = ["30 0 16 0", "0 30 12 0", "0 0 1 0", "0 0 0 1"]
+    lens = t.scenes.select(F.concat("scene_id", F.lit("/intrinsic_depth.txt")).alias("path"), F.posexplode(F.array(*[F.lit(x) for x in k])).alias("place", "line"), F.lit(1).alias("times"))
+    write_named_files(lines.unionByName(blank).unionByName(lens), root)
+    sizes = shots.select(F.col("scene_id").cast("string").alias("scene_id"), F.col("image").cast("string").alias("image"), F.expr("CASE WHEN frame % 2 = 1 THEN 47 ELSE h END").alias("h"), "w")
+    files = R.list_scan_images(t.spark, root)
+    frames = R.assemble_frames(files, R.read_pose_texts(t.spark, f"{root}/*/pose/*.txt"), sizes, R.read_intrinsics(t.spark, f"{root}/*/intrinsic_depth.txt"), strict=False, native_height=24)
+    return frames.select("*", *[F.col("pose")[4 * i + 3].alias(c) for i, c in enumerate(("tx", "ty", "tz"))])
+
+
 @query("s11_k2_manifests", "scene_id bigint, mask_path string, label_id bigint, conf double, valid boolean",
        "SELECT scene_id, concat('predicted_masks/', scene_id, '_', lpad(CAST(row_number() OVER (PARTITION BY scene_id ORDER BY pred_id) - 1 AS VARCHAR), 3, '0'), '.txt') AS mask_path, 2*class_id + 1 AS label_id, conf, true AS valid FROM pred_meta", ("pred_meta",))
 def _(t):

@@ -20,6 +20,7 @@ N_CLASSES = 20
 SPLIT = ClassSplit(N_CLASSES, novel=(5, 9, 12, 16), ignored=(19,))
 N_FRAMES = 6
 PIXELS = 24 * 32
+CELL_M = 0.5
 
 SCENE = "CAST((o_orderkey - o_orderkey % 1000)/1000 AS BIGINT)"
 POINT_COLS = [
@@ -138,17 +139,29 @@ class Tables:
         return (grid.selectExpr("scene_id", "frame", "k % 32 AS u", "k div 32 AS v")
                 .selectExpr("scene_id", "frame", "u", "v", f"{DEPTH} AS depth"))
 
+    @cached_property
+    def posed_frames(self) -> DataFrame:
+        """Frames with world -> camera poses in metres."""
+        zero, one = F.lit(0.0), F.lit(1.0)
+        return self.frames.withColumn("pose", F.array(one, zero, zero, -F.col("tx_mm") / 1000.0, zero, one, zero, F.lit(-0.5), zero, zero, one, F.lit(2.0), zero, zero, zero, one))
+
+    @cached_property
+    def depth_images(self) -> DataFrame:
+        """The depth view with one row per image."""
+        pixel = DEPTH.replace("u*", "(k % 32)*").replace("v*", "(k div 32)*").replace("+ v ", "+ (k div 32) ").replace("12e-1", "1.2D").replace("208e-2", "2.08D").replace("0e0", "0D")
+        return self.frames.selectExpr("scene_id", "frame", "h", "w", f"transform(sequence(0, {PIXELS - 1}), k -> {pixel}) AS depth")
+
     @cached_property
     def camera_points(self) -> DataFrame:
-        """Points in the coordinates of each camera of their scene, with pixel positions."""
-        pairs = projection.pair_with_frames(self.points.select("scene_id", "point_idx", "x_mm", "y_mm", "z_mm"), self.frames)
+        """Points in the coordinates of each camera of their scene that may see them, with pixel positions."""
+        pairs = projection.visible_pairs(self.points_m.select("scene_id", "point_idx", "x_mm", "y_mm", "z_mm", *"xyz"), self.posed_frames, CELL_M).drop(*"xyz", "pose")
         cam = pairs.selectExpr("*", "(x_mm - tx_mm)/1e3 AS xc", "(y_mm - 500)/1e3 AS yc", "(z_mm + 2000)/1e3 AS d")
         return projection.to_pixels(cam)
 
     @cached_property
     def corr(self) -> DataFrame:
-        return projection.depth_consistent(projection.inside_image(self.camera_points), self.depth).select(
-            "scene_id", "frame", "point_idx", "u", "v")
+        tiles = projection.depth_tiles(self.depth_images)
+        return projection.depth_consistent_tiled(projection.inside_image(self.camera_points), tiles).select("scene_id", "frame", "point_idx", "u", "v")
 
     @cached_property
     def corr_index(self) -> DataFrame:

@@ -18,6 +18,19 @@ def _(t):
     return P.inside_image(t.camera_points)
 
 
+BOXES = """SELECT scene_id, floor(x/5e-1) AS bx, floor(y/5e-1) AS by, floor(z/5e-1) AS bz, count(*) AS n, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, max(z) AS hz
+ FROM pm GROUP BY scene_id, floor(x/5e-1), floor(y/5e-1), floor(z/5e-1)"""
+
+
+@query("j1_culled_pairs", FR + "n_pairs bigint", f"""SELECT b.scene_id, f.frame, sum(n) AS n_pairs FROM ({BOXES}) b JOIN frames f ON f.scene_id = b.scene_id
+ WHERE 30*(hx - tx_mm/1e3) + 175e-1*(hz + 2) > -1e-9 AND -30*(lx - tx_mm/1e3) + 155e-1*(hz + 2) > -1e-9 AND 30*(hy - 5e-1) + 135e-1*(hz + 2) > -1e-9 AND -30*(ly - 5e-1) + 115e-1*(hz + 2) > -1e-9
+ GROUP BY b.scene_id, f.frame""", ("pm", "frames"))
+def _(t):
+    """How many points meet each frame after boxes were culled."""
+    pairs = P.visible_pairs(t.points_m.select("scene_id", "point_idx", *"xyz"), t.posed_frames, 0.5)
+    return pairs.groupBy("scene_id", "frame").agg(F.count("*").alias("n_pairs"))
+
+
 @query("j1_camera_to_world_pose", FR + "point_idx bigint, xc double, yc double, d double",
        """SELECT p.scene_id, f.frame, p.point_idx, cos(frame/3e0)*(x - frame) + sin(frame/3e0)*(y - 5e-1) AS xc, -sin(frame/3e0)*(x - frame) + cos(frame/3e0)*(y - 5e-1) AS yc, z + 2 AS d
        FROM pm p JOIN frames f ON f.scene_id = p.scene_id""", ("pm", "frames"))
@@ -37,6 +50,12 @@ def _(t):
     return out.select("scene_id", "frame", "point_idx", "flat", u.alias("u"), v.alias("v"))
 
 
+@query("j2_tiled_depth", FR + "point_idx bigint, flat bigint", "SELECT scene_id, frame, point_idx, v*32 + u AS flat FROM corr", ("corr",))
+def _(t):
+    tiles = P.depth_tiles(t.depth_images, 10)  # the last tiles of an image are smaller
+    return P.depth_consistent_tiled(P.inside_image(t.camera_points), tiles, 10)
+
+
 @query("j3_rescale_intrinsics", FR + "fx double, fy double, cx double, cy double",
        "SELECT scene_id, frame, fx/(479e0/(h - 1)) AS fx, fy/(479e0/(h - 1)) AS fy, cx/(479e0/(h - 1)) AS cx, cy/(479e0/(h - 1)) AS cy FROM frames", ("frames",))
 def _(t):

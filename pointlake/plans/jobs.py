@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointlake.functions.hooks import Step, run_steps
 from pointlake.functions.vectors import softmax
@@ -39,6 +40,21 @@ def evaluate_instances(mask: DataFrame, meta: DataFrame, codes: DataFrame, split
             "open_vocab": instance_ap.open_vocab_ap(classes, split)}
 
 
+def instances_from_proposals(proposals: DataFrame, masks: DataFrame, semantic: DataFrame, codes: DataFrame, split: ClassSplit,
+                             stuff: Sequence[int] = (), min_points: int = 100, path: str | None = None, **options) -> dict[str, DataFrame]:
+    """From scored proposals to instance AP: predicted instances, whose classes share masks, their overlaps
+    with the ground truth (``codes``, counted once per mask), and the reports of ``evaluate_instances``.
+
+    ``proposals`` and ``masks`` as in ``predicted_instances``, which also takes ``options``.  With a ``path`` the manifest,
+    the masks and the mask files are written there."""
+    meta, mask = PR.predicted_instances(proposals, masks, semantic, split.valid, stuff, min_points=min_points, **options)
+    meta, mask = cut_lineage(meta), cut_lineage(mask)
+    if path is not None:
+        writers.write_pred_instances(meta, mask, path)
+        writers.write_mask_files(meta, mask, codes, path)
+    return {"meta": meta, "mask": mask} | evaluate_instances(mask, meta, codes, split, min_points)
+
+
 def group_instances(points: DataFrame, n_classes: int, radius: float, min_size: Column | int, score: float = 0.2,
                     ignored: Sequence[int] = (), min_points: int = 100, probs: str | None = None,
                     label_shift: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -55,10 +71,15 @@ def group_instances(points: DataFrame, n_classes: int, radius: float, min_size:
 def index_captions(points: DataFrame, frames: DataFrame, depth: DataFrame, path: str, level: str = "view",
                    image: str = "image") -> None:
     """Which points each image shows, written as the correspondence index.  ``frames`` hold world ->
-    camera poses, intrinsics and image sizes; ``depth`` is in metres."""
-    cam = projection.world_to_camera(projection.pair_with_frames(points.select("scene_id", "point_idx", "x", "y", "z"), frames))
+    camera poses, intrinsics and image sizes; ``depth`` is in metres: a row per pixel, or per image with an array
+    (``h``, ``w`` and ``depth``), which is cheaper."""
     bias = ("bx", "by") if {"bx", "by"} <= set(frames.columns) else None
-    seen = projection.depth_consistent(projection.inside_image(projection.to_pixels(cam, bias)), depth, image=("scene_id", image))
+    cam = projection.world_to_camera(projection.visible_pairs(points.select("scene_id", "point_idx", "x", "y", "z"), frames, bias=bias))
+    pixels, key = projection.inside_image(projection.to_pixels(cam, bias)), ("scene_id", image)
+    if isinstance(depth.schema["depth"].dataType, T.ArrayType):
+        seen = projection.depth_consistent_tiled(pixels, projection.depth_tiles(depth, image=key), image=key)
+    else:
+        seen = projection.depth_consistent(pixels, depth, image=key)
     corr = seen.select(F.lit(level).alias("level"), "scene_id", F.col(image).alias("image"), "point_idx", "flat")
     writers.write_correspondence(corr, path)
 

@@ -133,10 +133,23 @@ def _(t):
     return evaluation(t)[2]
 
 
-# At every threshold no prediction of these views meets two instances, so the best confidence is the hit.
-AP_SQL = f"""{EV}, thr AS (SELECT unnest([5e-1, 55e-2, 6e-1, 65e-2, 7e-1, 75e-2, 8e-1, 85e-2, 9e-1, 25e-2]) AS thr),
+# Where no prediction meets two instances the best confidence is the hit.
+BEST_HIT = f"hit AS (SELECT *, row_number() OVER (PARTITION BY scene_id, code, thr ORDER BY conf DESC, pred_id) AS k FROM ov WHERE code >= 1000 AND n_gt >= {MIN})"
+# Where predictions meet several instances: instances by code, predictions by id, the first free one claims the instance.
+VISITED_HIT = f"""cand AS (SELECT scene_id, class_id, thr, code, pred_id, conf FROM ov WHERE code >= 1000 AND n_gt >= {MIN}),
+ grp AS (SELECT scene_id, class_id, thr, code, list(pred_id ORDER BY pred_id) AS ps, row_number() OVER (PARTITION BY scene_id, class_id, thr ORDER BY code) AS place FROM cand GROUP BY scene_id, class_id, thr, code),
+ visit AS (SELECT DISTINCT scene_id, class_id, thr, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS code, CAST([] AS BIGINT[]) AS free, CAST([] AS BIGINT[]) AS taken FROM grp
+   UNION ALL SELECT scene_id, class_id, thr, place, code, free, CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END FROM (
+     SELECT g.scene_id, g.class_id, g.thr, g.place, g.code, list_filter(g.ps, lambda p: NOT list_contains(v.taken, p)) AS free, v.taken
+     FROM visit v JOIN grp g ON g.scene_id = v.scene_id AND g.class_id = v.class_id AND g.thr = v.thr AND g.place = v.place + 1) n),
+ hit AS (SELECT c.*, row_number() OVER (PARTITION BY c.scene_id, c.code, c.thr ORDER BY c.conf DESC, c.pred_id) AS k FROM cand c JOIN (SELECT scene_id, class_id, thr, code, unnest(free) AS pred_id FROM visit) f
+   ON f.scene_id = c.scene_id AND f.class_id = c.class_id AND f.thr = c.thr AND f.code = c.code AND f.pred_id = c.pred_id)"""
+
+
+def ap_sql(pairs, hit):
+    return f"""{pairs}, thr AS (SELECT unnest([5e-1, 55e-2, 6e-1, 65e-2, 7e-1, 75e-2, 8e-1, 85e-2, 9e-1, 25e-2]) AS thr),
  ov AS (SELECT * FROM pairs, thr WHERE iou > thr),
- hit AS (SELECT *, row_number() OVER (PARTITION BY scene_id, code, thr ORDER BY conf DESC, pred_id) AS k FROM ov WHERE code >= 1000 AND n_gt >= {MIN}),
+ {hit},
  ig AS (SELECT scene_id, pred_id, sum(CASE WHEN n_gt < {MIN} THEN inter ELSE 0 END) AS ig FROM pairs GROUP BY scene_id, pred_id),
  ev AS (SELECT class_id, thr, conf AS score, CASE WHEN k = 1 THEN 1 ELSE 0 END AS tp FROM hit UNION ALL
    SELECT p.class_id, thr.thr, p.conf, 0 FROM pr p CROSS JOIN thr LEFT JOIN ig ON ig.scene_id = p.scene_id AND ig.pred_id = p.pred_id
@@ -153,6 +166,9 @@ AP_SQL = f"""{EV}, thr AS (SELECT unnest([5e-1, 55e-2, 6e-1, 65e-2, 7e-1, 75e-2,
    FROM (SELECT unnest(range(1, 20)) AS class_id) v CROSS JOIN thr LEFT JOIN miss m ON m.class_id = v.class_id AND m.thr = thr.thr LEFT JOIN ap ON ap.class_id = v.class_id AND ap.thr = thr.thr)"""
 
 
+AP_SQL = ap_sql(EV, BEST_HIT)
+
+
 def ap_table(t):
     return AP.average_precision(*evaluation(t), VALID, MIN)
 
@@ -189,3 +205,18 @@ SIDES = ", ".join(f"avg({c}) FILTER (WHERE class_id - 1 IN {ids} AND NOT isnan({
        f"{AP_SQL} SELECT *, 2*ap50_base*ap50_novel/(ap50_base + ap50_novel + 1e-9) AS hap50 FROM (SELECT {SIDES} FROM (SELECT class_id, {PER_CLASS} FROM res GROUP BY class_id) c) s", USES)
 def _(t):
     return AP.open_vocab_ap(AP.class_averages(ap_table(t)), SPLIT)
+
+
+# Wide predictions cover two instances of their class, narrow ones compete with them.
+WIDE = "SELECT scene_id, point_idx, point_idx % 4 AS pred_id FROM points WHERE r >= 9 UNION ALL SELECT scene_id, point_idx, 4 + point_idx % 8 AS pred_id FROM points WHERE r >= 40"
+WIDE_CLASS = "((CASE WHEN pred_id < 4 THEN pred_id ELSE pred_id - 4 END)*5 + scene_id) % 20"
+WIDE_CONF = "((pred_id*7 + scene_id*3) % 10 + 1)/10e0"
+EV_WIDE = EV.replace("pred_inst q", f"({WIDE}) q").replace("FROM pred_meta m", f"FROM (SELECT scene_id, pred_id, {WIDE_CONF} AS conf, {WIDE_CLASS} AS class_id FROM (SELECT DISTINCT scene_id, pred_id FROM ({WIDE}) x) y) m").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("a14_contested_visits", "class_id bigint, thr double, ap double, rc double", f"{ap_sql(EV_WIDE, VISITED_HIT)} SELECT class_id, thr, ap, rc FROM res", ("points", "gt_codes"))
+def _(t):
+    mask = t.points.filter("r >= 9").selectExpr("scene_id", "point_idx", "point_idx % 4 AS pred_id").unionByName(
+        t.points.filter("r >= 40").selectExpr("scene_id", "point_idx", "4 + point_idx % 8 AS pred_id"))
+    meta = mask.select("scene_id", "pred_id").distinct().selectExpr("scene_id", "pred_id", f"{WIDE_CLASS} + 1 AS label_id", f"{WIDE_CONF.replace('10e0', '10D')} AS conf")
+    return AP.average_precision(*OV.evaluation_pairs(mask, meta, t.gt_codes, VALID, MIN), VALID, MIN)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pointlake.functions.blocks import attach, ordinal
 from pointlake.functions.text import area_of, file_stem, image_key
 from pointlake.operators.labels import lookup
+from pointlake.operators.projection import invert_rigid, rescale_intrinsics
 from pointlake.schema import IGNORE
 from pointlake.session import cut_lineage
 
@@ -183,6 +184,51 @@ def list_room_images(spark: SparkSession, root: str) -> DataFrame:
                        image_key(F.regexp_replace(name, "_domain_.*$", "")).alias("image"), "path")
 
 
+def list_scan_images(spark: SparkSession, root: str, kinds: Sequence[str] = ("pose", "depth", "color")) -> DataFrame:
+    """Files ``<scene>/<kind>/<image>.<suffix>`` of the scanner set: ``(scene_id, kind, image)``; contents are not
+    read."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    bits = F.split("path", "/")
+    rows = paths.select(F.element_at(bits, -3).alias("scene_id"), F.element_at(bits, -2).alias("kind"), image_key(file_stem(F.col("path"))).alias("image"))
+    return rows.filter(F.col("kind").isin(*kinds))
+
+
+def assemble_frames(files: DataFrame, poses: DataFrame, sizes: DataFrame, intrinsics: DataFrame | None = None, to_world: bool = True,
+                    strict: bool = True, native_height: int = 480, kinds: Sequence[str] = ("pose", "depth", "color")) -> DataFrame:
+    """One FRAMES table ``(scene_id, frame, image, pose, fx, fy, cx, cy, bx, by, h, w)`` for J1.
+
+    * ``files(scene_id, kind, image)``: scenes with unequal counts raise, or have no frames if not ``strict``.  The
+      images of the first kind are the frames, numbered from 0 by image number, names without one last.
+    * ``poses(scene_id, image, pose)`` of 12 or 16 numbers, camera -> world (``to_world``) or world -> camera, and
+      maybe intrinsics of their own.  A frame without a pose (a lost camera) keeps its number and is left out.
+    * ``intrinsics(scene_id, fx, ...)`` per scene fill what the poses do not say; a frame without any raises.
+    * ``sizes(scene_id, image, h, w)``: intrinsics are rescaled where the height is not the native one (J3); a frame
+      without a size raises."""
+    lens = ["fx", "fy", "cx", "cy", "bx", "by"]
+    whole = complete_scenes(files, kinds, strict).select("scene_id")
+    images = files.filter(F.col("kind") == kinds[0]).select("scene_id", "image").join(whole, "scene_id", "left_semi")
+    number = F.col("image").cast("string").try_cast("bigint")
+    images = images.withColumn("_n", F.coalesce(number, F.lit((1 << 63) - 1)))
+    out = ordinal(images, ["scene_id"], ["_n", "image"], "frame", F.shiftright("_n", 16)).drop("_n")
+    own = [c for c in lens if c in poses.columns]
+    out = out.join(poses.select("scene_id", "image", "pose", *[F.col(c).alias(f"_p{c}") for c in own]), ["scene_id", "image"])
+    out = out.join(sizes.select("scene_id", "image", "h", "w"), ["scene_id", "image"], "left")
+    shared = [] if intrinsics is None else [c for c in lens if c in intrinsics.columns]
+    if intrinsics is not None:
+        out = out.join(intrinsics.select("scene_id", *[F.col(c).alias(f"_s{c}") for c in shared]), "scene_id", "left")
+
+    def known(c: str) -> Column:
+        name = F.concat_ws("/", F.col("scene_id").cast("string"), F.col("image").cast("string"))
+        last = F.lit(0.0) if c in ("bx", "by") else F.raise_error(F.concat(F.lit(f"no {c} for image "), name)).cast("double")
+        return F.coalesce(*[F.col(f"_p{c}").cast("double")] * (c in own), *[F.col(f"_s{c}").cast("double")] * (c in shared), *[F.col(c).cast("double")] * (c in ("h", "w")), last)
+    last_row = F.array(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+    full = F.when(F.size("pose") == 12, F.concat(F.col("pose"), last_row)).otherwise(F.col("pose"))
+    out = out.withColumn("pose", full)
+    pose = invert_rigid(F.col("pose")) if to_world else F.col("pose")
+    rows = out.select("scene_id", "frame", "image", pose.alias("pose"), *[known(c).alias(c) for c in lens], *[known(c).cast("bigint").alias(c) for c in ("h", "w")])
+    return rescale_intrinsics(rows, native_height)
+
+
 def complete_scenes(files: DataFrame, kinds: Sequence[str] = ("pose", "depth", "color"), strict: bool = True) -> DataFrame:
     """Scenes whose file counts agree over all kinds.  ``files(scene_id, kind)`` holds one row per
     file.  ``strict`` raises on a mismatch, else the scene gets no images."""

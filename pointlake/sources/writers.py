@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointlake.functions.blocks import ordinal, with_stats
 from pointlake.operators.labels import CODE_BASE, code_class, lookup
 from pointlake.operators.masks import dense_runs, mask_runs
+from pointlake.operators.overlap import mask_key
+from pointlake.sources.named_files import write_named_files
 
 
 def write_scene_arrays(rows: DataFrame, path: str, columns: Sequence[str], rows_per_file: int = 5_000_000) -> None:
@@ -22,21 +25,26 @@ def write_scene_arrays(rows: DataFrame, path: str, columns: Sequence[str], rows_
 
 def pred_manifest(meta: DataFrame, eval_ids: Sequence[int] | None = None) -> DataFrame:
     """K2: ``predicted_masks/<scene>_<iii>.txt label conf`` lines; labels optionally become evaluation
-    ids by position."""
+    ids by position.  Predictions that share a mask (``mask_id``) name one file, that of the first of them."""
     label = F.col("label_id")
     if eval_ids is not None:
         label = lookup(label, {i + 1: v for i, v in enumerate(eval_ids)}, 0)
     numbered = ordinal(meta, ["scene_id"], ["pred_id"], "_i", F.shiftright("pred_id", 16))
-    name = F.when(F.col("_i") < 1000, F.lpad(F.col("_i").cast("string"), 3, "0")).otherwise(F.col("_i").cast("string"))
+    part = mask_key(meta)
+    # a mask has one prediction per class at most
+    first = F.min("_i").over(W.partitionBy("scene_id", "mask_id")) if part == "mask_id" else F.col("_i")
+    numbered = numbered.withColumn("_f", first)
+    name = F.when(F.col("_f") < 1000, F.lpad(F.col("_f").cast("string"), 3, "0")).otherwise(F.col("_f").cast("string"))
     mask = F.concat(F.lit("predicted_masks/"), F.col("scene_id").cast("string"), F.lit("_"), name, F.lit(".txt"))
     line = F.concat(mask, F.lit(" "), label.cast("string"), F.lit(" "), F.format_string("%.4f", F.col("conf").cast("double")))
-    return numbered.select("scene_id", "pred_id", F.col("_i").alias("position"), mask.alias("mask_path"), line.alias("line"))
+    return numbered.select("scene_id", *dict.fromkeys(["pred_id", part]), F.col("_i").alias("position"), mask.alias("mask_path"), line.alias("line"))
 
 
 def dense_mask(mask: DataFrame, points: DataFrame) -> DataFrame:
     """K2: every predicted instance as runs of 0 and 1 over all points of its scene."""
     lengths = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_points"))
-    return dense_runs(mask_runs(mask), lengths)
+    key = ["scene_id", mask_key(mask)]
+    return dense_runs(mask_runs(mask, key), lengths, key)
 
 
 def write_pred_instances(meta: DataFrame, mask: DataFrame, path: str, eval_ids: Sequence[int] | None = None) -> None:
@@ -44,8 +52,20 @@ def write_pred_instances(meta: DataFrame, mask: DataFrame, path: str, eval_ids:
     manifest, in name order, hold its lines in order."""
     lines = pred_manifest(meta, eval_ids).repartitionByRange("scene_id", "position").sortWithinPartitions("scene_id", "position")
     lines.select("scene_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("scene_id").text(f"{path}/manifest")
-    spread = mask.select("scene_id", "pred_id", "point_idx").repartition("scene_id", "pred_id", F.shiftright("point_idx", 22))
-    spread.sortWithinPartitions("scene_id", "pred_id", "point_idx").write.mode("overwrite").parquet(f"{path}/masks")
+    part = mask_key(mask)
+    spread = mask.select("scene_id", part, "point_idx").repartition("scene_id", part, F.shiftright("point_idx", 22))
+    spread.sortWithinPartitions("scene_id", part, "point_idx").write.mode("overwrite").parquet(f"{path}/masks")
+
+
+def write_mask_files(meta: DataFrame, mask: DataFrame, points: DataFrame, path: str) -> None:
+    """K2: the files that the manifest names, below ``path``: a line 0 or 1 per point of the scene.
+
+    Masks travel as runs; the runs of a file reach one task in order and leave it as they come, so a task holds a
+    run at a time.  Files appear together when all tasks are done (``named_files``)."""
+    part = mask_key(mask)
+    files = pred_manifest(meta).select("scene_id", part, "mask_path").distinct()
+    rows = dense_mask(mask, points).join(files, ["scene_id", part])
+    write_named_files(rows.select(F.col("mask_path").alias("path"), F.col("start").alias("place"), F.col("value").cast("string").alias("line"), F.col("length").alias("times")), path)
 
 
 def remap_gt_codes(codes: DataFrame, eval_ids: Sequence[int]) -> DataFrame:
