@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +94,46 @@ def score_matrix(rows: DataFrame, feat: str, weights: np.ndarray, normalise: boo
             yield pd.Series(list(x @ w))
 
     return rows.withColumn(out, project(F.col(feat)))
+
+
+def best_class(rows: DataFrame, key: Sequence[str], feat: str, classes: DataFrame, scale: float = 1.0, class_block: int = 4096,
+               row_block: int = 1 << 16) -> DataFrame:
+    """C1 and T1 for a vocabulary of any size: ``(key, pred, score)``, the class of the largest ``scale * cosine`` per row
+    (scores equal to 9 digits: the lowest id).
+
+    ``classes(class_id, embedding)`` stays a table.  Blocks of rows meet blocks of classes; a meeting is one matrix
+    product, of which each row keeps its best class, and the bests of a row are merged map-side.  Neither
+    vocabulary nor scores are gathered anywhere.  Rows without a vector have no class."""
+    key = list(key)
+    many = classes.select(F.max(F.shiftright(F.col("class_id").cast("bigint"), class_block.bit_length() - 1))).first()[0] or 0
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.lit(int(many)).cast("bigint"))
+    size = rows.count()
+    parts = max(1, -(-size // row_block))
+    left = rows.filter(F.col(feat).isNotNull()).select(*key, F.col(feat).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(*key), F.lit(parts)).alias("_r"), F.explode(blocks).alias("_c"))
+    right = classes.select(F.col("class_id").cast("bigint").alias("class_id"), F.col("embedding").cast("array<double>").alias("_e"),
+                           F.shiftright(F.col("class_id").cast("bigint"), class_block.bit_length() - 1).alias("_c"),
+                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("_r"))
+    schema = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in key], "score double", "pred bigint"])
+
+    def stack(t: pa.Table, c: str) -> np.ndarray:
+        return t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.select(key).slice(0, 0).append_column("score", pa.array([], pa.float64())).append_column("pred", pa.array([], pa.int64()))
+        right = right.sort_by("class_id")
+        x, w = unit(stack(left, "_v")), unit(stack(right, "_e")).T * scale
+        at, top = [], []
+        for lo in range(0, len(x), 1024):
+            scores = (x[lo:lo + 1024] @ w).round(9)
+            at.append(scores.argmax(1))
+            top.append(scores.max(1))
+        best = right.column("class_id").combine_chunks().take(pa.array(np.concatenate(at)))
+        return left.select(key).append_column("score", pa.array(np.concatenate(top))).append_column("pred", best)
+
+    met = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(meet, schema)
+    top = F.max(F.struct("score", (-F.col("pred")).alias("neg"))).alias("_t")
+    return met.groupBy(*key).agg(top).select(*key, (-F.col("_t.neg")).alias("pred"), F.col("_t.score").alias("score"))

@@ -70,10 +70,11 @@ def is_base(base_logit: Column, threshold: float = 0.5) -> Column:
     return sigmoid(base_logit) > threshold
 
 
-def class_table(spark, names: Sequence[str], encoder, template: str = "a {} in a scene.") -> DataFrame:
-    """Class names -> prompts -> encoder hook -> unit vectors, one row per class."""
+def class_table(spark, names: Sequence[str] | DataFrame, encoder, template: str = "a {} in a scene.") -> DataFrame:
+    """Class names -> prompts -> encoder hook -> unit vectors, one row per class.  ``names`` are a list, or a
+    table ``(class_id, name)`` for a vocabulary of any size."""
     from pointlake.functions.text import prompt
     from pointlake.functions.hooks import encode_texts
-    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "class_id bigint, name string")
+    rows = names if isinstance(names, DataFrame) else spark.createDataFrame([(i, n) for i, n in enumerate(names)], "class_id bigint, name string")
     vectors = encode_texts(rows.withColumn("text", prompt(F.col("name"), template)), "text", encoder)
     return vectors.withColumn("embedding", l2_normalise(F.col("embedding")))

@@ -165,14 +165,14 @@ def caption_nouns(captions: DataFrame, lexicon: DataFrame, salts: int = 64) -> D
     return captions.join(named, IMAGE, "left").withColumn("nouns", F.coalesce("nouns", F.lit("")))
 
 
-def distinct_vectors(rows: DataFrame, vec: str, bins: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+def distinct_vectors(rows: DataFrame, vec: str) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors in lexicographic order with a dense id, and the id of every row.
 
-    The first component, cut into bins, is a prefix of that order, so numbering is spread over
-    the bins."""
-    unique = rows.select(vec).distinct()
-    bin_ = F.floor(F.get(F.col(vec), F.lit(0)).cast("double") * bins)
-    table = ordinal(unique, [], [vec], "distinct_id", bin_, store=True)
+    Distinct vectors are sorted into ranges of the whole vector, whose bounds Spark samples, and written with the
+    number of their range; an id is the place in the range plus the sizes of the earlier ranges.  Vectors
+    that share first components are spread like others, and only the counts of ranges meet in one task."""
+    unique = rows.select(vec).distinct().repartitionByRange(vec).withColumn("_range", F.spark_partition_id().cast("bigint"))
+    table = ordinal(unique, [], [vec], "distinct_id", F.col("_range"), store=True).drop("_range")
     salted = rows.withColumn("_k", F.shiftleft(F.pmod(F.xxhash64(*[c for c in rows.columns if c != vec]), F.lit(64)), 16))
     return table, attach(salted, table, [vec], key="_k").drop("_k")
 

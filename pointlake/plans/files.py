@@ -23,6 +23,41 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("scene_id").agg(F.count("*").alias("n"))
 
 
+ROOM = "concat('Area_', scene_id % 6 + 1, '_', 'room', scene_id)"
+FILE = "concat('c', sem_label, '_', inst_label, '.txt')"
+
+
+@query("s1_object_files", "scene_id string, point_idx bigint, x double, y double, z double, r double, g double, b double, sem_label bigint, inst_label bigint",
+       f"""SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY f, point_idx) - 1 AS point_idx, x - min(x) OVER w AS x, y - min(y) OVER w AS y, z - min(z) OVER w AS z, r, g, b, CASE WHEN sem_label < 15 THEN sem_label ELSE 15 END AS sem_label,
+       dense_rank() OVER (PARTITION BY scene_id ORDER BY f) AS inst_label FROM (SELECT {ROOM} AS scene_id, {FILE} AS f, point_idx, CAST(x_mm AS DOUBLE) AS x, y_mm/2e0 AS y, CAST(z_mm AS DOUBLE) AS z, r, g, b, sem_label FROM points WHERE inst_label >= 0) p WINDOW w AS (PARTITION BY scene_id)""", ("points",))
+def _(t):
+    """Object files written from the points and read back: rooms at the origin, instances by file name, classes
+    15 and above unknown."""
+    root = t.scratch("objects")
+    seen = t.points.filter("inst_label >= 0")
+    line = F.format_string("%d %.1f %d %d %d %d", "x_mm", F.col("y_mm") / 2, "z_mm", "r", "g", "b")
+    path = F.expr(f"concat('Area_', scene_id % 6 + 1, '/room', scene_id, '/Annotations/', {FILE})")
+    write_named_files(seen.select(path.alias("path"), F.col("point_idx").alias("place"), line.alias("line"), F.lit(1).alias("times")), root)
+    return R.read_object_files(t.spark, root, [*[f"c{i}" for i in range(15)], "clutter"])
+
+
+@query("s4_scenes_by_suffix", "scene_id bigint", "SELECT DISTINCT scene_id FROM points WHERE sem_label <> 12", ("points",))
+def _(t):
+    root = t.scratch("split")
+    names = t.scenes.select(F.concat("scene_id", F.lit("_labels.txt")).alias("path")).unionByName(
+        t.points.filter("sem_label <> 12").select(F.concat("scene_id", F.lit("_clean.txt")).alias("path")).distinct())
+    write_named_files(names.select("path", F.lit(0).alias("place"), F.lit("data").alias("line"), F.lit(1).alias("times")), root)
+    return R.list_scenes(t.spark, root, "_clean.txt")
+
+
+@query("s11_id_lists", PT + "id bigint", "SELECT scene_id, point_idx, sem_label AS id FROM points", ("points",))
+def _(t):
+    root = t.scratch("ids")
+    rows = t.points.select(F.concat("scene_id", F.lit(".txt")).alias("path"), F.col("point_idx").alias("place"), F.col("sem_label").cast("string").alias("line"), F.lit(1).alias("times"))
+    write_named_files(rows, root)
+    return R.read_id_lists(t.spark, f"{root}/*.txt")
+
+
 @query("s5_split_by_area", "scene_id bigint, split string", "SELECT DISTINCT scene_id, CASE WHEN scene_id % 6 + 1 = 5 THEN 'test' ELSE 'train' END AS split FROM points", ("points",))
 def _(t):
     rooms = t.scenes.withColumn("room", F.concat(F.lit("Area_"), F.col("scene_id") % 6 + 1, F.lit("_office_"), F.col("scene_id")))

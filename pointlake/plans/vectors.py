@@ -120,3 +120,34 @@ VECS = f"SELECT vec_id, {E64} AS v FROM embeddings"
 def _(t):
     whole = F.col("embedding").cast("array<double>")
     return captions.distinct_vectors(t.base("embeddings").select("vec_id", whole.alias("v")), "v")[1]
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def count_letters(texts):
+    """A deterministic stand-in for a text encoder: how often each letter occurs."""
+    return np.array([[text.count(c) for c in LETTERS] for text in texts], dtype=np.float64).reshape(len(texts), len(LETTERS))
+
+
+UNIT_LETTERS = f"""SELECT class_id, list_transform(n, lambda x: x/sqrt(list_inner_product(n, n))) AS v FROM (
+ SELECT p_partkey AS class_id, list_transform(range(1, 27), lambda i: CAST(length(t) - length(replace(t, substr('{LETTERS}', i, 1), '')) AS DOUBLE)) AS n FROM (SELECT p_partkey, concat('a ', p_name, ' in a scene.') AS t FROM part) x) y"""
+
+
+def part_classes(t):
+    """Every part is a class: a vocabulary that grows with the data."""
+    names = t.base("part").selectExpr("p_partkey AS class_id", "p_name AS name")
+    return calibrate.class_table(t.spark, names, count_letters)
+
+
+@query("c0_prompt_encoder", "class_id bigint, dim bigint, v double", f"SELECT class_id, unnest(range(26)) AS dim, unnest(v) AS v FROM ({UNIT_LETTERS}) c")
+def _(t):
+    return part_classes(t).select("class_id", F.posexplode("embedding").alias("dim", "v"))
+
+
+@query("c1_any_vocabulary", "vec_id bigint, pred bigint, score double",
+       f"""SELECT vec_id, class_id AS pred, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, class_id) AS k FROM (
+       SELECT e.vec_id, c.class_id, round(100*list_inner_product(e.v, c.v)/sqrt(list_inner_product(e.v, e.v)), 9) AS score FROM (SELECT vec_id, CAST(embedding[1:26] AS DOUBLE[]) AS v FROM embeddings) e CROSS JOIN ({UNIT_LETTERS}) c) s) q WHERE k = 1""")
+def _(t):
+    rows = t.base("embeddings").select("vec_id", F.slice("embedding", 1, 26).alias("v"))
+    return V.best_class(rows, ["vec_id"], "v", part_classes(t), 100.0, class_block=128)
