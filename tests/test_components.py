@@ -99,3 +99,15 @@ def test_clouds_without_edges_and_empty_clouds(spark):
     assert sorted(got["label"]) == [0, 0, 1] and (got["size"] == 1).all()
     assert C.cluster_points(alone.filter("scene_id < 0"), 0.04, 1).count() == 0
     assert R.radius_neighbours(alone.filter("scene_id < 0"), 0.04).count() == 0
+
+
+@pytest.mark.parametrize(("head", "crowded"), [(3, 8), (6, 100), (1000, 100)])
+def test_capped_neighbours_of_crowded_cells(spark, head, crowded):
+    """Most points in one small ball: heads do not show all, so some points look again."""
+    r = np.random.default_rng(4)
+    xyz = np.concatenate([r.normal(0, 0.03, (150, 3)), r.uniform(-1, 1, (100, 3)), r.uniform(0.05, 0.15, (60, 3))])[r.permutation(310)]
+    df = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(xyz)], "scene_id long, point_idx long, x double, y double, z double")
+    near = ((xyz[:, None] - xyz[None]) ** 2).sum(-1) < 0.1 ** 2
+    want = sorted((i, int(j)) for i in range(310) for j in np.flatnonzero(near[i])[:5])
+    got = R.capped_neighbours(df, 0.1, 5, head=head, crowded=crowded).collect()
+    assert sorted((x["src"], x["dst"]) for x in got) == want
