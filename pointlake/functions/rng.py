@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,24 @@ def normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(F.log(u1) * -2.0) * F.cos(u2 * (2 * math.pi))
 
 
+def key_of(key: Column) -> Column:
+    """What ``draw`` uses of a key, for ``normal_array``."""
+    return F.pmod(F.coalesce(key.try_cast("bigint"), string_key(key)), F.lit(PRIME))
+
+
+def normal_array(seed: int, *keys: np.ndarray) -> np.ndarray:
+    """``normal`` for arrays of keys (as from ``key_of``, none negative) that broadcast together, the same numbers."""
+    drawn = []
+    for s in (seed, seed + 1):
+        x = np.int64(s * 7919 % PRIME)
+        for key in keys:
+            x = (x * 48271 + key % PRIME) % PRIME
+        for step in (16807, 69621):
+            x = (x * (x + step)) % PRIME
+        drawn.append(x)
+    return np.sqrt(np.log((drawn[0] + 1) / (PRIME + 1.0)) * -2.0) * np.cos(drawn[1] / float(PRIME) * (2 * math.pi))
+
+
 def coin(seed: int, p: float, *keys: Column) -> Column:
     """True with probability ``p``."""
     return uniform(seed, *keys) < F.lit(float(p))

@@ -6,14 +6,16 @@ Parameters are drawn from ``(seed, scene_id)`` as column arithmetic, so no param
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointlake.functions import rng
 from pointlake.functions.blocks import attach, with_stats
+from pointlake.session import cut_lineage
 
 XYZ = ("x", "y", "z")
 
@@ -128,59 +130,73 @@ def jitter_colour(points: DataFrame, seed: int, cols: Sequence[str] = ("r", "g",
     return points
 
 
-def noise_grid(extents: DataFrame, gran: int, seed: int) -> DataFrame:
-    """The Gaussian noise grid of each scene: ``b = max|x| // gran + 3`` nodes per axis, blurred
-    by two passes of a 3-tap box filter per axis with zeros outside.
-
-    One row per node.  The windows run along single grid lines, whose length depends on the size of
-    the room, not on its number of points.  Slabs of constant j, then of constant i, are dealt to tasks; a
-    slab holds the lines along its two axes whole, so the blur shuffles twice, not once per axis and pass."""
-    ext = extents.select("scene_id", *[(F.floor(F.floor(F.col(f"ext_{c}")) / gran) + 3).cast("int").alias(f"b{c}") for c in XYZ])
-    grid = ext
-    for c, i in zip("yxz", "jik"):
-        grid = grid.withColumn(i, F.explode(F.sequence(F.lit(0), F.col(f"b{c}") - 1)))
-        if i == "j":
-            grid = grid.repartition("scene_id", "j")
-    node = [F.col(n) for n in "ijk"]
-    grid = grid.select("*", *[rng.normal(seed + 10 * a, scene_key(), *node).alias(f"n{c}") for a, c in enumerate(XYZ)])
-    for along in "ijk":
-        others = [n for n in "ijk" if n != along]
-        if along == "j":
-            grid = grid.repartition("scene_id", "i")
-        w = W.partitionBy("scene_id", *others).orderBy(along).rowsBetween(-1, 1)
-        for _ in range(2):
-            grid = grid.select(*[c for c in grid.columns if c not in ("nx", "ny", "nz")],
-                               *[(F.sum(f"n{c}").over(w) / 3.0).alias(f"n{c}") for c in XYZ])
-    return grid
-
-
-def grid_cells(grid: DataFrame) -> DataFrame:
-    """The eight corner values of every grid cell as arrays ``cx, cy, cz`` (order: i, j, k
-    bits), built by looking one step ahead along each axis."""
-    out = grid.select("scene_id", "i", "j", "k", "bx", "by", "bz", *[F.array(f"n{c}").alias(f"c{c}") for c in XYZ])
-    for along in "kji":
-        others = [n for n in "ijk" if n != along]
-        w = W.partitionBy("scene_id", *others).orderBy(along)
-        out = out.select("scene_id", "i", "j", "k", "bx", "by", "bz",
-                         *[F.concat(f"c{c}", F.lead(f"c{c}").over(w)).alias(f"c{c}") for c in XYZ])
-    return out.filter("cx IS NOT NULL")
+BRICK_BITS = 2  # cells per axis of a brick: 4, so its 64 cells are the bits of one BIGINT
+HALO = 2  # two passes of a 3-tap filter reach two nodes
+
+
+def blur_weights(node: np.ndarray, raw: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Weight of raw node ``raw`` in blurred node ``node`` along an axis of ``size`` nodes: the number of ways to go from
+    one to the other in two steps of at most one node inside the grid, over 9 (zeros lie outside)."""
+    lo = np.maximum(np.maximum(node, raw) - 1, 0)
+    hi = np.minimum(np.minimum(node, raw) + 1, size - 1)
+    return np.where((raw >= 0) & (raw < size), np.maximum(hi - lo + 1, 0), 0) / 9.0
+
+
+def noise_cells(bricks: DataFrame, seed: int) -> DataFrame:
+    """Corner values ``cx, cy, cz`` (order: i, j, k bits) of the grid cells that hold points.
+
+    ``bricks`` has a row per 4 x 4 x 4 cells: ``scene_id``, ``_key`` of the scene, nodes per axis ``bx, by, bz``, the brick's
+    place ``bi, bj, bk`` and the bits ``cells`` of those in use.  A node's noise depends on ``(seed, scene, node)`` alone, so a
+    brick draws its nodes and their halo itself and blurs them by one small matrix per axis: nothing is
+    exchanged between bricks, and empty space costs nothing."""
+    schema = f"scene_id {bricks.schema['scene_id'].dataType.simpleString()}, i bigint, j bigint, k bigint, cx array<double>, cy array<double>, cz array<double>"
+    side = 1 << BRICK_BITS
+
+    def blurred(key: np.ndarray, sizes: list[np.ndarray], first: list[np.ndarray]) -> np.ndarray:
+        raw = [f[:, None] + np.arange(-HALO, side + 1 + HALO) for f in first]
+        shown = [np.maximum(r, 0) for r in raw]
+        nodes = shown[0][:, :, None, None], shown[1][:, None, :, None], shown[2][:, None, None, :]
+        wi, wj, wk = (blur_weights((f[:, None] + np.arange(side + 1))[:, :, None], r[:, None, :], s[:, None, None]) for f, r, s in zip(first, raw, sizes))
+        noise = np.stack([rng.normal_array(seed + 10 * a, key[:, None, None, None], *nodes) for a in range(3)], axis=1)
+        return np.einsum("nax,nby,ncz,ndxyz->ndabc", wi, wj, wk, noise, optimize=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                col = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_key", "bx", "by", "bz", "bi", "bj", "bk", "cells")}
+                first = [col[c] << BRICK_BITS for c in ("bi", "bj", "bk")]
+                value = blurred(col["_key"], [col[c] for c in ("bx", "by", "bz")], first)
+                owner, code = np.nonzero(col["cells"][:, None] >> np.arange(side ** 3) & 1)
+                at = [code >> (2 - a) * BRICK_BITS & side - 1 for a in range(3)]
+                corners = np.stack([value[owner, :, at[0] + (c >> 2 & 1), at[1] + (c >> 1 & 1), at[2] + (c & 1)] for c in range(8)], axis=-1)
+                offsets = pa.array(np.arange(0, 8 * len(owner) + 1, 8, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("scene_id").take(pa.array(owner)), *[pa.array(first[a][owner] + at[a]) for a in range(3)],
+                     *[pa.ListArray.from_arrays(offsets, pa.array(corners[:, a].reshape(-1))) for a in range(3)]],
+                    names=["scene_id", "i", "j", "k", "cx", "cy", "cz"])
+
+    return bricks.mapInArrow(run, schema)
 
 
 def elastic(points: DataFrame, gran: float, mag: float, seed: int) -> DataFrame:
     """Move each point by trilinearly interpolated noise times ``mag``; the grid spans
-    ``[-(b-1) gran, (b-1) gran]`` per axis, and points outside it stay."""
+    ``[-(b-1) gran, (b-1) gran]`` per axis with ``b = max|x| // gran + 3`` nodes, and points outside it stay.  The noise is
+    blurred by two passes of a 3-tap box filter per axis; only cells that hold points are worked out."""
     gran = int(gran)
-    ext = points.groupBy("scene_id").agg(*[F.max(F.abs(c)).alias(f"ext_{c}") for c in XYZ])
-    grid = noise_grid(ext, gran, seed)
-    cells = grid_cells(grid)
-    dims = ext.select("scene_id", *[(F.floor(F.floor(F.col(f"ext_{c}")) / gran) + 3).cast("int").alias(f"d{c}") for c in XYZ])
-    pts = attach(points, dims, ["scene_id"])
+    nodes = [(F.floor(F.floor(F.max(F.abs(c))) / gran) + 3).cast("bigint").alias(f"b{c}") for c in XYZ]
+    pts = attach(points, points.groupBy("scene_id").agg(*nodes), ["scene_id"])
     for c, i in zip(XYZ, "ijk"):
         # node spacing is 2 * gran because b nodes span 2 (b - 1) gran
-        pos = (F.col(c) + (F.col(f"d{c}") - 1) * gran) / (2.0 * gran)
+        pos = (F.col(c) + (F.col(f"b{c}") - 1) * gran) / (2.0 * gran)
         pts = pts.withColumn(f"_p{i}", pos).withColumn(
-            i, F.greatest(F.least(F.floor(f"_p{i}").cast("int"), F.col(f"d{c}") - 2), F.lit(0)))
-    cells = cells.select("scene_id", "i", "j", "k", "cx", "cy", "cz")
+            i, F.greatest(F.least(F.floor(f"_p{i}").cast("bigint"), F.col(f"b{c}") - 2), F.lit(0).cast("bigint")))
+    inner = [F.col(n).bitwiseAND((1 << BRICK_BITS) - 1) for n in "ijk"]
+    code = F.shiftleft(inner[0], 2 * BRICK_BITS) + F.shiftleft(inner[1], BRICK_BITS) + inner[2]
+    places = [F.shiftright(n, BRICK_BITS).alias(f"b{n}") for n in "ijk"]
+    bit = F.expr("shiftleft(1L, CAST(_code AS INT))")
+    used = pts.select("scene_id", rng.key_of(scene_key()).alias("_key"), "bx", "by", "bz", *places, code.alias("_code"))
+    cells = noise_cells(used.groupBy(*[c for c in used.columns if c != "_code"]).agg(F.bit_or(bit).alias("cells")), seed)
     out = attach(pts, cells, ["scene_id", "i", "j", "k"], how="left")
     frac = [F.col(f"_p{i}") - F.col(i) for i in "ijk"]
     inside = F.lit(True)
@@ -200,52 +216,107 @@ def elastic(points: DataFrame, gran: float, mag: float, seed: int) -> DataFrame:
     return out.select(*points.columns)
 
 
+CROP_GRID = 64  # most cells per axis of the count grid of a scene
+
+
 def crop(points: DataFrame, full_scale: int, max_points: int, seed: int, step: int = 32,
          big: int = 1_000_000) -> DataFrame:
     """Shrink the xy window from ``full_scale`` by ``step`` (twice that while more than ``big``
     points remain), with a new random shift each time, until at most ``max_points`` remain.
 
-    Every window the loop could reach is counted in one pass: attempt ``t`` uses a window shrunk by
-    ``m`` steps with ``t <= m <= 2t``.  A fold over those counts finds the attempt at which each
-    scene stops, and the points of that window are kept (shifted)."""
+    Attempt ``t`` of the loop uses a window shrunk by ``m`` steps with ``t <= m <= 2t``.  A scene is counted once into an xy
+    grid (about 64 points a cell, at most 64 x 64 cells, each with the box of its points).  Cells wholly inside a window and
+    cells that touch it bound its count from both sides, which settles most attempts.  A fold lists the windows
+    that are reached and still in doubt (none or one for most scenes); points are tested one by one against
+    these only.  A second fold finds the attempt at which each scene stops, and the points of that window
+    are kept (shifted)."""
     last = math.ceil(full_scale / step) + 1
     attempts = [(t, m) for t in range(last) for m in range(t, min(2 * t, last) + 1)]
     bounds = [f(c).alias(f"_{k}{c}") for c in XYZ for k, f in (("lo", F.min), ("hi", F.max))]
     scenes = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"), *bounds)
     shifts = [F.array(*[rng.uniform(seed + a, scene_key(), F.lit(t)) for t in range(last)]).alias(f"_u{c}") for a, c in enumerate(XYZ)]
-    scenes = scenes.select("*", *shifts)
-    pts = attach(points, scenes, ["scene_id"])
+    scenes = cut_lineage(scenes.select("*", *shifts))
+    code = lambda t, m: (t * (1 << 20) + m).cast("int")
 
-    def window(t: Column, m: Column) -> tuple[list[Column], Column]:
-        """Shifted coordinates of attempt ``t`` and whether they lie in the window."""
-        side = [F.lit(float(full_scale)) - m * float(step)] * 2 + [F.lit(float(full_scale))]
-        moved, ok = [], F.lit(True)
-        for a, c in enumerate(XYZ):
-            room = F.col(f"_hi{c}") - F.col(f"_lo{c}")
-            moved.append(F.col(c) + F.least(side[a] - room + 0.001, F.lit(0.0)) * F.get(F.col(f"_u{c}"), t))
-            ok = ok & (moved[a] >= 0) & (moved[a] < side[a])
-        return moved, ok
+    def moved(a: int, at: Column, t: Column, m: Column) -> Column:
+        """Coordinate ``at`` on axis ``a`` as attempt ``t`` shifts it; non-decreasing in ``at``."""
+        c = XYZ[a]
+        return at + F.least(side(a, m) - (F.col(f"_hi{c}") - F.col(f"_lo{c}")) + 0.001, F.lit(0.0)) * F.get(F.col(f"_u{c}"), t)
 
-    # scenes that fit need no attempt; hits are counted map-side, so the rows never leave their task
+    def side(a: int, m: Column) -> Column:
+        return F.lit(float(full_scale)) - m * float(step) if a < 2 else F.lit(float(full_scale))
+
+    def holds(t: Column, m: Column, least: str = "{}", most: str = "{}") -> Column:
+        """Whether all from the columns ``least`` to ``most`` lie in the window."""
+        ok = F.lit(True)
+        for a, c in enumerate(XYZ):
+            ok = ok & (moved(a, F.col(least.format(c)), t, m) >= 0) & (moved(a, F.col(most.format(c)), t, m) < side(a, m))
+        return ok
+
+    # scenes that fit need no attempt
+    large = scenes.filter(F.col("_n") > max_points)
+    axis = F.least(F.lit(CROP_GRID), F.ceil(F.sqrt("_n") / 8).cast("int"))
+    pts = attach(points.select("scene_id", "point_idx", *XYZ), large.select("*", axis.alias("_g")), ["scene_id"])
+    for c in "xy":
+        room = F.col(f"_hi{c}") - F.col(f"_lo{c}")
+        pts = pts.withColumn(f"_c{c}", F.when(room > 0, F.least(F.floor((F.col(c) - F.col(f"_lo{c}")) / room * F.col("_g")).cast("int"), F.col("_g") - 1)).otherwise(0))
+    boxes = [f(c).alias(f"_{k}_{c}") for c in XYZ for k, f in (("a", F.min), ("b", F.max))]
+    cells = pts.groupBy("scene_id", "_cx", "_cy").agg(F.count(F.col("x") + F.col("y") + F.col("z")).alias("_in"), *boxes)
+    cells = cells.join(large, "scene_id")
     tries = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(m).alias("m")) for t, m in attempts])
-    rows = pts.filter(F.col("_n") > max_points).withColumn("_a", F.explode(tries))
-    hits = rows.filter(window(F.col("_a.t"), F.col("_a.m"))[1]).groupBy("scene_id", F.col("_a.t").alias("t"), F.col("_a.m").alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    seen = hits.groupBy("scene_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("t") * (1 << 40) + F.col("m"), "n"))).alias("_seen"))
+    seen = cells.withColumn("_a", F.explode(tries)).select("*", "_a.t", "_a.m")
+    touched = seen.filter(holds(F.col("t"), F.col("m"), "_b_{}", "_a_{}"))
+    inside = F.when(holds(F.col("t"), F.col("m"), "_a_{}", "_b_{}"), F.col("_in")).otherwise(0)
+    counts = touched.groupBy("scene_id", "t", "m").agg(F.sum(inside).alias("lo"), F.sum("_in").alias("hi"))
+
+    def table(rows: DataFrame, n: str, out: str) -> DataFrame:
+        return rows.groupBy("scene_id").agg(F.map_from_entries(F.collect_list(F.struct(code(F.col("t"), F.col("m")), n))).alias(out))
+
+    def at(name: str, t: Column, m: Column) -> Column:
+        return F.coalesce(F.try_element_at(name, code(t, m)), F.lit(0).cast("bigint"))
+
+    # windows that the loop can reach given both bounds, with the steps by which the next one shrinks, and those in doubt
+    def reach(s, t):
+        def follow(w):
+            lo, hi = at("_lo", t, w["m"]), at("_hi", t, w["m"])
+            after = lambda g: F.struct((w["m"] + w["g"]).alias("m"), F.lit(g).alias("g"))
+            return F.array_compact(F.array(F.when(F.greatest(lo, F.lit(max_points + 1)) <= F.least(hi, F.lit(big)), after(1)),
+                                           F.when(hi > max(max_points, big), after(2))))
+
+        def settled(w):
+            lo, hi = at("_lo", t, w["m"]), at("_hi", t, w["m"])
+            return (hi <= max_points) | ((lo > max_points) & ((lo > big) | (hi <= big)))
+
+        doubt = F.transform(F.filter(s["open"], lambda w: ~settled(w)), lambda w: F.struct(t.alias("t"), w["m"].alias("m")))
+        return F.struct(F.array_distinct(F.flatten(F.transform(s["open"], follow))).alias("open"), F.array_union(s["doubt"], doubt).alias("doubt"))
+
+    times = F.sequence(F.lit(0), F.lit(last - 1))
+    none = F.array().cast("array<struct<t: int, m: int>>")
+    first = F.struct(F.array(F.struct(F.lit(0).alias("m"), F.when(F.col("_n") > big, 2).otherwise(1).alias("g"))).alias("open"), none.alias("doubt"))
+    known = table(counts, "lo", "_lo").join(table(counts, "hi", "_hi"), "scene_id").join(large.select("scene_id", "_n"), "scene_id")
+    known = cut_lineage(known.select("scene_id", "_lo", "_hi", F.aggregate(times, first, reach)["doubt"].alias("_doubt")))
+
+    unsure = known.filter(F.size("_doubt") > 0).select("scene_id", "_doubt").join(large, "scene_id")
+    near = attach(points.select("scene_id", "point_idx", *XYZ), unsure, ["scene_id"])
+    hits = near.select("scene_id", F.explode(F.filter("_doubt", lambda w: holds(w["t"], w["m"]))).alias("_w"))
+    hits = hits.groupBy("scene_id", "_w.t", "_w.m").agg(F.count(F.lit(1)).alias("n"))
+
     # state: last attempt, steps shrunk, points left, window of the last attempt
     start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("m"), F.col("_n").alias("n"), F.lit(0).alias("used"))
 
     def advance(s, t):
-        n = F.coalesce(F.try_element_at("_seen", t.cast("bigint") * (1 << 40) + s["m"]), F.lit(0).cast("bigint"))
+        n = F.coalesce(F.try_element_at("_exact", code(t, s["m"])), at("_lo", t, s["m"]))
         shrink = F.when(s["n"] > big, 2).otherwise(1)
         return F.when(s["n"] > max_points, F.struct(t.alias("t"), (s["m"] + shrink).alias("m"), n.alias("n"), s["m"].alias("used"))).otherwise(s)
 
-    end = F.aggregate(F.sequence(F.lit(0), F.lit(last - 1)), start, advance)
-    chosen = scenes.join(seen, "scene_id", "left").select(*scenes.columns, end.alias("_e"))
+    end = F.aggregate(times, start, advance)
+    chosen = scenes.join(known.select("scene_id", "_lo").join(table(hits, "n", "_exact"), "scene_id", "left"), "scene_id", "left").select(*scenes.columns, end.alias("_e"))
     chosen = chosen.select(*scenes.columns, F.col("_e.t").alias("_t"), F.col("_e.used").alias("_m"))
     out = attach(points, chosen, ["scene_id"])
     whole = F.col("_t") < 0
-    moved, ok = window(F.greatest("_t", F.lit(0)), F.col("_m"))
-    out = out.filter(whole | ok).select("*", *[F.when(whole, F.col(c)).otherwise(moved[a]).alias(f"_s{c}") for a, c in enumerate(XYZ)])
+    at_t = F.greatest("_t", F.lit(0))
+    out = out.filter(whole | holds(at_t, F.col("_m"))).select("*", *[
+        F.when(whole, F.col(c)).otherwise(moved(a, F.col(c), at_t, F.col("_m"))).alias(f"_s{c}") for a, c in enumerate(XYZ)])
     for c in XYZ:
         out = out.withColumn(c, F.col(f"_s{c}"))
     return out.select(*points.columns)
