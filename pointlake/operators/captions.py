@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -212,3 +214,71 @@ def caption_similarity(regions: DataFrame, captions: DataFrame, region_vec: str,
     sims = F.transform("caps", lambda c: dot(F.col("_u"), c["v"]) * scale)
     label = F.array_position(F.col("ids"), F.col("caption_id")) - 1
     return unit.withColumn("logits", sims).withColumn("label", label).drop("_u", "caps")
+
+
+def caption_scores(regions: DataFrame, captions: DataFrame, key: Sequence[str], region_vec: str, caption_vec: str, scale: float = 1.0,
+                   caption_block: int = 2048, region_block: int = 8192) -> DataFrame:
+    """C4 for batches of any size: per region ``(key, label, own, lse, best, top)``, what losses and matching need of its row
+    of ``caption_similarity``: the place of its caption among the batch's distinct ones (-1: not there, NULL: no
+    caption), that caption's score, the log of the sum of all exponentials, and the first place of the highest score.
+
+    Blocks of a batch's regions meet blocks of its captions; a meeting is one matrix product, of which each region
+    keeps a maximum, a sum of exponentials and its own score, and these are merged over the blocks.  No row
+    holds the scores of a batch.  ``key`` names a region; regions without a vector have no row."""
+    key = list(key)
+    one = captions.filter(F.col("caption_id").isNotNull() & F.col(caption_vec).isNotNull())
+    one = one.groupBy("batch_id", "caption_id").agg(F.min(caption_vec).cast("array<double>").alias("_e"))
+    spread = one.repartitionByRange("batch_id", "caption_id").withColumn("_range", F.spark_partition_id().cast("bigint"))
+    placed = ordinal(spread, ["batch_id"], ["caption_id"], "_pos", F.col("_range"), store=True).drop("_range")
+    rows = regions.filter(F.col(region_vec).isNotNull())
+    sizes = placed.groupBy("batch_id").agg((F.floor(F.max("_pos") / caption_block)).cast("bigint").alias("_nc"))
+    counts = rows.groupBy("batch_id").agg(F.floor(F.count(F.lit(1)) / region_block).cast("bigint").alias("_nr"))
+    sizes = sizes.join(counts, "batch_id")
+    zero = F.lit(0).cast("bigint")
+    own = placed.select("batch_id", "caption_id", "_pos")
+    left = (rows.select("batch_id", "caption_id", *[c for c in key if c != "batch_id"], F.col(region_vec).cast("array<double>").alias("_v"))
+            .join(sizes, "batch_id").join(own, ["batch_id", "caption_id"], "left")
+            .withColumn("_label", F.coalesce("_pos", F.when(F.col("caption_id").isNotNull(), F.lit(-1)))))
+    left = left.select(*key, "_label", "_v", F.col("batch_id").alias("_b"), F.pmod(F.xxhash64(*key), F.col("_nr") + 1).alias("_r"), F.explode(F.sequence(zero, "_nc")).alias("_c"))
+    right = (placed.join(sizes, "batch_id").withColumn("_c", F.floor(F.col("_pos") / caption_block).cast("bigint"))
+             .select(F.col("batch_id").alias("_b"), "_pos", "_e", F.explode(F.sequence(zero, "_nr")).alias("_r"), "_c"))
+    types = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    schema = ", ".join([*[f"{c} {types[c]}" for c in key], "_label bigint, _own double, _top double, _sum double, _best bigint"])
+
+    def stack(t: pa.Table, c: str) -> np.ndarray:
+        x = t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {c: np.zeros(0) for c in ("_own", "_top", "_sum")} | {"_best": np.zeros(0, np.int64)}
+        if not left.num_rows or not right.num_rows:
+            left = left.slice(0, 0)
+        else:
+            right = right.sort_by("_pos")
+            first = right.column("_pos")[0].as_py()
+            x, w = stack(left, "_v"), stack(right, "_e").T * scale
+            label = left.column("_label").to_pandas().fillna(-1).to_numpy(np.int64) - first
+            parts = []
+            for lo in range(0, len(x), 1024):
+                s = x[lo:lo + 1024] @ w
+                mine = label[lo:lo + 1024]
+                here = (mine >= 0) & (mine < s.shape[1])
+                top = s.max(1)
+                parts.append((np.where(here, s[np.arange(len(s)), np.where(here, mine, 0)], np.nan), top, np.exp(s - top[:, None]).sum(1), first + s.round(9).argmax(1)))
+            out = dict(zip(out, (np.concatenate(p) for p in zip(*parts))))
+        res = left.select([*key, "_label"])
+        for c, v in out.items():
+            res = res.append_column(c, pa.array(v, from_pandas=True))
+        return res
+
+    met = left.groupBy("_b", "_r", "_c").cogroup(right.groupBy("_b", "_r", "_c")).applyInArrow(meet, schema)
+    parts = F.sort_array(F.collect_list(F.struct("_top", "_sum")))  # one entry per block of captions
+    best = F.max(F.struct(F.round("_top", 9).alias("s"), (-F.col("_best")).alias("neg")))
+    merged = met.groupBy(*key).agg(F.max("_label").alias("label"), F.max("_own").alias("own"), F.max("_top").alias("top"), parts.alias("_parts"), best.alias("_first"))
+    lse = F.col("top") + F.log(F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["_sum"] * F.exp(p["_top"] - F.col("top"))))
+    return merged.select(*key, "label", "own", lse.alias("lse"), (-F.col("_first.neg")).alias("best"), "top")
+
+
+def caption_loss(scores: DataFrame) -> DataFrame:
+    """Mean cross-entropy of regions against the captions of their batch, over regions whose caption is there."""
+    return scores.agg(F.avg(F.col("lse") - F.col("own")).alias("loss"))

@@ -287,21 +287,35 @@ SIM = f"""WITH reg AS (SELECT scene_id, frame, list(v ORDER BY dim) AS r FROM ({
 SIM_USES = ("corr", "feats", "frames")
 
 
-def region_similarity(t):
+def region_inputs(t):
     emb = t.base("embeddings").select(F.col("vec_id").alias("caption_id"), F.col("embedding").alias("text_vec"))
     n = t.base("embeddings").agg(F.count(F.lit(1))).scalar()
     caps = t.frames.select("scene_id", "frame", n.alias("n_vecs")).selectExpr(
         "scene_id", "frame", "scene_id div 4 AS batch_id", "(scene_id*6 + frame) % n_vecs AS caption_id").join(emb, "caption_id")
     regions = CP.pool_captions(caps.drop("text_vec"), t.corr, t.feats, "embedding", 64).filter("has_points")
-    return CP.caption_similarity(regions, caps, "pooled", "text_vec", 10.0)
+    return regions, caps, "pooled", "text_vec", 10.0
 
 
 @query("c4_region_similarity", FR + "label bigint, own double, lse double", f"{SIM} SELECT * FROM res", SIM_USES)
 def _(t):
-    return region_similarity(t).select("scene_id", "frame", "label", F.get("logits", F.col("label").cast("int")).alias("own"),
-                                       metrics.log_sum_exp(F.col("logits")).alias("lse"))
+    regions, caps, *how = region_inputs(t)
+    return CP.caption_scores(regions, caps, CP.IMAGE, *how).select("scene_id", "frame", "label", "own", "lse")
+
+
+@query("c4_region_logits", FR + "label bigint, own double, lse double", f"{SIM} SELECT * FROM res", SIM_USES)
+def _(t):
+    return CP.caption_similarity(*region_inputs(t)).select(
+        "scene_id", "frame", "label", F.get("logits", F.col("label").cast("int")).alias("own"), metrics.log_sum_exp(F.col("logits")).alias("lse"))
+
+
+@query("c4_best_caption", FR + "best bigint, top double",
+       f"{SIM} SELECT scene_id, frame, arg_min(pos, (-round(s, 9), pos)) AS best, max(s) AS top FROM sim GROUP BY scene_id, frame", SIM_USES)
+def _(t):
+    regions, caps, *how = region_inputs(t)
+    return CP.caption_scores(regions, caps, CP.IMAGE, *how, caption_block=4, region_block=2).select("scene_id", "frame", "best", "top")
 
 
 @query("a17_caption_loss", "loss double", f"{SIM} SELECT avg(lse - own) AS loss FROM res", SIM_USES)
 def _(t):
-    return metrics.cross_entropy(region_similarity(t), "logits", "label")
+    regions, caps, *how = region_inputs(t)
+    return CP.caption_loss(CP.caption_scores(regions, caps, CP.IMAGE, *how))
