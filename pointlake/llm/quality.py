@@ -28,6 +28,7 @@ from pointlake.llm.common import SPACES, map_column
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+KEEP = 64  # words whose ranks are kept; longer common prefixes are found from the finished array
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")
 
 
@@ -48,8 +49,10 @@ def repetition(counts: np.ndarray, codes: np.ndarray, least: int) -> tuple[np.nd
         return (np.zeros(docs, np.int64),) * 3
     owner = np.repeat(np.arange(docs), counts)
     ends = np.repeat(np.cumsum(counts), counts)
-    order, levels = suffixes.suffix_array(owner * (int(codes.max()) + 1) + codes, ends)
+    codes = owner * (int(codes.max()) + 1) + codes
+    order, levels = suffixes.suffix_array(codes, ends, keep=KEEP)
     at, lcp = suffixes.neighbour_lcp(order, ends, levels, min(WINDOW, least))
+    lcp = suffixes.lengthen(lcp, order[at], order[at + 1], codes, ends, sum(k for k, _ in levels))
     start, length = np.concatenate([order[at], order[at + 1]]), np.concatenate([lcp, lcp])
     at = length >= WINDOW
     windows = suffixes.covered(n, start[at], np.full(int(at.sum()), WINDOW))

@@ -5,12 +5,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(codes: np.ndarray, ends: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+def suffix_array(codes: np.ndarray, ends: np.ndarray, depth: int | None = None, keep: int | None = None) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Suffix array by prefix doubling, and the ranks after each doubling.
 
     ``codes[i]`` is the symbol at position ``i`` and ``ends[i]`` the end of its text; a suffix stops
     there.  A round sorts only the suffixes whose first ``k`` symbols are not unique yet.  With
-    ``depth`` the suffixes are ordered by that many symbols at least."""
+    ``depth`` the suffixes are ordered by that many symbols at least; with ``keep`` only ranks by up to that many are returned."""
     n = len(codes)
     order = np.argsort(codes, kind="stable")
     at = np.arange(n)
@@ -39,7 +39,8 @@ def suffix_array(codes: np.ndarray, ends: np.ndarray, depth: int | None = None)
         rank = rank.copy()
         rank[pos] = np.maximum.accumulate(np.where(new, shared, 0))
         k *= 2
-        levels.append((k, rank))
+        if keep is None or k <= keep:
+            levels.append((k, rank))
     return order, levels
 
 
@@ -59,6 +60,33 @@ def neighbour_lcp(order: np.ndarray, ends: np.ndarray, levels: list[tuple[int, n
     return at[deep], lcp[deep]
 
 
+def lengthen(lcp: np.ndarray, left: np.ndarray, right: np.ndarray, codes: np.ndarray, ends: np.ndarray, known: int) -> np.ndarray:
+    """Common prefixes of the neighbours ``left`` and ``right`` where ``lcp`` stopped at ``known`` symbols, in linear time.
+
+    Going by the place of ``right``, the prefix of the next place is shorter by one symbol at most, so
+    every symbol is compared about once; nothing is kept but the result."""
+    deep = np.flatnonzero(lcp >= known)
+    deep = deep[np.argsort(right[deep])]
+    found = np.zeros(len(deep), np.int64)
+    view = memoryview(np.ascontiguousarray(codes, np.int64))
+    before, h = -2, 0
+    for start in range(0, len(deep), 1 << 16):
+        some = deep[start:start + (1 << 16)]
+        limit = ends[left[some]] - np.maximum(left[some], right[some])
+        for at, (i, j, most) in enumerate(zip(left[some].tolist(), right[some].tolist(), limit.tolist(), strict=True), start):
+            h = max(h - 1, known) if j == before + 1 else known
+            step = 1
+            while h < most and view[i + h] == view[j + h]:
+                n = min(step, most - h)
+                differ = np.flatnonzero(codes[i + h:i + h + n] != codes[j + h:j + h + n])
+                h += int(differ[0]) if len(differ) else n
+                step = min(2 * step, 4096)
+            found[at], before = h, j
+    out = lcp.copy()
+    out[deep] = found
+    return out
+
+
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Which of ``n`` positions lie in one of the spans at least."""
     edge = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(starts + lengths, minlength=n + 1)[: n + 1]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointlake.llm import bpe, chat, copies, fim, language, lexical, mixing, mtree, multiset, pii, quality, sharding, simhash, substrings
+from pointlake.llm import bpe, chat, copies, fim, language, lexical, mixing, mtree, multiset, pii, quality, sharding, simhash, substrings, suffixes
 from pointlake.llm.queries import VOCABULARY
 from tests_llm_brute import brute_components, brute_dedup, brute_print
 
@@ -340,3 +340,24 @@ def test_texts_of_one_number(spark):
     rows = spark.createDataFrame([(b"a", 5), (b"b", 5), (b"c", 6)], "digest binary, k64 long")
     got = {bytes(r["digest"]): r["id"] for r in copies.numbered(rows).collect()}
     assert got[b"a"] == 5 and got[b"c"] == 6 and len(set(got.values())) == 3
+
+
+def test_long_repeats_beyond_the_kept_ranks():
+    """Common prefixes of more than 127 words, which the kept ranks cannot tell apart, against word by word comparison."""
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        block = r.integers(0, 30, int(r.integers(120, 300)))
+        docs = [np.concatenate([block, r.integers(0, 3, 50), block, block[:200]]), np.zeros(int(r.integers(1, 500)), np.int64), r.integers(0, 2, 40)]
+        counts = np.array([len(d) for d in docs])
+        codes = np.concatenate([d + 100 * i for i, d in enumerate(docs)])
+        ends = np.repeat(np.cumsum(counts), counts)
+        order, levels = suffixes.suffix_array(codes, ends, keep=quality.KEEP)
+        assert max(k for k, _ in levels) <= quality.KEEP
+        at, lcp = suffixes.neighbour_lcp(order, ends, levels, 5)
+        lcp = suffixes.lengthen(lcp, order[at], order[at + 1], codes, ends, sum(k for k, _ in levels))
+        got = dict(zip(at.tolist(), lcp.tolist()))
+        for p, (i, j) in enumerate(zip(order[:-1].tolist(), order[1:].tolist())):
+            n = 0
+            while i + n < ends[i] and j + n < ends[j] and codes[i + n] == codes[j + n]:
+                n += 1
+            assert got.get(p, 0) == (n if n >= 5 else 0)
