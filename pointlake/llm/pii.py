@@ -91,6 +91,10 @@ def _empty(ddl: str) -> Column:
     return F.from_json(F.lit("[]"), f"array<struct<{ddl}>>")
 
 
+def _in_blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
 SPAN = "start: int, rank: int, end: int, score: double"
 
 
@@ -108,12 +112,10 @@ def _locate(kind: Kind, rank: int, zipped: Column) -> Column:
             return F.struct((acc["at"] + length(z)).alias("at"), F.when(kind.valid(z["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
         return F.aggregate(block, F.struct(offset.alias("at"), _empty(SPAN).alias("out")), step, lambda acc: acc["out"])
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / BLOCK).cast("int")), lambda b: F.slice(zipped, b * BLOCK + 1, F.lit(BLOCK)))
-
     def place(parts: Column) -> Column:
         sizes = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, z: s + length(z)))
         return let(sizes, lambda own: F.flatten(F.transform(parts, lambda p, i: fold(p, F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda s, n: s + n)))))
-    return F.when(F.size(zipped) > 0, let(blocks, place)).otherwise(_empty(SPAN))
+    return F.when(F.size(zipped) > 0, let(_in_blocks(zipped), place)).otherwise(_empty(SPAN))
 
 
 def find_spans(df: DataFrame, text: str = "text", out: str = "spans", min_score: float = MIN_SCORE) -> DataFrame:
@@ -146,18 +148,26 @@ def count_of(spans: str, kind: str) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind's sign; of overlapping spans the first stands for all."""
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        hit = (F.size(acc) > 0) & (s["start"] < F.get(acc, F.size(acc) - 1)["end"])
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(hit, grown).otherwise(F.concat(acc, F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))))
-    joined = F.aggregate(spans, _empty("kind: string, start: int, end: int"), step)
+    """The text with each span replaced by its kind's sign; of overlapping spans the first stands for all.
+    A span that begins at or after the furthest end so far (``from``) opens a run; the text between runs is cut out
+    of the piece of text that its block of runs covers, so time stays linear in very long texts."""
+    def opening(part: Column, furthest: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            run = F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), acc["at"].alias("from")))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], run)).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(part, F.struct(furthest.alias("at"), _empty("kind: string, start: int, from: int").alias("out")), step, lambda acc: acc["out"])
+
+    def runs(parts: Column) -> Column:
+        ends = F.transform(parts, lambda p: F.array_max(F.transform(p, lambda s: s["end"])))
+        return let(ends, lambda own: F.flatten(F.transform(parts, lambda p, i: opening(p, F.coalesce(F.array_max(F.slice(own, F.lit(1), i)), F.lit(0))))))
+
     signs = F.create_map(*[F.lit(x) for k in KINDS for x in (k.name, k.sign)])
 
-    def build(m: Column) -> Column:
-        start = F.transform(m, lambda s, i: F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1)["end"]))
-        parts = F.transform(F.arrays_zip(m.alias("span"), start.alias("from")), lambda z: F.concat(
-            F.substring(text, z["from"] + 1, z["span"]["start"] - z["from"]), signs[z["span"]["kind"]]))
-        return F.concat(F.array_join(parts, ""), F.substring(text, F.get(m, F.size(m) - 1)["end"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, let(joined, build)).otherwise(text)
+    def replaced(part: Column) -> Column:
+        base = F.get(part, F.lit(0))["from"]
+        piece = F.substring(text, base + 1, F.element_at(part, -1)["start"] - base)
+        return let(piece, lambda held: F.array_join(F.transform(part, lambda r: F.concat(F.substring(held, r["from"] - base + 1, r["start"] - r["from"]), signs[r["kind"]])), ""))
+
+    front = let(let(_in_blocks(spans), runs), lambda r: F.array_join(F.transform(_in_blocks(r), replaced), ""))
+    tail = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(front, tail)).otherwise(text)
