@@ -2,11 +2,12 @@
 
 1. *Targets.*  Source weights share all words; a target stops at ``max_repeats`` times its source's size
    and the excess is shared again.
-2. *Blocks.*  A seeded draw per document deals each source into up to 4096 equal blocks.  Whole passes take
-   every block; the last pass takes permuted blocks while they fit, then single documents of the
-   next block, and goes on like this with the later blocks (and once more from the first, up to
-   ``max_repeats``) while room is left that one of their documents fits.  Only per-block sums are looked
-   at, so a hot source is just more blocks.
+2. *Blocks.*  A seeded draw per document deals each source into blocks of about ``BLOCK_ROWS`` documents, however
+   large it is.  Whole passes take every block; the last pass takes permuted blocks while they fit, then
+   single documents of the next block (``fill_block``), then single documents of any block, larger size
+   classes first, until none that may be repeated fits (``fill_rest``).  So a source's words miss its target by
+   less than its smallest document with a repeat left, at every size.  Sums per block are all that is
+   looked at on the way, so a hot source is just more blocks.
 3. *Splitting tree.*  The blocks to take are exact quotas per source.  A node of the tree draws, from the
    multivariate hypergeometric distribution, how many blocks of each source go to its left half of the
    output shards; the rest goes right.  Nodes are seeded by their place, so tasks expand the
@@ -30,19 +31,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointlake.functions.blocks import ordinal, running_sum
 from pointlake.llm.common import n_words, store
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 MAX_SOURCES = 100_000
 BLOCK_ROWS = 1000
-MAX_BLOCKS = 4096
 SHARD_WORDS = 5_000_000
-CHOICES = (32, 256)
-CHOICE_BITS = 800_000_000
+#: Takes of a block's walk that are chosen again first; doubled until the room is full or all are.
+CHOICE = 32
+#: Sums told apart by the choice (all of them, if the room has no more words).
+CELLS = 1 << 16
 _SPAN = 1 << 31
 
 
@@ -94,24 +96,33 @@ def source_table(rows: DataFrame, weights: Sequence[float], max_repeats: int) ->
 
 
 def best_subset(weights: Sequence[int], room: int) -> list[int]:
-    """Places of the items whose weights add up to the most that ``room`` holds (bit ``s`` of a row is
-    set if the items so far can make ``s``)."""
-    mask, rows = (1 << (room + 1)) - 1, [1]
+    """Places of items whose weights add up to the most that ``room`` holds.  Sums are kept in up to ``CELLS``
+    cells of equal width, the largest of each; with a width of one (a room below ``CELLS``) no sum is lost."""
+    width = room // CELLS + 1
+    best = np.full(room // width + 1, -1, np.int64)
+    best[0] = 0
+    changed = []
     for w in weights:
-        rows.append((rows[-1] | rows[-1] << w) & mask)
-    left, chosen = rows[-1].bit_length() - 1, []
+        sums = best[best >= 0] + w
+        sums = sums[sums <= room]
+        cells = sums // width  # ascending, so the last of equal cells is the largest sum
+        new = best.copy()
+        new[cells] = np.maximum(best[cells], sums)
+        changed.append(np.packbits(new > best))
+        best = new
+    total, chosen = int(best.max()), []
     for k in range(len(weights) - 1, -1, -1):
-        if not rows[k] >> left & 1:
+        cell = total // width
+        if changed[k][cell >> 3] >> (7 - (cell & 7)) & 1:
             chosen.append(k)
-            left -= weights[k]
+            total -= weights[k]
     return chosen
 
 
 def fill_block(weights: Sequence[int], room: int, copies: int) -> np.ndarray:
     """How often each document of a block is taken: walks in the order of the draws, up to ``copies``, past
-    documents that do not fit; then the last takes of the walk are undone (more and more of them until the
-    room is full, as memory allows) and chosen again as a whole among all that is left."""
-    times = np.zeros(len(weights), np.int64)
+    documents that do not fit; then the last takes of the walk are undone (twice as many each time, until the
+    room is full or all were) and chosen again as a whole among all that is left.  Nothing left fits."""
     taken, free = [], []
     left = room
     for _ in range(copies):
@@ -121,18 +132,22 @@ def fill_block(weights: Sequence[int], room: int, copies: int) -> np.ndarray:
                 left -= w
             elif 0 < w <= room:
                 free.append(k)
-    keep, best = taken, []
-    for undone in (*CHOICES, len(taken)):
-        if not left:
-            break
+    result, undone, cut = taken, CHOICE, len(taken)
+    while left and cut:
         cut = max(0, len(taken) - undone)
+        undone *= 2
         space = room - sum(weights[k] for k in taken[:cut])
         items = [k for k in taken[cut:] + free if weights[k] <= space]
-        if len(items) * space > CHOICE_BITS:
-            break
-        keep, best = taken[:cut], [items[i] for i in best_subset([weights[k] for k in items], space)]
-        left = space - sum(weights[k] for k in best)
-    np.add.at(times, np.array(keep + best, np.int64), 1)
+        picked = set(best_subset([weights[k] for k in items], space))
+        over = space - sum(weights[items[i]] for i in picked)
+        for i, k in enumerate(items):
+            if i not in picked and weights[k] <= over:
+                picked.add(i)
+                over -= weights[k]
+        if over < left:
+            left, result = over, taken[:cut] + [items[i] for i in picked]
+    times = np.zeros(len(weights), np.int64)
+    np.add.at(times, np.array(result, np.int64), 1)
     return times
 
 
@@ -140,37 +155,48 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
     """How often documents of a source's next block are taken once more."""
     pdf = pdf.sort_values(["u", "id", "k64"]).reset_index(drop=True)
     times = fill_block(pdf["weight"].tolist(), int(pdf["room"].iloc[0]), int(pdf["copies"].iloc[0]))
-    return pdf.assign(times=times, used=times * pdf["weight"])[times > 0][["sid", "id", "k64", "times", "used"]]
+    return pdf.assign(times=times, used=times * pdf["weight"])[times > 0][["sid", "block", "id", "k64", "times", "used"]]
 
 
 def last_pass(units: DataFrame, named: DataFrame, max_repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Blocks with the number of extra passes over the whole block (``whole``) and whether single documents
-    are taken besides (``part``), and these documents with their ``times``.  A round takes blocks in
-    order while they fit and fills the room left from the first that does not; every later round takes a
-    document at least, as only blocks with one that fits take part."""
-    sources = named.select("sid", "full", F.round("rest").cast("bigint").alias("room"))
-    by_block = units.groupBy("sid", "block").agg(F.sum("weight").alias("words"), F.min(F.when(F.col("weight") > 0, F.col("weight"))).alias("low"))
-    none = F.lit(0).cast("bigint")
-    blocks = store(by_block.join(F.broadcast(sources), "sid").withColumn("whole", none).withColumn("part", F.lit(False)), "mix-blocks")
-    free = ~F.col("part") & (F.col("full") + F.col("whole") < max_repeats)
-    order = W.partitionBy("sid").orderBy("whole", _draw(seed + 1, "sid", "block"), "block")
-    run, chosen = blocks.filter(free), None
+    are taken besides (``part``), and these documents with their ``times``."""
+    sources = F.broadcast(named.select("sid", "full", F.round("rest").cast("bigint").alias("room")))  # bounded by MAX_SOURCES
+    by_block = units.groupBy("sid", "block").agg(F.sum("weight").alias("words")).join(sources, "sid").withColumn("place", _draw(seed + 1, "sid", "block"))
+    blocks = running_sum(store(by_block, "mix-sums"), ["sid"], ["place", "block"], F.shiftright("place", 15), before=F.col("words"))
+    fits = F.col("before") + F.col("words") <= F.col("room")
+    again = F.col("full") < max_repeats
+    blocks = store(blocks.select("sid", "block", "words", "full", (again & fits).cast("bigint").alias("whole"),
+                                 (again & ~fits & (F.col("before") < F.col("room"))).alias("next"), (F.col("room") - F.col("before")).alias("space")), "mix-blocks")
+    last = blocks.filter("next").select("sid", "block", F.col("space").alias("room"), (max_repeats - F.col("full")).alias("copies"))
+    filled = units.join(F.broadcast(last), ["sid", "block"]).select("sid", "block", "id", "k64", "u", "weight", "room", "copies")  # a block a source
+    chosen = store(filled.groupBy("sid").applyInPandas(_fill, f"sid bigint, block bigint, id {units.schema['id'].dataType.simpleString()}, k64 bigint, times bigint, used bigint"), "mix-chosen")
+    chosen = fill_rest(units, blocks, chosen, sources, max_repeats)
+    part = chosen.select("sid", "block").distinct().withColumn("part", F.lit(True))
+    return blocks.join(part, ["sid", "block"], "left").select("sid", "block", "full", "whole", F.coalesce("part", F.lit(False)).alias("part")), chosen.drop("used")
+
+
+def fill_rest(units: DataFrame, blocks: DataFrame, chosen: DataFrame, sources: DataFrame, max_repeats: int) -> DataFrame:
+    """``chosen`` with more single documents of any block until none that fits may be repeated.  A round takes the
+    documents that fit, larger powers of two first, as long as their running sum fits.  After it either all of
+    them were taken or the room is at most 3/4 of what it was, so rounds number about the logarithm of the
+    room; mostly the room is empty before the first."""
+    key = ["sid", "block", "id", "k64"]
     while True:
-        run = run.withColumn("upto", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        fits, before = F.col("upto") <= F.col("room"), F.col("upto") - F.col("words")
-        run = store(run.select("sid", "block", fits.alias("fits"), (~fits & (before < F.col("room"))).alias("next"), (F.col("room") - before).alias("space"),
-                               F.when(fits, F.col("words")).otherwise(0).alias("used"), (max_repeats - F.col("full") - F.col("whole")).alias("copies")), "mix-run")
-        last = run.filter("next").select("sid", "block", F.col("space").alias("room"), "copies")
-        filled = units.join(last, ["sid", "block"]).select("sid", "id", "k64", "u", "weight", "room", "copies")
-        more = store(filled.groupBy("sid").applyInPandas(_fill, f"sid bigint, id {units.schema['id'].dataType.simpleString()}, k64 bigint, times bigint, used bigint"), "mix-chosen")
-        chosen = more if chosen is None else chosen.unionByName(more)
-        used = run.select("sid", "used").unionByName(more.select("sid", "used")).groupBy("sid").agg(F.sum("used").alias("used"))
-        state = blocks.join(run.select("sid", "block", "fits", "next"), ["sid", "block"], "left").join(used, "sid", "left")
-        blocks = store(state.select("sid", "block", "words", "low", "full", (F.col("room") - F.coalesce("used", none)).alias("room"),
-                                    (F.col("whole") + F.coalesce("fits", F.lit(False)).cast("bigint")).alias("whole"), (F.col("part") | F.coalesce("next", F.lit(False))).alias("part")), "mix-blocks")
-        run = blocks.filter(free & (F.col("low") <= F.col("room")))
-        if run.isEmpty():
-            return blocks, chosen.drop("used")
+        used = blocks.select("sid", (F.col("words") * F.col("whole")).alias("used")).unionByName(chosen.select("sid", "used")).groupBy("sid").agg(F.sum("used").alias("used"))
+        rooms = store(used.join(sources, "sid").select("sid", (F.col("room") - F.col("used")).alias("room")).filter("room > 0"), "mix-rooms")
+        if rooms.isEmpty():
+            return chosen
+        fit = units.join(F.broadcast(rooms), "sid").filter((F.col("weight") > 0) & (F.col("weight") <= F.col("room"))).select(*key, "u", "weight", "room")
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key]
+        known = fit.join(blocks.select("sid", "block", "full", "whole"), ["sid", "block"]).alias("a").join(chosen.alias("c"), same, "left")
+        left = known.filter(F.col("full") + F.col("whole") + F.coalesce("times", F.lit(0)) < max_repeats).select("a.*")
+        bin_ = (63 - F.floor(F.log2("weight"))) * 65536 + F.shiftright("u", 15)
+        run = running_sum(store(left.withColumn("bin", bin_), "mix-left"), ["sid"], ["bin", "u", "id", "k64"], F.col("bin"), before=F.col("weight"))
+        more = store(run.filter(F.col("before") + F.col("weight") <= F.col("room")).select(*key, F.lit(1).cast("bigint").alias("times"), F.col("weight").alias("used")), "mix-more")
+        if more.isEmpty():
+            return chosen
+        chosen = store(chosen.unionByName(more).groupBy(*key).agg(F.sum("times").alias("times"), F.sum("used").alias("used")), "mix-chosen")
 
 
 def split_tree(quotas: np.ndarray, n_shards: int, lo: int, hi: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -196,7 +222,7 @@ def plan(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     spark = df.sparkSession
     rows = store(sized(df, text, id_col, source), "mix-rows")
     sources = source_table(rows, weights, max_repeats)
-    sources["blocks"] = np.clip(-(-sources["n"] // BLOCK_ROWS), 1, MAX_BLOCKS)
+    sources["blocks"] = np.maximum(-(-sources["n"] // BLOCK_ROWS), 1)
     total = sources["source_size"].clip(lower=1)
     sources["full"] = np.minimum(np.floor(sources["target"] / total), max_repeats).astype("int64")
     sources["rest"] = np.maximum(sources["target"] - sources["full"] * sources["source_size"], 0.0)
@@ -212,8 +238,8 @@ def plan(df: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     times, part = F.col("full") + F.col("whole"), F.col("part").cast("bigint")
     takes = blocks.filter(times + part > 0).select("sid", "block", "part", times.alias("n"), F.explode(F.sequence(F.lit(1).cast("bigint"), times + part)).alias("round"))
     takes = takes.select("sid", "block", "round", (F.col("round") > F.col("n")).alias("partial"))
-    number = W.partitionBy("sid").orderBy(_draw(seed + 2, "sid", "block", "round"), "block", "round")
-    takes = store(takes.withColumn("rank", F.row_number().over(number).cast("bigint") - 1), "mix-takes")
+    takes = takes.withColumn("place", _draw(seed + 2, "sid", "block", "round"))
+    takes = store(ordinal(takes, ["sid"], ["place", "block", "round"], "rank", F.shiftright("place", 15)).drop("place"), "mix-takes")
     quotas = np.zeros(len(sources), np.int64)
     for r in takes.groupBy("sid").count().collect():
         quotas[r["sid"]] = r["count"]

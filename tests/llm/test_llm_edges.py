@@ -1,10 +1,11 @@
 """NULLs, empty and long texts, repeated rows, empty tables, extra and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pointlake.llm import bpe, chat, copies, fim, language, lexical, mixing, mtree, multiset, pii, quality, sharding, simhash, substrings, suffixes
 from pointlake.llm.queries import VOCABULARY
-from tests_llm_brute import brute_components, brute_dedup, brute_print
+from tests_llm_brute import brute_components, brute_dedup, brute_masked, brute_print, brute_targets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words int, shard string, spans int, ids int, fp string, take int, t int, row int, rest int"
 
@@ -361,3 +362,69 @@ def test_long_repeats_beyond_the_kept_ranks():
             while i + n < ends[i] and j + n < ends[j] and codes[i + n] == codes[j + n]:
                 n += 1
             assert got.get(p, 0) == (n if n >= 5 else 0)
+
+
+def test_subsets_and_blocks_leave_nothing_that_fits():
+    r = random.Random(5)
+    for _ in range(60):
+        sizes = [r.choice([1, 3, 40, 7000, 100_000]) * r.randint(1, 9) for _ in range(r.randint(1, 12))]
+        room = r.randint(0, sum(sizes) * 3)
+        best = max((sum(c) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n) if sum(c) <= room), default=0)
+        got = sum(sizes[k] for k in mixing.best_subset(sizes, room))
+        assert got <= room and best - got <= (room // mixing.CELLS) * len(sizes)
+        times = mixing.fill_block(sizes, room, 2)
+        left = room - int(times @ np.array(sizes))
+        assert left >= 0 and times.max() <= 2 and all(w > left for w, t in zip(sizes, times, strict=True) if t < 2)
+
+
+def test_targets_against_halving():
+    r = random.Random(6)
+    for _ in range(100):
+        sizes = [r.choice([0, r.randint(1, 50), r.randint(1, 10**6)]) for _ in range(r.randint(1, 9))]
+        weights = [1.0 + k % 3 for k in range(len(sizes))]
+        assert mixing.targets(sizes, weights) == pytest.approx(brute_targets(sizes, weights), rel=1e-6, abs=1e-3)
+
+
+@pytest.mark.parametrize("block_rows", [1, 4, 1000])
+def test_mix_misses_by_less_than_a_document_left(spark, block_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
+    r = random.Random(block_rows)
+    rows = [(i if i % 17 else None, "w " * r.choice([3, 10, 90, 400, 5000]), r.choice(["a", "a", "b", "c", None])) for i in range(150)] + [(7, "w " * 30, "a")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.attach_plan(df, mixing.plan(df, seed=block_rows)).select("row.doc_id", "row.text", "row.source", "size", "source_size", "target", F.size("takes").alias("n")).collect()
+    assert len(got) == len(rows) and max(x["n"] for x in got) <= 3
+    names = ["a", "b", "c", None]
+    sizes = [sum(len(t.split()) for _, t, s in rows if s == name) for name in names]
+    for name, size, goal in zip(names, sizes, brute_targets(sizes, [1.0, 2.0, 3.0, 1.0]), strict=True):
+        mine = [x for x in got if x["source"] == name]
+        assert all(x["source_size"] == size and x["target"] == pytest.approx(goal) for x in mine)
+        units = defaultdict(int)  # equal rows are decided together
+        for x in mine:
+            units[x["doc_id"], x["text"], x["n"]] += x["size"]
+        left = goal - sum(x["size"] * x["n"] for x in mine)
+        assert -0.5 <= left
+        assert all(w > left - 0.5 for (_, _, n), w in units.items() if n < 3)
+
+
+def test_masked_against_brute_force(spark):
+    r = random.Random(8)
+    names = [k.name for k in pii.KINDS]
+    signs = {k.name: k.sign for k in pii.KINDS}
+    rows = []
+    for n in [0, 1, 2, 255, 256, 257, 700, *[r.randint(1, 40) for _ in range(60)]]:
+        text = "".join(r.choice("ab é\U0001f600") for _ in range(4 * n + r.randint(1, 30)))
+        spans = []
+        for _ in range(n):
+            at = r.randrange(len(text))
+            spans.append((r.choice(names), at, min(len(text), at + r.randint(1, 9))))
+        rows.append((text, sorted(spans, key=lambda s: (s[1], s[0]))))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<kind: string, start: int, end: int>>")
+    for x in df.withColumn("m", pii.masked(F.col("text"), F.col("spans"))).collect():
+        assert x["m"] == brute_masked(x["text"], x["spans"], signs)
+
+
+def test_masked_many_spans_in_a_long_text(spark):
+    text = "write to a@b.cd or +1 555 123 4567, " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.find_spans(df).select(pii.masked(F.col("text"), F.col("spans")).alias("m"))
+    assert found.first()["m"] == "write to [EMAIL] or [PHONE], " * 20_000

@@ -69,3 +69,25 @@ def brute_copies(texts):
                 x, y = sorted((root[a], root[b]))
                 root = {i: x if r == y else r for i, r in root.items()}
     return root
+
+
+def brute_targets(sizes, weights, most=3):
+    """Shares of all words in proportion to the weights, none above ``most`` times its size: the level at
+    which the shares add up is found by halving."""
+    low, high = 0.0, 4.0 * most * (sum(sizes) + 1)
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(min(most * s, mid * w) for s, w in zip(sizes, weights, strict=True)) < sum(sizes):
+            low = mid
+        else:
+            high = mid
+    return [min(most * s, high * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+def brute_masked(text, spans, signs):
+    out, end = "", 0
+    for kind, start, stop in spans:
+        if start >= end:
+            out += text[end:start] + signs[kind]
+        end = max(end, stop)
+    return out + text[end:]
