@@ -1,5 +1,6 @@
 """The registered queries against SQL or a brute-force version, over the whole small tables."""
 
+import functools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,8 +10,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import check
-from pointlake.llm import fim, mixing, multiset, queries
-from tests_llm_brute import WORDS, brute_components, brute_copies, brute_dedup, brute_print, sha
+from pointlake.llm import fim, language, mixing, multiset, queries
+from tests_llm_brute import WORDS, brute_components, brute_copies, brute_dedup, brute_languages, brute_print, sha
 
 @pytest.fixture(scope="module")
 def docs(spark, sf):
@@ -40,6 +41,16 @@ def test_substring_dedup(spark, sf, docs):
     assert sum(w[2] > 0 for w in want) > 5
 
 
+def test_language_against_brute_force(spark, sf, docs):
+    got = by_id(spark, sf, "op3_language_id")
+    vector = functools.cache(lambda cp: language.letter_vectors(np.array([cp]), language.DIM)[0].astype(float))
+    train = [(r["text"], r["lang"]) for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    for r, (lang, score, lead) in zip(docs, brute_languages(train, [r["text"] for r in docs], vector), strict=True):
+        g = got[r["doc_id"]]
+        assert g["score"] == pytest.approx(score, abs=1e-5)
+        assert g["lang_pred"] == lang or lead < 1e-5
+
+
 def test_language_id(spark, sf, docs):
     got = by_id(spark, sf, "op3_language_id")
     right = []

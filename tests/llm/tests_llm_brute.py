@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+from collections import Counter
 
+import numpy as np
 import xxhash
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,3 +93,31 @@ def brute_masked(text, spans, signs):
             out += text[end:start] + signs[kind]
         end = max(end, stop)
     return out + text[end:]
+
+
+def brute_profile(text, letter_vector):
+    """Sum over the letter trigrams of a text (framed by blanks, anything but letters alike, the middle a letter)
+    of the product of the letters' vectors, each turned by its place."""
+    marks = [0, *[ord(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else 0 for c in text or ""], 0]
+    grams = Counter(g for g in zip(marks, marks[1:], marks[2:], strict=False) if g[1])
+    total = np.zeros(len(letter_vector(0)))
+    for (a, b, c), n in grams.items():
+        total += n * letter_vector(a) * np.roll(letter_vector(b), 1) * np.roll(letter_vector(c), 2)
+    return total
+
+
+def brute_languages(train, texts, letter_vector):
+    """``(language, cosine, lead over the next)`` of each text, learned from all ``(text, language)`` of ``train``."""
+    def unit(v):
+        return v / (np.linalg.norm(v) or 1.0)
+    sums = {}
+    for text, lang in train:
+        if text is not None and lang is not None:
+            sums[lang] = sums.get(lang, 0) + unit(brute_profile(text, letter_vector))
+    protos = {k: unit(v) for k, v in sums.items() if v.any()}
+    out = []
+    for text in texts:
+        v = brute_profile(text, letter_vector)
+        ranked = sorted(((float(unit(v) @ p), k) for k, p in protos.items()), reverse=True)
+        out.append((ranked[0][1], max(ranked[0][0], 0.0), ranked[0][0] - ranked[1][0]) if v.any() else ("und", 0.0, 1.0))
+    return out
