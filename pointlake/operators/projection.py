@@ -97,9 +97,10 @@ def inside_image(pixels: DataFrame) -> DataFrame:
 
 def depth_consistent(pixels: DataFrame, depth: DataFrame, tolerance: float = 0.2,
                      image: Sequence[str] = ("scene_id", "frame")) -> DataFrame:
-    """Keep points whose distance agrees with the depth image; adds the flat pixel index."""
+    """Keep points whose distance agrees with the depth image; adds the flat pixel index.  Both sides are
+    merged: a depth table exploded from images is far larger than its estimate, so it must not be broadcast."""
     seen = depth.filter(F.col("depth") != 0)
-    out = pixels.join(seen, [*image, "u", "v"])
+    out = pixels.hint("merge").join(seen, [*image, "u", "v"])
     return (out.filter(F.abs(F.col("depth") - F.col("d")) <= F.col("depth") * tolerance)
             .withColumn("flat", F.col("v") * F.col("w") + F.col("u")))
 

@@ -135,7 +135,9 @@ class Tables:
 
     @cached_property
     def depth(self) -> DataFrame:
-        grid = self.frames.select("scene_id", "frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PIXELS - 1).cast("bigint"))).alias("k"))
+        # the frames are a small table that grows 768 times here: they are dealt to all tasks first
+        dealt = self.frames.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "scene_id", "frame")
+        grid = dealt.select("scene_id", "frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PIXELS - 1).cast("bigint"))).alias("k"))
         return (grid.selectExpr("scene_id", "frame", "k % 32 AS u", "k div 32 AS v")
                 .selectExpr("scene_id", "frame", "u", "v", f"{DEPTH} AS depth"))
 
