@@ -30,7 +30,8 @@ def radius_pairs(points: DataFrame, radius: float, group: Sequence[str] = ("scen
     Cells have edge ``radius``; each point looks into its own cell and 13 of the 26 neighbours, so a
     pair is met exactly once.  The largest cell is counted first: when it holds more than
     ``crowded`` points, the points of a cell are dealt into parts of that size and each part is joined
-    by its own task."""
+    by its own task.  Both sides hold every point, so they are merged and never broadcast: their size is
+    underestimated after the look-ups are exploded."""
     group = list(group)
     cells = points.select(*group, "point_idx", "x", "y", "z",
                           *[F.floor(F.col(c) / radius).cast("bigint").alias(n) for c, n in zip("xyz", CELL)])
@@ -55,7 +56,7 @@ def radius_pairs(points: DataFrame, radius: float, group: Sequence[str] = ("scen
         left = attach(cells, goals, key).select(*group, *p_cols, "own", "_part", *[F.col(f"to{n}").alias(n) for n in CELL])
         right = attach(cells, parts, key).select(*key, (F.col("point_idx") % F.col("_parts")).alias("_part"), *q_cols)
         key = [*key, "_part"]
-    pairs = left.join(right, key).filter(~F.col("own") | (F.col("p") < F.col("q")))
+    pairs = left.hint("merge").join(right, key).filter(~F.col("own") | (F.col("p") < F.col("q")))
     near = pairs.filter(squared_distance("p", "q") < radius * radius)
     return near.select(*group, F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"))
 
@@ -75,7 +76,9 @@ def capped_neighbours(points: DataFrame, radius: float, cap: int, group: Sequenc
     2. What a crowded cell holds beyond its head has higher indices than ``next``, its first member after the head.
        A point is closed if it has found ``cap`` neighbours below the least ``next`` around it, or if no cell
        around it is crowded.
-    3. Only the others look at all members of their cells, which are dealt into parts of ``crowded``."""
+    3. Only the others look at all members of their cells, which are dealt into parts of ``crowded``.
+
+    Joins of points with points are merged, never broadcast."""
     group = list(group)
     key = [*group, *CELL]
     cells = points.select(*group, "point_idx", "x", "y", "z", *[F.floor(F.col(c) / radius).cast("bigint").alias(n) for c, n in zip("xyz", CELL)])
@@ -86,7 +89,7 @@ def capped_neighbours(points: DataFrame, radius: float, cap: int, group: Sequenc
     q_cols = [F.col("point_idx").alias("q"), *[F.col(c).alias(f"q{c}") for c in "xyz"]]
 
     def near(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        met = left.join(right, on).filter(squared_distance("p", "q") < radius * radius)
+        met = left.hint("merge").join(right, on).filter(squared_distance("p", "q") < radius * radius)
         return _lowest(met.select(*group, F.col("p").alias("src"), F.col("q").alias("dst")), group, cap)
 
     looking = cells.withColumn("_o", F.explode(around)).select(*group, *p_cols, *target)
@@ -96,13 +99,13 @@ def capped_neighbours(points: DataFrame, radius: float, cap: int, group: Sequenc
     hidden = cells.filter(F.col("_rank") == head).withColumn("_o", F.explode(around)).select(*group, *target, F.col("point_idx").alias("next"))
     limits = hidden.groupBy(*key).agg(F.min("next").alias("next"))
     found = first.groupBy(*group, F.col("src").alias("point_idx")).agg(F.count(F.lit(1)).alias("_n"), F.max("dst").alias("_top"))
-    doubtful = attach(cells, limits, key).join(found, [*group, "point_idx"]).filter((F.col("_n") < cap) | (F.col("_top") >= F.col("next")))
+    doubtful = attach(cells, limits, key).hint("merge").join(found, [*group, "point_idx"]).filter((F.col("_n") < cap) | (F.col("_top") >= F.col("next")))
 
     parts = cells.groupBy(*key).agg(F.floor(F.max("_rank") / crowded).alias("_last"))
     again = doubtful.withColumn("_o", F.explode(around)).select(*group, *p_cols, *target).join(parts, key)
     again = again.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))).drop("_last")
     rest = near(again, cells.withColumn("_part", F.floor(F.col("_rank") / crowded)).select(*key, "_part", *q_cols), [*key, "_part"])
-    closed = first.join(doubtful.select(*group, F.col("point_idx").alias("src")), [*group, "src"], "left_anti")
+    closed = first.hint("merge").join(doubtful.select(*group, F.col("point_idx").alias("src")), [*group, "src"], "left_anti")
     return closed.unionByName(rest)
 
 

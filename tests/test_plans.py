@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from pointlake.operators import voxel as V
+from pointlake.operators import projection as P, radius as R, voxel as V
 from pointlake.plans import catalogue
 from pointlake.plans.fixtures import Tables
 
@@ -50,3 +50,26 @@ def test_settings_grow_with_the_input():
     big = scale_settings(100 << 40, 8000)
     assert int(big["spark.sql.shuffle.partitions"]) == 200_000
     assert scale_settings(1 << 30, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_points_are_never_broadcast_to_points(spark):
+    """Tables exploded from small ones look small to the planner, at any size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        pts = spark.range(60).selectExpr("0L AS scene_id", "id AS point_idx", "double(id % 7) AS x", "double(id % 5) AS y", "0D AS z")
+        pairs = R.radius_pairs(pts, 1.5)
+        assert "BroadcastHashJoin" not in plan(pairs, "simple")
+        met = R.radius_neighbours(pts, 1.5, cap=3)
+        text = plan(met, "simple")
+        for line in text.splitlines():  # only parts and limits of cells may be broadcast
+            assert not ("BroadcastHashJoin" in line and ("src" in line or "[point_idx" in line)), line
+        pixels = spark.range(9).selectExpr("id AS scene_id", "0L AS frame", "id AS u", "id AS v", "2D AS d", "9 AS w")
+        depth = spark.range(9).selectExpr("id AS scene_id", "0L AS frame", "explode(sequence(0L, 8L)) AS u").selectExpr("*", "u AS v", "2D AS depth")
+        found = P.depth_consistent(pixels, depth)
+        assert "BroadcastHashJoin" not in plan(found, "simple")
+        assert found.count() == 9
+        near = {(r.src, r.dst) for r in R.radius_neighbours(pts, 1.5).collect()}
+        rows = [(r.point_idx, r.x, r.y) for r in pts.collect()]
+        assert near == {(a, b) for a, ax, ay in rows for b, bx, by in rows if (ax - bx) ** 2 + (ay - by) ** 2 < 2.25}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
