@@ -97,22 +97,25 @@ def score_matrix(rows: DataFrame, feat: str, weights: np.ndarray, normalise: boo
 
 
 def best_class(rows: DataFrame, key: Sequence[str], feat: str, classes: DataFrame, scale: float = 1.0, class_block: int = 4096,
-               row_block: int = 1 << 16) -> DataFrame:
+               row_block: int = 1 << 16, cell: int = 1 << 16) -> DataFrame:
     """C1 and T1 for a vocabulary of any size: ``(key, pred, score)``, the class of the largest ``scale * cosine`` per row
     (scores equal to 9 digits: the lowest id).
 
-    ``classes(class_id, embedding)`` stays a table.  Blocks of rows meet blocks of classes; a meeting is one matrix
-    product, of which each row keeps its best class, and the bests of a row are merged map-side.  Neither
+    ``classes(class_id, embedding)`` stays a table.  Rows and classes are dealt by hash into cells of about
+    ``row_block`` rows and ``cell`` classes, so a row is copied once per cell of classes and a class once per cell
+    of rows.  Where two cells meet, a task multiplies 1024 rows with ``class_block`` classes at a time, a row keeps its best
+    class, and the bests of a row are merged map-side.  Neither
     vocabulary nor scores are gathered anywhere.  Rows without a vector have no class."""
     key = list(key)
-    many = classes.select(F.max(F.shiftright(F.col("class_id").cast("bigint"), class_block.bit_length() - 1))).first()[0] or 0
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.lit(int(many)).cast("bigint"))
-    size = rows.count()
-    parts = max(1, -(-size // row_block))
-    left = rows.filter(F.col(feat).isNotNull()).select(*key, F.col(feat).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(*key), F.lit(parts)).alias("_r"), F.explode(blocks).alias("_c"))
-    right = classes.select(F.col("class_id").cast("bigint").alias("class_id"), F.col("embedding").cast("array<double>").alias("_e"),
-                           F.shiftright(F.col("class_id").cast("bigint"), class_block.bit_length() - 1).alias("_c"),
-                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("_r"))
+    known = classes.filter(F.col("class_id").isNotNull())
+    parts, cells = [max(1, -(-df.count() // size)) for df, size in ((rows, row_block), (known, cell))]
+
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    left = rows.filter(F.col(feat).isNotNull()).select(*key, F.col(feat).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(*key), F.lit(parts)).alias("_r"), each(cells).alias("_c"))
+    right = known.select(F.col("class_id").cast("bigint").alias("class_id"), F.col("embedding").cast("array<double>").alias("_e"),
+                         F.pmod(F.xxhash64("class_id"), F.lit(cells)).alias("_c"), each(parts).alias("_r"))
     schema = ", ".join([*[f"{c} {rows.schema[c].dataType.simpleString()}" for c in key], "score double", "pred bigint"])
 
     def stack(t: pa.Table, c: str) -> np.ndarray:
@@ -126,13 +129,18 @@ def best_class(rows: DataFrame, key: Sequence[str], feat: str, classes: DataFram
             return left.select(key).slice(0, 0).append_column("score", pa.array([], pa.float64())).append_column("pred", pa.array([], pa.int64()))
         right = right.sort_by("class_id")
         x, w = unit(stack(left, "_v")), unit(stack(right, "_e")).T * scale
-        at, top = [], []
+        at, top = np.zeros(len(x), np.int64), np.full(len(x), -np.inf)
         for lo in range(0, len(x), 1024):
-            scores = (x[lo:lo + 1024] @ w).round(9)
-            at.append(scores.argmax(1))
-            top.append(scores.max(1))
-        best = right.column("class_id").combine_chunks().take(pa.array(np.concatenate(at)))
-        return left.select(key).append_column("score", pa.array(np.concatenate(top))).append_column("pred", best)
+            for c in range(0, w.shape[1], class_block):
+                scores = (x[lo:lo + 1024] @ w[:, c:c + class_block]).round(9)
+                best = scores.argmax(1)
+                score = scores[np.arange(len(best)), best]
+                held = top[lo:lo + 1024]
+                better = (score > held) | (np.isnan(score) & ~np.isnan(held))  # an equal score of a later class loses
+                at[lo:lo + 1024][better] = best[better] + c
+                top[lo:lo + 1024][better] = score[better]
+        best = right.column("class_id").combine_chunks().take(pa.array(at))
+        return left.select(key).append_column("score", pa.array(top)).append_column("pred", best)
 
     met = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(meet, schema)
     top = F.max(F.struct("score", (-F.col("pred")).alias("neg"))).alias("_t")

@@ -69,3 +69,21 @@ def test_draws_are_uniform_and_equal_in_sql(spark):
     assert abs(df["z"].mean()) < 0.03 and abs(df["z"].std() - 1) < 0.03
     sql = duckdb.sql(f"SELECT {draw(3, 'range')} FROM range(20000)").fetchall()
     assert [r[0] for r in sql] == df["d"].tolist()
+
+
+def test_best_class_over_cells(spark):
+    """Cells of rows and classes that are far smaller than the tables give the best class and the lowest id of ties."""
+    import numpy as np
+    from pointlake.functions.vectors import best_class
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(size=(40, 4)), rng.normal(size=(50, 4))
+    w[31], w[7] = w[3], 2 * w[3]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, v array<double>")
+    classes = spark.createDataFrame([(c * 1_000_003, v.tolist()) for c, v in enumerate(w)], "class_id bigint, embedding array<double>")
+    unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, w)]
+    scores = (unit[0] @ unit[1].T).round(9)
+    got = {r["vec_id"]: (r["pred"], r["score"]) for r in best_class(rows, ["vec_id"], "v", classes, class_block=4, row_block=16, cell=12).collect()}
+    assert {k: p for k, (p, _) in got.items()} == {i: int(c) * 1_000_003 for i, c in enumerate(scores.argmax(1))}
+    assert np.allclose([got[i][1] for i in range(40)], scores.max(1), atol=1e-9)
+    copied = best_class(rows, ["vec_id"], "v", classes)  # class ids are sparse: cells follow the number of classes
+    assert {r["vec_id"]: r["pred"] for r in copied.collect()} == {k: p for k, (p, _) in got.items()}
