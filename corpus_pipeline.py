@@ -36,8 +36,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more, linked
-    through each other): the smallest id (then the least digest of the text, then the first of equal rows);
+    """Keep one document of each group of near copies: groups of near SimHash fingerprints, and minhash bands for the
+    pairs these miss, confirmed by whole sets (five-word shingles, Jaccard similarity 0.8 or more, linked through each other): the smallest id (then the least digest of the text, then the first of equal rows);
     groups without an id keep the least digest.  Texts are told apart by their SHA-256."""
     return copies.one_of_each(docs.select(*COLUMNS))
 

@@ -1,6 +1,8 @@
 """Near copies of texts: five-word shingles in common, Jaccard similarity 0.8 or more, confirmed exactly.
 
-*Candidates.*  A text's signature is 96 minima of seeded hashes over its set of shingles, in 24 bands of four.
+*Candidates.*  Texts meet in the groups of SimHash: 64-bit fingerprints of three-word shingles, covered by anchors and
+linked at 3 or fewer differing bits (``simhash.components``).  These groups miss pairs of more bits, so texts also meet by
+bands of minhash.  A text's signature is 96 minima of seeded hashes over its set of shingles, in 24 bands of four.
 Texts that agree in a band meet.  A pair of similarity s misses with probability ``(1 - s^4)^24``: 3e-6
 at 0.8, less above.  Equal texts are one row; groups with the same members are looked at once.
 
@@ -144,10 +146,18 @@ def _part(seed: Column | str, rows: Column | str, size: int) -> Column:
     return F.pmod(F.xxhash64(seed, "id", F.lit(1)), F.ceil(F.col(rows) / size).cast("bigint"))
 
 
-def meetings(prints: DataFrame) -> DataFrame:
-    """``(key, id, n)``: groups of the ``n`` texts that agree in a band; of groups with the same members one
-    stays."""
-    members = store(prints.select("id", F.explode("bands").alias("key")).distinct(), "band-members")
+def simhash_groups(prints: DataFrame) -> DataFrame:
+    """``(id, key)``: the group of near fingerprints of each text, for ``(id, fp)``."""
+    texts = prints.select("id", "fp").distinct()
+    near = simhash.components(texts, "id", group_col="near")
+    return texts.join(near, "fp").select("id", F.xxhash64(F.lit("simhash"), "near").alias("key"))
+
+
+def meetings(prints: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``(key, id, n)``: groups of the ``n`` texts that agree in a band or share a group of ``groups(id, key)``; of groups
+    with the same members one stays."""
+    members = prints.select("id", F.explode("bands").alias("key")).distinct()
+    members = store(members.unionByName(groups) if groups is not None else members, "band-members")
     groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit((1 << 32) - 1))).alias("y"))
     return store(members.join(groups.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key"), "meetings")
 
@@ -183,13 +193,14 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     equal rows by its other columns)."""
     digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("+"), text), F.lit("")), 256))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), digest.alias("digest"))
-    prints = store(with_bands(rows.withColumn("k64", F.xxhash64("digest"))), "copy-prints")
+    prints = store(with_bands(simhash.with_fingerprint(rows.withColumn("k64", F.xxhash64("digest")))), "copy-prints")
     texts = prints.groupBy("digest", "k64").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("s"))
     least = store(numbered(texts), "copy-texts")
     clash = least.filter("id <> k64").select("digest", F.col("id").alias("other"))
     if not clash.isEmpty():
         prints = prints.join(clash, "digest", "left").withColumn("k64", F.coalesce("other", "k64"))
-    met = meetings(prints.select(F.col("k64").alias("id"), "bands"))
+    prints = prints.select(F.col("k64").alias("id"), "fp", "bands")
+    met = meetings(prints, simhash_groups(prints))
     # the text of the least row of each candidate; equal rows give it once
     asked = least.join(met.select("id").distinct(), "id").select(F.col("s.doc_id").alias("d"), F.col("digest").alias("k"), "id")
     found = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("k"))).select("id", "text")

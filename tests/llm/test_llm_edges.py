@@ -191,6 +191,17 @@ def test_near_copies(spark, crowd):
     assert len(set(root)) < len(texts) - 20
 
 
+def test_dedup_stage_uses_simhash_groups(spark, monkeypatch):
+    """Texts that meet in no band are linked through their fingerprints, and only if their sets agree."""
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(copies, "with_bands", lambda df, text="text": df.withColumn("bands", F.array().cast("array<bigint>")).drop(text))
+    words = " ".join(f"w{i * 7919 % 1000}" for i in range(200))
+    rows = [(1, words, "en", "a", 0), (2, words.upper(), "en", "a", 0), (3, "another text of a few words only", "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(x["doc_id"] for x in cp.dedup_stage(spark, df, "").collect()) == [1, 3]
+
+
 def test_dedup_stage_links_edited_copies(spark):
     import corpus_pipeline as cp
     r = random.Random(2)
