@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.functions import rng
-from pointlake.functions.blocks import attach, ordinal, with_stats
+from pointlake.functions.blocks import attach, block_of, ordinal, with_stats
 from pointlake.functions.vectors import mean_vector, sigmoid, softmax
 from pointlake.operators.voxel import CELL, voxel_table
+from pointlake.session import cut_lineage
 
 
 def class_candidates(scores: DataFrame, probs: str, threshold: float, ignored: Sequence[int], min_points: int) -> DataFrame:
@@ -36,10 +37,13 @@ def shift_by_offset(points: DataFrame) -> DataFrame:
 
 def number_proposals(clusters: DataFrame) -> DataFrame:
     """Proposals of all classes of a scene in one numbering, by class then component order."""
-    ids = clusters.select("scene_id", "class_id", "label").distinct()
+    key = ["scene_id", "class_id", "label"]
+    rows = clusters.withColumn("_blk", block_of(F.col("point_idx")))
+    # the blocks in which a proposal has points, written once: the clusters are read for them and for the result only
+    present = cut_lineage(rows.select(*key, "_blk").distinct())
     block = F.shiftleft(F.col("class_id").cast("bigint"), 44) + F.shiftright("label", 16)
-    numbered = ordinal(ids, ["scene_id"], ["class_id", "label"], "proposal_id", block, store=True)
-    return attach(clusters, numbered, ["scene_id", "class_id", "label"])
+    numbered = ordinal(present.select(*key).distinct(), ["scene_id"], ["class_id", "label"], "proposal_id", block, store=True)
+    return rows.join(present.join(numbered, key), [*key, "_blk"]).drop("_blk")
 
 
 def proposal_scores(members: DataFrame, logits: DataFrame, n_classes: int, label_shift: int = 0) -> DataFrame:

@@ -128,3 +128,21 @@ def test_pieces_arrive_together(spark):
         for key in ("spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"):
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_pieces_settle_their_cells(spark):
+    """Chains over many pieces of space, with small batches: each cell comes back once, and single points leave no open pair."""
+    r = np.random.default_rng(7)
+    line = np.c_[np.arange(400) * 0.035, np.zeros(400), np.arange(400) * -0.01]
+    cube = r.uniform(-0.9, 0.9, size=(300, 3))
+    groups = {(1, 0): r.permutation(line), (1, 1): cube, (2, 0): r.permutation(np.r_[line[:200], line[:200] + [0, 0.3, 0]])}
+    df = frame(spark, groups)
+    nodes = C.cell_nodes(C.with_component_cells(df, 0.04), ["scene_id", "class_id"]).cache()
+    rows = C.settle_pieces(nodes, 0.04, ["scene_id", "class_id"], batch_cells=50).toPandas()
+    cells = rows[rows.kind == 0]
+    assert len(cells) == nodes.count() and (cells["root"] <= cells["node"]).all()
+    assert len(rows[rows.kind == 2]) == 0
+    got = C.cluster_points(df, 0.04, 1).toPandas()
+    for key, xyz in groups.items():
+        part = got[(got.scene_id == key[0]) & (got.class_id == key[1])].sort_values("point_idx")
+        assert (part["label"].to_numpy() == brute_labels(xyz, 0.04)).all(), key
