@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.functions.blocks import running_sum
-from pointlake.operators.components import star_components
+from pointlake.operators.components import contract_pieces, star_components
 from pointlake.operators.metrics import harmonic
 from pointlake.schema import ClassSplit
 from pointlake.session import cut_lineage
@@ -25,25 +25,44 @@ def _per_threshold(rows: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     return rows.withColumn("thr", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Visit ground truth by code and predictions by id; the first free prediction claims the
-    instance, later free ones are duplicates and stay free."""
+def _visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows ``(scene_id, class_id, thr, label, code, pred_id, conf)`` sorted by cluster, code and prediction: the first free
+    prediction of an instance claims it, later free ones are duplicates and stay free.  A task holds the claimed
+    predictions of one cluster and the free ones of one instance, whatever the number of clusters."""
+    cluster = place = None
     taken: set[int] = set()
-    out = []
-    for code, rows in pdf.sort_values(["code", "pred_id"]).groupby("code", sort=True):
-        free = [(p, c) for p, c in zip(rows["pred_id"], rows["conf"]) if p not in taken]
-        if not free:
-            continue
-        taken.add(free[0][0])
-        best = free[0][1]
-        for _, conf in free[1:]:
-            out.append((code, min(best, conf), 0))
-            best = max(best, conf)
-        out.append((code, best, 1))
-    res = pd.DataFrame(out, columns=["code", "score", "tp"])
-    for k in ("scene_id", "class_id", "thr"):
-        res[k] = pdf[k].iloc[0] if len(pdf) else None
-    return res[["scene_id", "class_id", "thr", "code", "score", "tp"]]
+    confs: list[float] = []
+    out: list[tuple] = []
+
+    def close() -> None:
+        if confs:
+            best = max(confs)
+            hit = confs.index(best)
+            out.extend((*cluster[:3], place, c, int(i == hit)) for i, c in enumerate(confs))
+            confs.clear()
+
+    def ready() -> pd.DataFrame:
+        rows = pd.DataFrame(out, columns=["scene_id", "class_id", "thr", "code", "score", "tp"])
+        out.clear()
+        return rows
+
+    for batch in batches:
+        for *key, code, pred, conf in zip(*(batch[c].tolist() for c in ("scene_id", "class_id", "thr", "label", "code", "pred_id", "conf")), strict=True):
+            if key != cluster:
+                close()
+                cluster, place = key, code
+                taken.clear()
+            elif code != place:
+                close()
+                place = code
+            if pred not in taken or (confs and pred == first):
+                if not confs:
+                    first = pred
+                    taken.add(pred)
+                confs.append(conf)
+        yield ready()
+    close()
+    yield ready()
 
 
 def match_events(preds: DataFrame, gts: DataFrame, pairs: DataFrame, min_points: int,
@@ -78,10 +97,12 @@ def match_events(preds: DataFrame, gts: DataFrame, pairs: DataFrame, min_points:
         visited = contested.sparkSession.createDataFrame([], schema)
     else:
         # instances linked by shared predictions form small clusters, each visited on its own
-        links = contested.select(*key, (F.col("code") * 2).alias("u"), (F.col("pred_id") * 2 + 1).alias("v"))
-        clusters = star_components(links, key).filter(F.col("node") % 2 == 0)
+        contested = cut_lineage(contested)
+        links = contested.select(*key, (F.col("code") * 2).alias("a"), (F.col("pred_id") * 2 + 1).alias("b"), F.xxhash64(*key).alias("piece"))
+        clusters = star_components(contract_pieces(links, key), key).filter(F.col("node") % 2 == 0)
         named = contested.join(clusters.select(*key, F.shiftright("node", 1).alias("code"), "label"), [*key, "code"])
-        visited = named.groupBy(*key, "label").applyInPandas(_greedy, schema)
+        dealt = named.select(*key, "label", "code", "pred_id", "conf").repartition(*key, "label").sortWithinPartitions(*key, "label", "code", "pred_id")
+        visited = cut_lineage(dealt.mapInPandas(_visit, schema))
 
     claimed = top.select(*key, "code", "score").unionByName(visited.filter("tp = 1").select(*key, "code", "score"))
     one = F.lit(1).cast("bigint").alias("n")

@@ -161,3 +161,19 @@ def test_no_predictions_at_all(spark):
     scenes = [([1001] * 10, [(2, 0.5, range(3))])]
     got = ap_of(spark, scenes, (1, 2), 4)
     assert got[1, 0.5] == (0.0, 0.0) and math.isnan(got[2, 0.5][0])
+
+
+def test_visits_run_over_many_clusters_in_one_task():
+    """Clusters and instances may go on in the next batch; a claimed prediction is taken in its cluster only."""
+    import pandas as pd
+
+    from pointlake.operators.instance_ap import _visit
+    cols = ["scene_id", "class_id", "thr", "label", "code", "pred_id", "conf"]
+    one = [(1005, 1, 0.3), (1005, 2, 0.9), (1005, 3, 0.5), (1006, 1, 0.8), (1006, 2, 0.4), (1007, 1, 0.7)]
+    rows = pd.DataFrame([(scene, 4, 0.25, 2010, *r) for scene in (1, 2) for r in one], columns=cols)
+    want = [(1005, 0.3, 0), (1005, 0.9, 1), (1005, 0.5, 0), (1006, 0.4, 1)]
+    for size in (1, 2, 5, 12):
+        out = pd.concat(list(_visit(iter([rows.iloc[i:i + size] for i in range(0, 12, size)]))))
+        for scene in (1, 2):
+            part = out[out.scene_id == scene]
+            assert sorted(zip(part["code"], part["score"], part["tp"])) == sorted(want)
