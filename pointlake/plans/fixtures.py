@@ -133,11 +133,14 @@ class Tables:
         return (self.scenes.withColumn("frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(N_FRAMES - 1).cast("bigint"))))
                 .selectExpr("scene_id", "frame", *[c.format(k="frame") for c in FRAME_COLS]))
 
+    @cached_property
+    def dealt_frames(self) -> DataFrame:
+        """The frames dealt to all tasks, for views in which this small table grows 768 times."""
+        return self.frames.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "scene_id", "frame")
+
     @cached_property
     def depth(self) -> DataFrame:
-        # the frames are a small table that grows 768 times here: they are dealt to all tasks first
-        dealt = self.frames.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "scene_id", "frame")
-        grid = dealt.select("scene_id", "frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PIXELS - 1).cast("bigint"))).alias("k"))
+        grid = self.dealt_frames.select("scene_id", "frame", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PIXELS - 1).cast("bigint"))).alias("k"))
         return (grid.selectExpr("scene_id", "frame", "k % 32 AS u", "k div 32 AS v")
                 .selectExpr("scene_id", "frame", "u", "v", f"{DEPTH} AS depth"))
 
@@ -151,7 +154,7 @@ class Tables:
     def depth_images(self) -> DataFrame:
         """The depth view with one row per image."""
         pixel = DEPTH.replace("u*", "(k % 32)*").replace("v*", "(k div 32)*").replace("+ v ", "+ (k div 32) ").replace("12e-1", "1.2D").replace("208e-2", "2.08D").replace("0e0", "0D")
-        return self.frames.selectExpr("scene_id", "frame", "h", "w", f"transform(sequence(0, {PIXELS - 1}), k -> {pixel}) AS depth")
+        return self.dealt_frames.selectExpr("scene_id", "frame", "h", "w", f"transform(sequence(0, {PIXELS - 1}), k -> {pixel}) AS depth")
 
     @cached_property
     def camera_points(self) -> DataFrame:

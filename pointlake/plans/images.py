@@ -166,7 +166,7 @@ def _(t):
        JOIN (SELECT 0 AS k, scene_id, frame, point_idx FROM corr UNION ALL SELECT 1, scene_id, 5 - frame, point_idx FROM corr) c ON c.k = n.k AND c.scene_id = n.scene_id AND c.frame = n.frame""", ("captions", "corr"))
 def _(t):
     again = t.captions.selectExpr("scene_id", "5 - frame AS frame", "caption")
-    return CP.merge_indexes(CP.merge_captions([t.captions, again]), [t.corr, t.corr.withColumn("frame", 5 - F.col("frame"))])
+    return CP.merge_indexes(CP.merge_captions([t.captions, again]), [t.corr_index, t.corr_index.withColumn("frame", 5 - F.col("frame"))])
 
 
 @query("f1_scene_captions", "scene_id bigint, text string, needs_summary boolean",

@@ -73,3 +73,10 @@ def test_points_are_never_broadcast_to_points(spark):
         assert near == {(a, b) for a, ax, ay in rows for b, bx, by in rows if (ax - bx) ** 2 + (ay - by) ** 2 < 2.25}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_depth_images_are_made_by_all_tasks(spark, sf):
+    """Few frames become many pixels: they are dealt out before, and the merged index reads the correspondence once."""
+    assert Tables(spark, sf).depth_images.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = catalogue()["w6_merge_indexes"].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tile" not in plan
