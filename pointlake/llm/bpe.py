@@ -32,7 +32,7 @@ from pointlake.llm.common import map_column
 #: Fixed value: how the byte-level tokenizers cut a text into pieces.  Words stand first, as most
 #: pieces are words and no contraction begins like one.
 PIECE = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 200_000
+CACHE = 50_000
 PART = 500_000
 
 

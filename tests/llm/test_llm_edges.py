@@ -439,3 +439,27 @@ def test_masked_many_spans_in_a_long_text(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     found = pii.find_spans(df).select(pii.masked(F.col("text"), F.col("spans")).alias("m"))
     assert found.first()["m"] == "write to [EMAIL] or [PHONE], " * 20_000
+
+
+def test_a_task_holds_one_batch_of_texts():
+    """The batch before is gone when the next one is read."""
+    import weakref
+
+    import pyarrow as pa
+
+    from pointlake.llm.common import text_slices
+    alive = []
+
+    def batches():
+        for k in range(4):
+            assert all(ref() is None for ref in alive)
+            batch = pa.RecordBatch.from_pydict({"text": [f"{k} words here"] * 30})
+            alive.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    n = 0
+    for piece, texts in text_slices(batches(), limit=1000):
+        n += len(texts)
+        del piece, texts
+    assert n == 120
