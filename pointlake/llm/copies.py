@@ -193,14 +193,17 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     equal rows by its other columns)."""
     digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("+"), text), F.lit("")), 256))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), digest.alias("digest"))
-    prints = store(with_bands(simhash.with_fingerprint(rows.withColumn("k64", F.xxhash64("digest")))), "copy-prints")
+    rows = rows.withColumn("k64", F.xxhash64("digest"))
+    # two passes over the text: in one, a task would run two Python workers at a time
+    marks = store(simhash.with_fingerprint(rows.select("digest", "k64", "text"), keep=False), "copy-marks")
+    prints = store(with_bands(rows), "copy-prints")
     texts = prints.groupBy("digest", "k64").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("s"))
     least = store(numbered(texts), "copy-texts")
     clash = least.filter("id <> k64").select("digest", F.col("id").alias("other"))
     if not clash.isEmpty():
-        prints = prints.join(clash, "digest", "left").withColumn("k64", F.coalesce("other", "k64"))
-    prints = prints.select(F.col("k64").alias("id"), "fp", "bands")
-    met = meetings(prints, simhash_groups(prints))
+        marks, prints = (x.join(clash, "digest", "left").withColumn("k64", F.coalesce("other", "k64")) for x in (marks, prints))
+    marks, prints = marks.select(F.col("k64").alias("id"), "fp"), prints.select(F.col("k64").alias("id"), "bands")
+    met = meetings(prints, simhash_groups(marks))
     # the text of the least row of each candidate; equal rows give it once
     asked = least.join(met.select("id").distinct(), "id").select(F.col("s.doc_id").alias("d"), F.col("digest").alias("k"), "id")
     found = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("k"))).select("id", "text")

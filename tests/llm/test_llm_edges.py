@@ -463,3 +463,13 @@ def test_a_task_holds_one_batch_of_texts():
         n += len(texts)
         del piece, texts
     assert n == 120
+
+
+def test_dedup_runs_one_python_worker_at_a_time(spark, monkeypatch):
+    """Two passes of Python in one stage would hold two workers per task."""
+    from pyspark.sql import functions as F
+    plans, store = {}, copies.store
+    monkeypatch.setattr(copies, "store", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and store(df, name))
+    df = spark.createDataFrame([(k, f"one two three four five {k % 3}") for k in range(9)], "doc_id bigint, text string").withColumn("n", F.lit(1))
+    assert copies.one_of_each(df).count() == 3
+    assert "copy-prints" in plans and all(plan.split("Exchange")[k].count("MapInArrow") <= 1 for plan in plans.values() for k in range(plan.count("Exchange") + 1))
