@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 from pathlib import Path
 
@@ -32,7 +32,7 @@ from pointlake.llm.common import map_column
 #: Fixed value: how the byte-level tokenizers cut a text into pieces.  Words stand first, as most
 #: pieces are words and no contraction begins like one.
 PIECE = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 50_000
+CACHE = 200_000
 PART = 500_000
 
 
@@ -61,65 +61,74 @@ class Vocabulary:
         self.symbol = [0] * 256
         for char, b in byte.items():
             self.symbol[b] = ids[char]
-        self.base = 1 << max(len(self.strings), max(self.strings) + 1).bit_length()
         self.pairs, self.ids = model["merges"], ids
 
     @cached_property
-    def merges(self) -> tuple[dict[int, int], list[int]]:
-        """Rank by pair of ids (as one integer), and the joined id by rank."""
+    def merges(self) -> tuple[list[Callable[[int], int | None]], list[int]]:
+        """By the left id, the lookup of a pair's rank by its right id; and the joined id by rank."""
         pairs = [m.split(" ") if isinstance(m, str) else m for m in self.pairs]
         ids = self.ids
         del self.pairs, self.ids
-        return {ids[a] * self.base + ids[b]: rank for rank, (a, b) in enumerate(pairs)}, [ids[a + b] for a, b in pairs]
+        after: dict[int, dict[int, int]] = {}
+        for rank, (a, b) in enumerate(pairs):
+            after.setdefault(ids[a], {})[ids[b]] = rank
+        none: dict[int, int] = {}
+        return [after.get(i, none).get for i in range(max(self.strings) + 1)], [ids[a + b] for a, b in pairs]
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece.  Heap entries are ``rank << 32 | position``."""
-        ranks, joined = self.merges
-        get, base, pop, push = ranks.get, self.base, heapq.heappop, heapq.heappush
+        """Ids of one piece.  Heap entries are ``rank << shift | position``, small integers for a short piece."""
+        rank_of, joined = self.merges
+        pop, push = heapq.heappop, heapq.heappush
         symbols = list(map(self.symbol.__getitem__, piece))
         n = len(symbols)
+        shift = n.bit_length()
+        low = (1 << shift) - 1
         heap = []
         for i in range(n - 1):
-            rank = get(symbols[i] * base + symbols[i + 1])
+            rank = rank_of[symbols[i]](symbols[i + 1])
             if rank is not None:
-                heap.append(rank << 32 | i)
+                heap.append(rank << shift | i)
         if not heap:
             return symbols
         heapq.heapify(heap)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         while heap:
             entry = pop(heap)
-            i, rank = entry & 0xFFFFFFFF, entry >> 32
+            i, rank = entry & low, entry >> shift
             j, own = right[i], symbols[i]
-            if own < 0 or j < 0 or get(own * base + symbols[j]) != rank:
+            if own < 0 or j < 0 or rank_of[own](symbols[j]) != rank:
                 continue  # stale
             own = symbols[i] = joined[rank]
             symbols[j] = -1
             k = right[i] = right[j]
             if k >= 0:
                 left[k] = i
-                rank = get(own * base + symbols[k])
+                rank = rank_of[own](symbols[k])
                 if rank is not None:
-                    push(heap, rank << 32 | i)
+                    push(heap, rank << shift | i)
             h = left[i]
             if h >= 0:
-                rank = get(symbols[h] * base + own)
+                rank = rank_of[symbols[h]](own)
                 if rank is not None:
-                    push(heap, rank << 32 | h)
+                    push(heap, rank << shift | h)
         return [s for s in symbols if s >= 0]
 
 
 class PieceCache(dict):
-    """Ids of a piece as little-endian bytes; emptied when full, long pieces are not kept."""
+    """Ids of a piece as little-endian bytes; long pieces are not kept.  A full cache becomes the old half, from which
+    pieces that come again move over, so common pieces outlive rare ones."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int = CACHE):
         super().__init__()
-        self.vocabulary, self.limit = vocabulary, limit
+        self.vocabulary, self.limit, self.old = vocabulary, limit // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.vocabulary.merge(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(self.vocabulary.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= 64:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

@@ -465,6 +465,34 @@ def test_a_task_holds_one_batch_of_texts():
     assert n == 120
 
 
+def test_common_pieces_stay_in_a_full_cache():
+    """Pieces that keep coming are merged once, however many rare ones pass between them."""
+    vocabulary = bpe.Vocabulary(open(VOCABULARY, "rb").read())
+    asked, merge = Counter(), vocabulary.merge
+    vocabulary.merge = lambda piece: asked.update([piece]) or merge(piece)
+    cache = bpe.PieceCache(vocabulary, 8)
+    common = [" the", " of"]
+    for k in range(100):
+        for piece in [*common, f" rare{k}"]:
+            assert cache[piece] == np.array(merge(piece.encode()), "<u4").tobytes()
+    assert [asked[p.encode()] for p in common] == [1, 1]
+    assert len(cache) + len(cache.old) <= 8
+
+
+def test_merges_follow_rank_then_position():
+    """Ids against a plain search for the best pair, for pieces of any length."""
+    vocabulary = bpe.Vocabulary(open(VOCABULARY, "rb").read())
+    pairs, ids = vocabulary.pairs, vocabulary.ids
+    ranks = {(ids[a], ids[b]): (k, ids[a + b]) for k, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in pairs)}
+    r = random.Random(5)
+    for n in [0, 1, 2, 3, 7, 15, 16, 17, 40, 130, *[r.randint(1, 30) for _ in range(200)]]:
+        piece = "".join(r.choice("etaoinshr é") for _ in range(n)).encode()
+        want = [vocabulary.symbol[b] for b in piece]
+        while best := min(((*ranks[p], i) for i, p in enumerate(zip(want, want[1:])) if p in ranks), key=lambda x: (x[0], x[2]), default=None):
+            want[best[2]:best[2] + 2] = [best[1]]
+        assert vocabulary.merge(piece) == want
+
+
 def test_dedup_runs_one_python_worker_at_a_time(spark, monkeypatch):
     """Two passes of Python in one stage would hold two workers per task."""
     from pyspark.sql import functions as F
