@@ -134,7 +134,7 @@ def _(t):
     path = t.scratch("instances")
     meta = t.pred_meta.selectExpr("scene_id", "pred_id", "class_id + 1 AS label_id", "conf")
     K.write_pred_instances(meta, t.pred_inst, path, EVAL_IDS)
-    rows = R.read_instance_manifests(t.spark, f"{path}/manifest/scene_id=*")
+    rows = R.read_instance_manifests(t.spark, f"{path}/manifest")
     return rows.withColumn("scene_id", F.regexp_extract("mask_path", r"/(\d+)_", 1))
 
 

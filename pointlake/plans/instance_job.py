@@ -70,7 +70,7 @@ def _(t):
     meta, mask = (cut_lineage(d) for d in instances(t))
     K.write_pred_instances(meta, mask, path)
     K.write_mask_files(meta, mask, t.points, path)
-    named = R.read_instance_manifests(t.spark, f"{path}/manifest/*/*.txt").filter("valid").select("mask_path", "label_id")
+    named = R.read_instance_manifests(t.spark, f"{path}/manifest").filter("valid").select("mask_path", "label_id")
     lines = R.read_id_lists(t.spark, f"{path}/predicted_masks/*.txt")
     sizes = lines.groupBy("scene_id").agg(F.sum("id").alias("n_ones"), F.sum(F.col("id") * F.col("point_idx")).alias("ones"), F.count(F.lit(1)).alias("n_lines"))
     files = sizes.select(F.concat(F.lit("predicted_masks/"), "scene_id", F.lit(".txt")).alias("mask_path"), "n_ones", "ones", "n_lines")

@@ -50,7 +50,9 @@ def dense_mask(mask: DataFrame, points: DataFrame) -> DataFrame:
 def write_pred_instances(meta: DataFrame, mask: DataFrame, path: str, eval_ids: Sequence[int] | None = None) -> None:
     """K2: manifest lines as text and masks as columns sorted by point index.  The files of a scene's
     manifest, in name order, hold its lines in order."""
-    lines = pred_manifest(meta, eval_ids).repartitionByRange("scene_id", "position").sortWithinPartitions("scene_id", "position")
+    # all tasks write: left to adaptive execution, these few bytes would meet in one task, which would write a file per scene
+    tasks = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = pred_manifest(meta, eval_ids).repartitionByRange(tasks, "scene_id", "position").sortWithinPartitions("scene_id", "position")
     lines.select("scene_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("scene_id").text(f"{path}/manifest")
     part = mask_key(mask)
     spread = mask.select("scene_id", part, "point_idx").repartition("scene_id", part, F.shiftright("point_idx", 22))

@@ -126,6 +126,30 @@ def test_id_lists_are_numbered_over_file_splits(spark, tmp_path):
     assert [(r.point_idx, r.id) for r in got] == [(i, i * 3) for i in range(n)]
 
 
+def test_id_lists_are_listed_by_folder(spark, tmp_path):
+    """One path to list, however many files the glob names; other files and subfolders stay out."""
+    for k in range(40):
+        (tmp_path / f"s{k}.txt").write_text(f"{k}\n{k + 1}\n")
+    (tmp_path / "s1.csv").write_text("7\n")
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "s50.txt").write_text("7\n")
+    df = R.read_id_lists(spark, f"{tmp_path}/*.txt")
+    assert "InMemoryFileIndex(1 paths)" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.scene_id, r.point_idx, r.id) for r in df.collect()) == sorted((f"s{k}", i, k + i) for k in range(40) for i in range(2))
+
+
+def test_manifests_are_written_by_all_tasks(spark, tmp_path):
+    """A file per scene: one task would write them all."""
+    meta = spark.range(200).selectExpr("id div 4 AS scene_id", "id % 4 AS pred_id", "1L AS label_id", "5e-1 AS conf")
+    K.write_pred_instances(meta, meta.selectExpr("scene_id", "pred_id", "0L AS point_idx"), str(tmp_path))
+    files = sorted((tmp_path / "manifest").glob("scene_id=*/part-*.txt"))
+    assert len({f.name[:10] for f in files}) > 4
+    lines = {}
+    for f in files:
+        lines.setdefault(f.parent.name, []).extend(f.read_text().splitlines())
+    assert lines == {f"scene_id={s}": [f"predicted_masks/{s}_00{i}.txt 1 0.5000" for i in range(4)] for s in range(50)}
+
+
 def test_manifest_lines(spark, tmp_path):
     (tmp_path / "s1.txt").write_text("masks/a.txt 3 0.5000\n/abs.txt 1 0.1\n../up.txt 1 0.1\nx/../b.txt 2.0 1\nx/../../b.txt 2 1\nshort 1\n")
     got = {r.mask_path: r for r in R.read_instance_manifests(spark, f"{tmp_path}/*.txt").collect()}
