@@ -245,10 +245,13 @@ def read_id_lists(spark: SparkSession, glob: str) -> DataFrame:
     """One id per line and file; ``point_idx`` is the line number from 0.
 
     The folder of ``glob`` is listed as a whole and its files are chosen by name: a path per file would be listed by a
-    task each.  A folder without such files gives no rows.  A file may be read in several splits.  Lines are numbered
-    inside a split (a task reads its lines in order) and shifted by the line counts of the earlier splits of the file."""
+    task each.  A file may be read in several splits.  Lines are numbered inside a split (a task reads its lines in order)
+    and shifted by the line counts of the earlier splits of the file."""
     folder, _, name = glob.rpartition("/")
-    lines = spark.read.option("pathGlobFilter", name).text(folder or ".").select(
+    files = spark.read.option("pathGlobFilter", name).text(folder or ".")
+    if files.isEmpty():
+        files = spark.read.text(glob)  # folders of that name; raises where nothing has it
+    lines = files.select(
         F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"), "value").filter(F.trim("value") != "")
     out = ordinal(lines, ["_path"], ["_seq"], "point_idx", F.col("_start"))

@@ -136,6 +136,9 @@ def test_id_lists_are_listed_by_folder(spark, tmp_path):
     df = R.read_id_lists(spark, f"{tmp_path}/*.txt")
     assert "InMemoryFileIndex(1 paths)" in df._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.scene_id, r.point_idx, r.id) for r in df.collect()) == sorted((f"s{k}", i, k + i) for k in range(40) for i in range(2))
+    assert [r.scene_id for r in R.read_id_lists(spark, f"{tmp_path}/mo*").collect()] == ["s50"]
+    with pytest.raises(PySparkException):
+        R.read_id_lists(spark, f"{tmp_path}/*.lst").collect()
 
 
 def test_manifests_are_written_by_all_tasks(spark, tmp_path):
